@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.decontaminate import contamination
+from tessella.llm.html_text import extract
+from tessella.llm.language import fit_language, predict_language
 from tessella.llm.mixing import WORD, mix
 from tessella.llm.near_dedup import near_duplicates
+from tessella.llm.neighbours import nearest
+from tessella.llm.quality import quality
 from tessella.llm.sharding import shard
 from tessella.llm.storage import stored
+from tessella.llm.token_edits import count_with_edits
 from tessella.llm.toxicity import fit_toxicity, score_toxicity
 
+#: The rank file that op9 counts with; it must be at this path on every machine.
+VOCABULARY = os.environ.get("TESSELLA_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -27,6 +36,21 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), shingle_words=2, similarity_percent=80).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    out = quality(_read(spark, sf_dir, "documents"), labels, _remainder(3) != 1).withColumn("held_out", F.coalesce(_remainder(3) == 1, F.lit(False)))
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.filter("vec_id % 100 = 0"), 10)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = _read(spark, sf_dir, "documents").select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("mix_size"))
     return mix(stored(sizes, "sizes"), size="mix_size").select("doc_id", F.col("mix_size").alias("size"), "source_size", "target", "taken")
@@ -49,8 +73,24 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document under three edits made from its own text: a cut at a third, an insertion at two thirds, a line at its end."""
+    docs = _read(spark, sf_dir, "documents")
+    n = F.coalesce(F.char_length("text"), F.lit(0))
+    edit = lambda pos, removed, added: F.struct(pos.cast("int").alias("pos"), F.lit(removed).alias("removed"), added.alias("added"))
+    edits = F.array(edit(F.floor(n / 3), 7, F.lit("")), edit(F.floor(n * 2 / 3), 0, F.substring("text", 1, 12)), edit(n + 5, 0, F.concat(F.lit("\n"), F.coalesce("source", F.lit("")))))
+    return count_with_edits(docs.withColumn("edits", edits), VOCABULARY)
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = fit_language(docs, _remainder(3) != 1)
+    out = predict_language(docs, model).withColumn("held_out", F.coalesce(_remainder(3) == 1, F.lit(False)))
+    return out.select("doc_id", "held_out", "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_near_dedup, op5_mixing, op6_sharding, op7_decontaminate, op8_toxicity)
+    f.__name__: f for f in (op1_near_dedup, op2_html_text, op3_quality, op4_neighbours, op5_mixing, op6_sharding, op7_decontaminate, op8_toxicity, op9_token_counts, op10_language)
 }
 
 _OP5 = """
