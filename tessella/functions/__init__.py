@@ -1 +1 @@
-"""Part of the slide-annotation analytics library."""
+"""Scalar functions: expressions on columns, JVM-side but for ``slugify``."""

@@ -1 +1 @@
-"""Part of the slide-annotation analytics library."""
+"""Operators on DataFrames of slides, annotations, tiles, mask runs and predictions."""

@@ -1 +1 @@
-"""Part of the slide-annotation analytics library."""
+"""Registered queries over the given tables, each with its SQL where SQL can say it."""

@@ -1 +1 @@
-"""Part of the slide-annotation analytics library."""
+"""Readers and writers of slides, annotation files, tiles and reports."""
