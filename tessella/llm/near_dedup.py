@@ -14,8 +14,11 @@ from tessella.llm.storage import stored
 
 ROWS, BANDS, SKETCH_LONGS = 6, 48, 8
 SAMPLES = ROWS * BANDS
-#: A candidate goes on to the full sets unless its sketch puts it this far under the threshold (about seven deviations).
-SLACK = 0.2
+#: A candidate goes on to the full sets unless its sketch puts it this far under the threshold (about five deviations).
+SLACK = 0.15
+WIDTH = 64.0 * SKETCH_LONGS
+#: Bands whose buckets are first linked to their smallest node; nodes of a bucket that one task compares.
+STAR_BANDS, BLOCK = 8, 1024
 U = np.uint64
 _rng = np.random.default_rng(2024)
 _A = (_rng.integers(0, 2**31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
@@ -110,15 +113,120 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """Rows of a bucket with the pair of blocks (i, j) in which they meet; a bucket of up to BLOCK nodes is one block, a larger one is cut by a hash of the node."""
+    k = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node"), k).cast("int")
+    rows = rows.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), k - 1)))
+    return rows.withColumn("i", F.least("_own", "_other")).withColumn("j", F.greatest("_own", "_other")).drop("_own", "_other", "size")
+
+
+def _by_block(rows: DataFrame) -> DataFrame:
+    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each block, which may span batches; a block is bounded."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        if not t.num_rows:
+            continue
+        key = np.stack([t.column(c).to_numpy() for c in ("bucket", "i", "j")], axis=1)
+        cut = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1), len(key)]
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            part = t.slice(a, b - a)
+            if held and any(held[-1].column(c)[-1] != part.column(c)[0] for c in ("bucket", "i", "j")):
+                yield pa.concat_tables(held)
+                held = []
+            held.append(part)
+    if held:
+        yield pa.concat_tables(held)
+
+
+def _matrix(t: pa.Table, name: str) -> np.ndarray:
+    c = t.column(name).combine_chunks()
+    return np.asarray(c.flatten()).view(np.uint64).reshape(len(t), -1)
+
+
+def _likely(t: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (x, y) of different components whose sizes and sketches allow a link and that meet in no earlier band, with the estimates."""
+    comp = np.unique(t.column("component").to_numpy(zero_copy_only=False).astype(str), return_inverse=True)[1]
+    n, band = t.column("n").to_numpy(), int(t.column("band")[0].as_py())
+    sketch, bands = _matrix(t, "sketch"), _matrix(t, "bands")
+    out = []
+    for x in range(len(t) - 1):
+        y = np.arange(x + 1, len(t))
+        y = y[(comp[y] != comp[x]) & (np.minimum(n[y], n[x]) * 100 >= np.maximum(n[y], n[x]) * percent)]
+        if not len(y):
+            continue
+        odd = np.bitwise_count(sketch[y] ^ sketch[x]).sum(axis=1, dtype=np.int64)
+        e = 1 + WIDTH / (4 * SAMPLES) * np.log(np.maximum(1 - 2 * odd / WIDTH, 1e-9))
+        ok = e >= percent / 100 - SLACK
+        y, e = y[ok], e[ok]
+        if band and len(y):
+            ok = ~(bands[y, :band] == bands[x, :band]).any(axis=1)
+            y, e = y[ok], e[ok]
+        if len(y):
+            out.append((np.full(len(y), x), y, e))
+    if not out:
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def _sifter(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches):
+            x, y, _ = _likely(t, percent)
+            if len(x):
+                keep = np.unique(np.concatenate([x, y]))
+                yield from t.take(pa.array(keep)).select(["bucket", "i", "j", "node", "component", "band", "n", "sketch", "bands"]).combine_chunks().to_batches()
+
+    return run
+
+
+def _confirmer(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches):
+            x, y, e = _likely(t, percent)
+            names, comps = t.column("node").to_pylist(), t.column("component").to_pylist()
+            items = [np.asarray(v.values) for v in t.column("items").combine_chunks()]
+            root: dict[str, str] = {}
+
+            def top(c: str, root: dict[str, str] = root) -> str:
+                while (r := root.get(c, c)) != c:
+                    c = r
+                return c
+
+            a, b = [], []
+            for k in np.argsort(-e, kind="stable"):
+                p, q = int(x[k]), int(y[k])
+                if (cp := top(comps[p])) == (cq := top(comps[q])):
+                    continue
+                u, v = items[p], items[q]
+                at = np.minimum(np.searchsorted(u, v), len(u) - 1)
+                both = int((u[at] == v).sum())
+                if both * 100 >= (len(u) + len(v) - both) * percent:
+                    root[cq] = cp
+                    a.append(names[p])
+                    b.append(names[q])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity_percent: int = 80) -> DataFrame:
     """One row per row of ``docs(doc_id, text, ...)``: doc_id, n_shingles, component_id, kept; and node, group, text_key.
 
     Two texts are linked if ``100 * |A and B| >= similarity_percent * |A or B|`` for their sets of
     distinct ``shingle_words``-word shingles; component_id is the smallest doc_id that can be reached.
 
-    Equal sets are one node, so copies never meet in pairs. A bucket of a band links its nodes to its
-    smallest node first; only nodes of one bucket that are then still in different components are
-    paired with each other. Hot buckets stay distributed: their smallest node is a partial aggregate.
+    Equal sets are one node, so copies never meet in pairs. Buckets of the first bands link their nodes
+    to their smallest node. Every bucket, of any band, that then still holds several components is
+    compared in blocks of bounded size: odd sketches single out the nodes with a likely partner in
+    another component, in the first band that the two share, and the full sets confirm. A block
+    returns only links that join components, so no group's pairs are written out, and none is lost.
 
     Nulls and empty texts: an empty set, linked with nothing, each its own component, kept. A row
     without a doc_id belongs to its component and is kept only if no row of that component has an id.
@@ -130,41 +238,42 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity_percent:
     profile = stored(base.mapInArrow(_profiler(shingle_words), f"doc_id {kind}, text_key long, n_shingles long, node string, sketch array<long>, bands array<long>"), "profile")
     nodes = profile.filter("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("pick"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
     nodes = stored(nodes.select("node", F.col("pick.doc_id").alias("doc_id"), F.col("pick.text_key").alias("text_key"), "n", "sketch", "bands"), "nodes")
-    rows = nodes.select("node", F.explode("bands").alias("bucket"))
-    full = rows.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("far_end")).filter("centre != far_end")
+    rows = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
+    full = rows.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("far_end"), F.count(F.lit(1)).alias("size")).filter("centre != far_end").drop("far_end")
     members = stored(rows.join(full, "bucket"), "members")
     sketches = nodes.select("node", "n", "sketch", "doc_id", "text_key")
 
-    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        """Of distinct candidate pairs (a, b), those that the full sets confirm."""
-        side = lambda x: sketches.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
-        j = pairs.join(side("a"), "a").join(side("b"), "b")
-        odd = sum((F.bit_count(F.col("s_a")[k].bitwiseXOR(F.col("s_b")[k])) for k in range(SKETCH_LONGS)), F.lit(0))
-        width = 64.0 * SKETCH_LONGS
-        estimate = 1 + width / (4 * SAMPLES) * F.log(F.greatest(1 - 2 * odd / width, F.lit(1e-9)))
-        least = similarity_percent / 100
-        sized = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * similarity_percent
-        likely = stored(j.filter(sized & (estimate >= least - SLACK)).select("a", "b", "n_a", "n_b"), f"likely-{name}")
-        wanted = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct().join(nodes.select("node", "doc_id", "text_key"), "node")
-        wanted = wanted.select(F.col("doc_id").alias("w_id"), F.col("text_key").alias("w_key"))
-        texts = base.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_key") == F.col("w_key")), "left_semi").select("text")
-        sets = stored(texts.mapInArrow(_setter(shingle_words), "node string, items array<long>").dropDuplicates(["node"]), f"sets-{name}")
-        sides = likely.join(sets.select(F.col("node").alias("a"), F.col("items").alias("i_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("i_b")), "b")
-        both = F.size(F.array_intersect("i_a", "i_b"))
-        return sides.filter(both * 100 >= (F.col("n_a") + F.col("n_b") - both) * similarity_percent).select("a", "b")
+    def with_sets(wanted: DataFrame, name: str) -> DataFrame:
+        """(node, items) of the wanted nodes, from one text of each."""
+        keys = wanted.distinct().join(nodes.select("node", "doc_id", "text_key"), "node").select(F.col("doc_id").alias("w_id"), F.col("text_key").alias("w_key"))
+        texts = base.join(keys, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_key") == F.col("w_key")), "left_semi").select("text")
+        return stored(texts.mapInArrow(_setter(shingle_words), "node string, items array<long>").dropDuplicates(["node"]), f"sets-{name}")
 
     def linked(edges: DataFrame) -> DataFrame:
         return components(edges) if edges.limit(1).count() else spark.createDataFrame([], "node string, component string")
 
-    star = members.filter("node != centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
-    first = stored(confirmed(star, "star"), "links")
+    # 1. Each node with the smallest node of its buckets in the first bands.
+    star = members.filter((F.col("node") != F.col("centre")) & (F.col("band") < STAR_BANDS)).select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
+    side = lambda x: sketches.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
+    odd = sum((F.bit_count(F.col("s_a")[k].bitwiseXOR(F.col("s_b")[k])) for k in range(SKETCH_LONGS)), F.lit(0))
+    estimate = 1 + WIDTH / (4 * SAMPLES) * F.log(F.greatest(1 - 2 * odd / WIDTH, F.lit(1e-9)))
+    sized = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * similarity_percent
+    likely = stored(star.join(side("a"), "a").join(side("b"), "b").filter(sized & (estimate >= similarity_percent / 100 - SLACK)).select("a", "b", "n_a", "n_b"), "likely")
+    sets = with_sets(likely.select(F.col("a").alias("node")).union(likely.select("b")), "star")
+    both = F.size(F.array_intersect("i_a", "i_b"))
+    sides = likely.join(sets.select(F.col("node").alias("a"), F.col("items").alias("i_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("i_b")), "b")
+    first = stored(sides.filter(both * 100 >= (F.col("n_a") + F.col("n_b") - both) * similarity_percent).select("a", "b"), "links")
     found = linked(first)
-    placed = members.select("bucket", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+    # 2. In every bucket that still holds several components, the nodes with a likely partner in another, by sketches.
+    placed = members.select("bucket", "band", "node", "size").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("bucket")
-    left = stored(placed.join(mixed, "bucket"), "apart")
-    other = left.select("bucket", F.col("node").alias("a"), F.col("component").alias("ca"))
-    rest = left.select("bucket", F.col("node").alias("b"), F.col("component").alias("cb")).join(other, "bucket").filter("ca < cb").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    second = stored(confirmed(rest, "rest"), "links")
+    apart = _in_blocks(placed.join(mixed, "bucket")).join(nodes.select("node", "n", "sketch", "bands"), "node")
+    kept = stored(_by_block(apart).mapInArrow(_sifter(similarity_percent), "bucket long, i int, j int, node string, component string, band int, n long, sketch array<long>, bands array<long>"), "sifted")
+
+    # 3. Those, with their full sets: the links that join components.
+    ready = kept.join(with_sets(kept.select("node"), "rest"), "node")
+    second = stored(_by_block(ready).mapInArrow(_confirmer(similarity_percent), "a string, b string").distinct(), "links")
     if second.limit(1).count():
         found = linked(first.union(second))
     least_id = nodes.join(found, "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
