@@ -135,7 +135,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_train_rows: int = 20_00
     n = marked.count()
     share = min(1.0, max_train_rows / max(n, 1))
     picked = F.pmod(F.xxhash64(F.lit(8), F.col("doc_id")), F.lit(1 << 30)) < int(share * (1 << 30))
-    train = docs.filter(picked).select("doc_id", "text").join(marked.filter(picked), "doc_id").select("text", "label")
+    # The sample of labels has about max_train_rows rows of two numbers, whatever the tables' sizes.
+    train = docs.filter(picked).select("doc_id", "text").join(F.broadcast(marked.filter(picked)), "doc_id").select("text", "label")
     sizes = dict(train.groupBy("label").count().collect())
     if len(sizes) < 2:
         share = 0.5 if not sizes else min(max(float(next(iter(sizes))), 0.02), 0.98)
