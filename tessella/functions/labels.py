@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_INT = 2147483647
 POINTS = "array<struct<x:int,y:int>>"
@@ -87,7 +88,7 @@ def slide_mpp(x: Column, y: Column) -> Column:
     return F.coalesce((x.try_cast("double") + y.try_cast("double")) / 2, F.lit(0.0))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _ascii(s: pd.Series) -> pd.Series:
     return s.str.normalize("NFKD").str.encode("ascii", "ignore").str.decode("ascii")
 

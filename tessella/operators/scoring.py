@@ -12,6 +12,12 @@ from pyspark.sql import functions as F
 from tessella.functions.pixels import argmax
 
 
+def _dense(v: np.ndarray | list) -> np.ndarray:
+    """Nested arrays of a row as one array."""
+    v = np.asarray(v)
+    return np.stack([_dense(x) for x in v]) if v.dtype == object else v.astype(float)
+
+
 def score_tiles(df: DataFrame, predict: Callable[[np.ndarray], np.ndarray], classes: int, batch: int = 16, column: str = "values") -> DataFrame:
     """D1. ``df`` with probs: ``predict`` of batches of the column's arrays, which must give (rows, ..., classes) numbers; flattened for each row.
 
@@ -22,7 +28,7 @@ def score_tiles(df: DataFrame, predict: Callable[[np.ndarray], np.ndarray], clas
         for f in frames:
             out = []
             for a in range(0, len(f), batch):
-                x = np.stack([np.asarray(v, float) for v in f[column].iloc[a : a + batch]])
+                x = np.stack([_dense(v) for v in f[column].iloc[a : a + batch]])
                 p = np.asarray(predict(x), float)
                 if p.shape[0] != len(x) or p.shape[-1] != classes:
                     raise ValueError(f"the model gave {p.shape} for {x.shape} and {classes} classes")

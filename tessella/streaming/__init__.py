@@ -1 +1 @@
-"""Part of the slide-annotation analytics library."""
+"""Annotation files as a stream."""
