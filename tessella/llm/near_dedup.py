@@ -190,7 +190,7 @@ def _confirmer(percent: int):
         for t in _groups(batches):
             x, y, e = _likely(t, percent)
             names, comps = t.column("node").to_pylist(), t.column("component").to_pylist()
-            items = [np.asarray(v.values) for v in t.column("items").combine_chunks()]
+            items = [np.asarray(v.values).view(np.uint64) for v in t.column("items").combine_chunks()]
             root: dict[str, str] = {}
 
             def top(c: str, root: dict[str, str] = root) -> str:
