@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Weights of the sources in code-point order, repeating.
-WEIGHTS, PASSES, BUCKET_ROWS = (5, 2, 1), 3, 20_000
+WEIGHTS, PASSES, BUCKET_ROWS = (5, 2, 1), 3, 2_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
