@@ -34,7 +34,7 @@ def _windows(size: int):
     return run
 
 
-def test_windows(benchmark: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+def windows_of(benchmark: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     """(win, terms) of distinct windows, and (win, item_id)."""
     kind = dict(benchmark.dtypes)["item_id"]
     rows = benchmark.select("item_id", "text").mapInArrow(_windows(size), f"item_id {kind}, terms array<long>")
@@ -151,7 +151,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window_words: int = 10)
     Repeated rows each get a row. Without any match items_sha256 is that of the empty string. Other
     columns are ignored.
     """
-    windows, items = test_windows(benchmark, window_words)
+    windows, items = windows_of(benchmark, window_words)
     rows, postings, ranked = positional_index(docs, windows, window_words - 1)
     matches = stored(phrase_matches(postings, ranked), "matches")
     words = matches.select("doc_id", "text_key", F.explode(F.expr("sequence(start, start + width - 1)")).alias("pos")).distinct().groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n_hit"))
