@@ -19,15 +19,17 @@ FOCUS = np.array([4.0, 1.0, 1.0])
 def pack(units: pd.DataFrame, shards: int) -> pd.DataFrame:
     """Place units, largest first, where the dot product of their shares with the residual capacity is highest.
 
-    The three dimensions are bytes, words and rows as shares of a shard's capacity; bytes count
-    FOCUS[0] times, as their balance is the law that is promised.
+    The three dimensions are bytes, words and rows as shares of a shard's capacity. Their balance by
+    bytes is the law that is promised: a shard whose bytes would overflow is passed over, and a unit
+    that fits nowhere goes where most bytes are left.
     """
     v = units[["bytes", "words", "n"]].to_numpy(float)
     v = v / np.maximum(v.sum(axis=0) / shards, 1e-9)
     order = np.lexsort((units["unit"].to_numpy(), -(v * FOCUS).sum(axis=1)))
     left, placed = np.ones((shards, 3)), np.zeros(len(v), np.int32)
     for k in order:
-        s = int(np.argmax(left @ (v[k] * FOCUS)))
+        fits = left[:, 0] >= v[k, 0]
+        s = int(np.argmax(np.where(fits, left @ (v[k] * FOCUS), -np.inf) if fits.any() else left[:, 0]))
         placed[k] = s
         left[s] -= v[k]
     return pd.DataFrame({"unit": units["unit"], "shard": placed})
