@@ -374,3 +374,8 @@ def test_pipeline(spark):
     odd = docs_frame(spark, ["a b c d e f", "a b c d e f", None, "", "a b c d e f"], [3, 1, None, 2, 1])
     assert sorted(str(r.doc_id) for r in P.near_dedup(spark, odd, SF).collect()) == ["1", "2", "None"]
     assert P.run(spark, SF).count() > 0
+
+
+@pytest.mark.parametrize("name", ["op1_near_dedup", "op7_decontaminate"])
+def test_same_rows_as_sql(spark, name):
+    assert rows(Q.QUERIES[name](spark, SF).toPandas()) == rows(connect().execute(Q.ORACLE[name]).fetchdf())
