@@ -19,33 +19,55 @@ CLOSES_P = BLOCK - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "th
 #: An open tag on the left ends at a new tag of the right, unless one of the stops stands between.
 IMPLIED = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th", "tr"}, {"table"}), "th": ({"td", "th", "tr"}, {"table"}), "option": ({"option"}, {"select"})}
 NOT_CONTENT = {"nav", "header", "footer", "aside", "form", "button", "menu", "dialog", "label", "fieldset", "head"}
-ROLE = re.compile(r"\brole\s*=\s*[\"']?(navigation|banner|contentinfo|complementary|search|form|alert|alertdialog|dialog|menu|menubar|toolbar)\b", re.I)
-NAMED = re.compile(r"\b(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|banner|promo\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri\w*|side-?bar|widget|menu|nav|navbar|navigation|breadcrumbs?|masthead|header|footer|comments?|commentlist|disqus|respond|repl(?:y|ies)|share|sharing|social|related|recommend\w*|login|signup|copyright|legal|toolbar|pagination|pager)(?=$|[\s_-])",
-    re.I,
-)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "alertdialog", "dialog", "menu", "menubar", "toolbar"}
+ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: Elements whose names can tell that they are no content.
+NAMED = (CONTAINER - {"article", "body", "html", "main"}) | {"ul", "ol", "dl"}
+#: A name counts if each of its words is one of these or of BESIDE. Elements with only a DOUBTFUL word can be content as well.
+NOISE = r"ads?|advert\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscri\w*|side-?bar|widget|menu|nav|navbar|navigation|breadcrumbs?|footer|share|sharing|social|related|recommend\w*|login|signup|toolbar|pagination|pager"
+TALK = r"comments?|commentlist|disqus|respond|replies"
+DOUBTFUL = r"notices?|alert|masthead|header|banner|reply|copyright|legal"
+BESIDE = r"bar|box|wrap|wrapper|container|list|links?|buttons?|icons?|area|block|top|bottom|left|right|site|page|global|primary|secondary|posts|articles|stories|items|\d+"
+NAMES = {kind: re.compile(rf"(?:(?:{BESIDE}|{DOUBTFUL})[_-]+)*(?:{words})(?:[_-]+(?:{NOISE}|{TALK}|{DOUBTFUL}|{BESIDE}))*", re.I) for kind, words in (("noise", NOISE), ("talk", TALK), ("doubtful", DOUBTFUL))}
+NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…、。，？！；：]")
 MASS = 0.9
+#: Characters of a text node that is running text.
+LONG = 80
+#: What the fused ratio of nodes inside doubtful elements is multiplied by.
+PENALTY = 0.25
 
 
-def _noise(tag: str, attributes: str, inside: list[str]) -> bool:
+def _attributes(source: str) -> dict[str, str]:
+    out: dict[str, str] = {}
+    for name, a, b, c in ATTRIBUTE.findall(source):
+        out.setdefault(name.lower(), a or b or c)
+    return out
+
+
+def _noise(tag: str, attributes: dict[str, str], inside: list[str]) -> bool:
+    """By structure: never content."""
     if tag in NOT_CONTENT:
         return not (tag == "header" and "article" in inside)
-    if not attributes:
-        return False
-    if ROLE.search(attributes) or HIDDEN.search(attributes):
-        return True
-    return tag not in ("body", "html", "article", "main") and any(NOISE.search(a or b or c) for a, b, c in NAMED.findall(attributes))
+    hidden = "hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true" or NO_DISPLAY.search(attributes.get("style", ""))
+    return bool(hidden) or any(r in ROLES for r in attributes.get("role", "").lower().split()[:1])
+
+
+def _named(tag: str, attributes: dict[str, str]) -> tuple[str, str] | None:
+    """(noise, talk or doubtful; the name) by a whole class or id."""
+    if tag not in NAMED:
+        return None
+    names = [*attributes.get("class", "").split(), *attributes.get("id", "").split()]
+    return next(((kind, n.lower()) for kind, form in NAMES.items() for n in names if form.fullmatch(n)), None)
 
 
 class Page:
-    """Text nodes of a page, outside of what structure marks as no content, with the element that holds each."""
+    """Text nodes of a page, outside of what structure marks as no content, with the element that holds each; and elements whose names are of no content."""
 
     def __init__(self, source: str):
         self.tags, self.parent, self.paths = ["#"], [0], [""]
         self.nodes: list[tuple[int, int, str]] = []  # element, block number, raw text
+        self.named: dict[int, tuple[str, str]] = {}
         block, stack, muted = 0, [0], 0
         at, n = 0, len(source)
         while at < n:
@@ -90,8 +112,11 @@ class Page:
             self.tags.append(tag)
             self.parent.append(stack[-1])
             self.paths.append(f"{self.paths[stack[-1]]}.{tag}")
-            if not muted and _noise(tag, m[3], names):
+            attributes = _attributes(m[3]) if m[3] else {}
+            if not muted and _noise(tag, attributes, names):
                 muted = element
+            elif not muted and (name := _named(tag, attributes)):
+                self.named[element] = name
             stack.append(element)
 
     def blocks(self) -> list[tuple[int, int, str]]:
@@ -99,6 +124,65 @@ class Page:
         return [(e, b, html.unescape(t)) for e, b, t in self.nodes]
 
 
+def _inside(page: Page, roots: set[int]) -> list[bool]:
+    """For each element, whether it is one of the roots or below one."""
+    out = [0 in roots]
+    for e in range(1, len(page.tags)):
+        out.append(e in roots or out[page.parent[e]])
+    return out
+
+
+def _muted(page: Page, nodes: list[tuple[int, int, str]]) -> tuple[set[int], set[int]]:
+    """Elements that their names mute, and the doubtful ones that stay.
+
+    An element stays if it holds an article or main, or if the elements of its name hold more than half
+    of the page's long text; by this talk stays only without other long text, and what is outside of an
+    article or main only if none has other text. A doubtful element also stays if it holds a first
+    heading, or long text that is not mostly links.
+    """
+    if not page.named:
+        return set(), set()
+    marked = _inside(page, {e for e, tag in enumerate(page.tags) if tag in ("article", "main")})
+    links = _inside(page, {e for e, tag in enumerate(page.tags) if tag == "a"})
+    chars, long, linked = ([0] * len(page.tags) for _ in range(3))
+    total, by_name, prose, article = 0, {}, False, False
+    for e, _, t in nodes:
+        n = len(t.strip())
+        running = n if n >= LONG and not links[e] else 0
+        up, names = e, set()
+        while up:
+            chars[up] += n
+            long[up] += running
+            linked[up] += n * links[e]
+            if up in page.named:
+                names.add(page.named[up])
+            up = page.parent[up]
+        article = article or n > 0 and marked[e] and not names
+        if running:
+            total += running
+            prose = prose or not any(kind == "talk" for kind, _ in names)
+            for name in names:
+                by_name[name] = by_name.get(name, 0) + running
+    holds: dict[int, set[str]] = {}
+    for e, tag in enumerate(page.tags):
+        if tag in ("article", "main", "h1"):
+            up = page.parent[e]
+            while up:
+                holds.setdefault(up, set()).add(tag)
+                up = page.parent[up]
+    out, stay = set(), set()
+    for e, name in page.named.items():
+        kind, own = name[0], holds.get(e, set())
+        most = 2 * by_name.get(name, 0) > total and not (kind == "talk" and prose) and (marked[e] or not article)
+        if own & {"article", "main"} or most:
+            continue
+        if kind == "doubtful" and ("h1" in own or long[e] and 2 * linked[e] < chars[e]):
+            stay.add(e)
+        else:
+            out.add(e)
+    return out, stay
+
+
 def _smoothed(x: np.ndarray) -> np.ndarray:
     w = np.exp(-(np.arange(-2, 3) ** 2) / 2.0)
     return np.convolve(np.pad(x, 2, mode="edge"), w / w.sum(), mode="valid")
@@ -107,7 +191,8 @@ def _smoothed(x: np.ndarray) -> np.ndarray:
 def content(source: str | None) -> str:
     """The main text of one page.
 
-    Every text node's tag path gets two ratios, characters and punctuation marks for each node of the
+    Text in elements that only their names mark as no content is left out as `_muted` says; if nothing
+    else has text, it stays. Every text node's tag path gets two ratios, characters and punctuation marks for each node of the
     path; both are smoothed along the page, multiplied, and the nodes at or above the threshold (half
     the mean of the fused ratio) are seeds. The innermost container with MASS of the seeds' characters,
     or the outermost article or main around it, is the article, and all its blocks are returned.
@@ -115,7 +200,11 @@ def content(source: str | None) -> str:
     if not source:
         return ""
     page = Page(source)
-    nodes = [(e, b, t) for e, b, t in page.blocks()]
+    nodes = page.blocks()
+    out_of, doubtful = _muted(page, nodes)
+    drop, doubt = _inside(page, out_of), _inside(page, doubtful)
+    if any(t.strip() and not drop[e] for e, _, t in nodes):
+        nodes = [x for x in nodes if not drop[x[0]]]
     full = [k for k, (_, _, t) in enumerate(nodes) if t.strip()]
     if not full:
         return ""
@@ -125,7 +214,7 @@ def content(source: str | None) -> str:
     _, of, n = np.unique(np.array(path, object).astype(str), return_inverse=True, return_counts=True)
     text_ratio = (np.bincount(of, size) / n)[of]
     mark_ratio = ((np.bincount(of, marks) + 0.1) / n)[of]
-    fused = _smoothed(text_ratio) * _smoothed(mark_ratio)
+    fused = _smoothed(text_ratio) * _smoothed(mark_ratio) * np.where([doubt[nodes[k][0]] for k in full], PENALTY, 1.0)
     seeds = fused >= fused.mean() / 2
     total, mass = float(size[seeds].sum()), {}
     for k in np.flatnonzero(seeds):

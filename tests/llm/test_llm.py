@@ -154,6 +154,26 @@ def test_html_of_the_pages(spark):
         assert r.text == "\n".join(x for x in parts if x)
 
 
+RUNNING = "A paragraph of running text, which is long enough, with some words and marks, to be the text of a page."
+
+
+@pytest.mark.parametrize("name", ["post category-legal", "layout with-sidebar", "newsletter", "modal"])
+def test_html_names_around_the_article(name):
+    text = f"<p>{RUNNING}</p>" * 5
+    want = "\n".join([RUNNING] * 5)
+    for inner in (text, f"<article>{text}</article>"):
+        assert content(f'<body><div class="{name}">{inner}</div><div class="sidebar"><p>Side, side.</p></div></body>') == want
+
+
+def test_html_names_inside_the_article():
+    text, own = f"<p>{RUNNING}</p>" * 5, "A part with a name, which is long enough, and with marks, to be the text of an article as well."
+    for part in ('<h2 id="related-work">{}</h2>', '<section class="related-work"><p>{}</p></section>', '<div class="entry-header"><h1>{}</h1></div>', '<div class="header"><h1>{}</h1></div>', '<p class="notice-period">{}</p>', '<p title="a hidden gem">{}</p>'):
+        assert content(f"<body><article>{part.format(own)}{text}</article></body>") == "\n".join([own] + [RUNNING] * 5), part
+    for part in ('<div class="cookie-notice"><p>{}</p></div>', '<div id="comments"><p>{}</p></div>', '<div hidden><p>{}</p></div>', '<div style="display: none">{}</div>', '<div class="related-posts"><p>{}</p></div>'):
+        assert content(f"<body><article>{text}{part.format(own)}</article></body>") == "\n".join([RUNNING] * 5), part
+    assert content(f'<body><div class="ad">{own}</div><article><p>Short.</p></article></body>') == "Short."
+
+
 def held_out(pred, labels, hold):
     pairs = [(pred[i], y) for i, y in labels.items() if hold(i) and y is not None]
     return sum(p == y for p, y in pairs) / len(pairs)
