@@ -188,14 +188,74 @@ def _smoothed(x: np.ndarray) -> np.ndarray:
     return np.convolve(np.pad(x, 2, mode="edge"), w / w.sum(), mode="valid")
 
 
+def _article(page: Page, nodes: list[tuple[int, int, str]], seeds: dict[int, float]) -> list[bool]:
+    """Which nodes are returned, from the places of the seeds and their characters.
+
+    All of the core; around each seed outside of it the outermost article or main, or else the nearest
+    container that does not hold the core too, or else the seed's block; all between these if no article
+    or main marks the core; the headings and unlinked list items that follow each other up to a part that
+    is returned, the unlinked list items that follow it, and an earlier first heading.
+    """
+    mass: dict[int, float] = {}
+    for k, n in seeds.items():
+        e = nodes[k][0]
+        while e:
+            mass[e] = mass.get(e, 0.0) + n
+            e = page.parent[e]
+    total = sum(seeds.values())
+
+    def innermost(least: float) -> int:  # elements are numbered in page order, so the innermost is last
+        return max((e for e, m in mass.items() if m >= least and page.tags[e] in CONTAINER), default=0)
+
+    def around(e: int) -> tuple[int, list[int]]:
+        best, up = 0, []
+        while e:
+            up.append(e)
+            if page.tags[e] in ("article", "main"):
+                best = e
+            e = page.parent[e]
+        return best, up
+
+    core, wide = innermost(MASS * total), innermost(total)
+    marked, above = around(core)
+    core = marked or core
+    inside = _inside(page, {core})
+    take = [inside[e] for e, _, _ in nodes]
+    if all(take[k] for k in seeds):
+        return take
+    roots, blocks = {core}, set()
+    for k in seeds:
+        if not take[k]:
+            best, up = around(nodes[k][0])
+            best = best or next((e for e in up if page.tags[e] in CONTAINER and e not in above and e != wide), 0)
+            roots |= {best} if best else set()
+            blocks |= set() if best else {nodes[k][1]}
+    inside, within = _inside(page, roots), _inside(page, {wide})
+    take = [inside[e] or b in blocks for e, b, _ in nodes]
+    if not marked:
+        places = [k for k, x in enumerate(take) if x]
+        take = [x or places[0] <= k <= places[-1] for k, x in enumerate(take)]
+    by_tag = {name: _inside(page, {e for e, tag in enumerate(page.tags) if tag in tags}) for name, tags in (("heading", {"h1", "h2", "h3", "h4", "h5", "h6"}), ("h1", {"h1"}), ("item", {"li", "dd", "dt"}), ("link", {"a"}))}
+    item = [by_tag["item"][e] and not by_tag["link"][e] for e, _, _ in nodes]
+    heading = [by_tag["heading"][e] for e, _, _ in nodes]
+    blank = [not t.strip() for _, _, t in nodes]
+    for k in range(len(nodes) - 2, -1, -1):
+        take[k] = take[k] or take[k + 1] and (heading[k] or item[k] or blank[k]) and within[nodes[k][0]]
+    for k in range(1, len(nodes)):
+        take[k] = take[k] or take[k - 1] and (item[k] or blank[k]) and within[nodes[k][0]]
+    first = take.index(True)
+    return [x or k < first and by_tag["h1"][nodes[k][0]] and within[nodes[k][0]] for k, x in enumerate(take)]
+
+
 def content(source: str | None) -> str:
     """The main text of one page.
 
     Text in elements that only their names mark as no content is left out as `_muted` says; if nothing
     else has text, it stays. Every text node's tag path gets two ratios, characters and punctuation marks for each node of the
     path; both are smoothed along the page, multiplied, and the nodes at or above the threshold (half
-    the mean of the fused ratio) are seeds. The innermost container with MASS of the seeds' characters,
-    or the outermost article or main around it, is the article, and all its blocks are returned.
+    the mean of the fused ratio) are seeds, as are the others of a path with half of its characters in
+    seeds. The innermost container with MASS of the seeds' characters, or the outermost article or main
+    around it, is the core; its blocks and those of every other seed are returned, as `_article` says.
     """
     if not source:
         return ""
@@ -216,26 +276,11 @@ def content(source: str | None) -> str:
     mark_ratio = ((np.bincount(of, marks) + 0.1) / n)[of]
     fused = _smoothed(text_ratio) * _smoothed(mark_ratio) * np.where([doubt[nodes[k][0]] for k in full], PENALTY, 1.0)
     seeds = fused >= fused.mean() / 2
-    total, mass = float(size[seeds].sum()), {}
-    for k in np.flatnonzero(seeds):
-        e = nodes[full[k]][0]
-        while e:
-            mass[e] = mass.get(e, 0.0) + size[k]
-            e = page.parent[e]
-    held = [e for e, m in mass.items() if m >= MASS * total and page.tags[e] in CONTAINER]
-    best = max(held, default=0)  # elements are numbered in page order, so the innermost is last
-    e = best
-    while e:
-        if page.tags[e] in ("article", "main"):
-            best = e
-        e = page.parent[e]
-    inside = {best}
-    for e in range(best + 1, len(page.tags)):
-        if page.parent[e] in inside:
-            inside.add(e)
+    chosen = seeds | ((np.bincount(of, size * seeds) / np.bincount(of, size))[of] >= 0.5)
+    take = _article(page, nodes, {full[k]: size[k] for k in np.flatnonzero(chosen)})
     out: dict[int, list[str]] = {}
-    for e, b, t in nodes:
-        if e in inside:
+    for k, (_, b, t) in enumerate(nodes):
+        if take[k]:
             out.setdefault(b, []).append(t)
     return "\n".join(x for x in (" ".join("".join(t).split()) for t in out.values()) if x)
 

@@ -174,6 +174,17 @@ def test_html_names_inside_the_article():
     assert content(f'<body><div class="ad">{own}</div><article><p>Short.</p></article></body>') == "Short."
 
 
+def test_html_returns_every_seed():
+    paragraphs = lambda n, word: "".join(f"<p>{word} {k} {RUNNING}</p>" for k in range(n))
+    lines = lambda n, word: [f"{word} {k} {RUNNING}" for k in range(n)]
+    main = f"<div class=text>{paragraphs(25, 'Main')}</div>"
+    assert content(f"<body><h1>Title</h1><div class=lead>{paragraphs(1, 'Lead')}</div>{main}<div>A line</div></body>") == "\n".join(["Title", *lines(1, "Lead"), *lines(25, "Main")])
+    last = f"<div class=text><h2>Last</h2>{paragraphs(2, 'End')}<ul><li>One<li>Two</ul></div>"
+    assert content(f"<body><div>{main}{last}</div><div>A line</div></body>") == "\n".join([*lines(25, "Main"), "Last", *lines(2, "End"), "One", "Two"])
+    two = f"<article>{paragraphs(25, 'Main')}</article><div>A line</div><article><h2>Second</h2>{paragraphs(2, 'End')}</article>"
+    assert content(f"<body><div>A line</div>{two}</body>") == "\n".join([*lines(25, "Main"), "Second", *lines(2, "End")])
+
+
 def held_out(pred, labels, hold):
     pairs = [(pred[i], y) for i, y in labels.items() if hold(i) and y is not None]
     return sum(p == y for p, y in pairs) / len(pairs)
