@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.llm.storage import stored
+
 PROJECTIONS, RATIO, FIRST_WIDTH = 96, 1.25, 0.25
 #: Vectors and queries that one task holds together.
 BLOCK_VECTORS, BLOCK_QUERIES = 8192, 2048
@@ -26,8 +30,8 @@ class CollisionIndex:
         self.sorted = np.take_along_axis(values.T, self.order, axis=1)
         self.spread = float(np.median(np.abs(self.sorted - np.median(self.sorted, axis=1, keepdims=True)))) or 1.0
 
-    def candidates(self, query: np.ndarray, k: int) -> np.ndarray:
-        """Rows that collide often enough, from windows around the query that virtual rehashing widens by RATIO."""
+    def candidates(self, query: np.ndarray, k: int, enough: Callable[[np.ndarray], bool] = lambda found: True) -> np.ndarray:
+        """Rows that collide often enough, from windows around the query that virtual rehashing widens by RATIO until there are enough."""
         n = len(self.ids)
         target, need = min(n, int(VERIFIED * n) + k + MORE), int(np.ceil(COLLIDES * PROJECTIONS))
         at, width = query @ self.lines, FIRST_WIDTH * self.spread
@@ -41,13 +45,13 @@ class CollisionIndex:
                 low[j], high[j] = min(a, low[j]), max(b, high[j])
             hits += np.bincount(np.concatenate(parts), minlength=n)
             found = np.flatnonzero(hits >= need)
-            if len(found) >= target or ((low == 0) & (high == n)).all():
+            if len(found) >= target and enough(found) or ((low == 0) & (high == n)).all():
                 return found
             width *= RATIO
 
 
 def search_block(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int) -> pd.DataFrame:
-    """The k nearest verified rows of the block for each query. Of equal vectors only the k + 1 smallest ids can count, so the rest stay out."""
+    """The k nearest verified ids of the block for each query, an id of several vectors by its nearest. Of equal vectors only the k + 1 smallest ids can count, so the rest stay out."""
     order = np.argsort(ids, kind="stable")
     vectors, ids = vectors[order], ids[order]
     _, first, of = np.unique(np.ascontiguousarray(vectors).view(np.dtype((np.void, vectors.shape[1] * vectors.itemsize))).ravel(), return_index=True, return_inverse=True)
@@ -56,54 +60,70 @@ def search_block(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, quer
     members = members[np.argsort(of[members], kind="stable")]
     cut = np.searchsorted(of[members], np.arange(len(first) + 1))
     index = CollisionIndex(vectors[first], first)
+    own = np.unique(ids)
+    repeated = len(own) < len(ids)
     out = []
+
+    def rows_of(found: np.ndarray) -> np.ndarray:
+        return np.concatenate([members[cut[f] : cut[f + 1]] for f in found]) if len(found) else np.zeros(0, int)
+
     for q, qid in zip(queries, query_ids, strict=True):
-        found = index.candidates(q, k)
+        if repeated:
+            most = min(k, len(own) - (qid in own))
+            found = index.candidates(q, k, lambda found, qid=qid, most=most: len(set(ids[rows_of(found)].tolist()) - {qid}) >= most)
+        else:
+            found = index.candidates(q, k)
         near = np.sqrt(((vectors[first[found]] - q) ** 2).sum(axis=1))
-        if len(found) > k + 1:
+        if len(found) > k + 1 and not repeated:
             found = found[near <= np.partition(near, k)[k]]
             near = np.sqrt(((vectors[first[found]] - q) ** 2).sum(axis=1))
-        rows = np.concatenate([members[cut[f] : cut[f + 1]] for f in found]) if len(found) else np.zeros(0, int)
+        rows = rows_of(found)
         score = np.repeat(near, cut[found + 1] - cut[found])
         ok = ids[rows] != qid
         rows, score = rows[ok], score[ok]
-        best = np.lexsort((ids[rows], score))[:k]
+        best = np.lexsort((ids[rows], score))
+        if repeated:
+            best = best[np.sort(np.unique(ids[rows[best]], return_index=True)[1])]
+        best = best[:k]
         out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[rows[best]], "score": score[best]}))
     return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v): rows with an id and a vector of finite components that are not all zero, in double precision."""
+    """(vec_id, v): distinct rows with an id and a vector of finite components that are not all zero, in double precision."""
     v = F.transform("embedding", lambda x: x.cast("double"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return vectors.select("vec_id", v.alias("v")).filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)).filter(fine).filter(F.exists("v", lambda x: x != 0))
+    return vectors.select("vec_id", "embedding").distinct().select("vec_id", v.alias("v")).filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)).filter(fine).filter(F.exists("v", lambda x: x != 0))
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found for each row of ``queries(vec_id, embedding)``, its own id left out.
 
-    The vectors are dealt by a hash into blocks of about BLOCK_VECTORS, the queries into blocks of
+    The distinct pairs of id and vector are dealt by a hash of both into blocks of about BLOCK_VECTORS, the queries into blocks of
     about BLOCK_QUERIES; each pair of blocks is one group of bounded size, which indexes its vectors,
     searches them and returns k rows a query. Score is the Euclidean distance in double precision;
     ties go to the smaller vec_id. Rows without an id, and vectors that are null, empty, zero or hold
     a null or non-finite component take no part; vectors meet only those of their own length. Repeated
-    rows of one vec_id are one candidate. With fewer than k candidates all are returned. Other columns
+    rows are one candidate. If a vec_id has several vectors, as a candidate or as a query, the least
+    distance found of any of them is its score. With fewer than k candidates all are returned. Other columns
     are ignored.
     """
-    base, asked = usable(vectors), usable(queries)
-    n_vectors, n_queries = max(1, base.count()), max(1, asked.count())
-    blocks, groups = -(-n_vectors // BLOCK_VECTORS), -(-n_queries // BLOCK_QUERIES)
-    left = base.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    right = asked.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    base, asked = stored(usable(vectors), "vectors"), stored(usable(queries), "queries")
+    (n_vectors, v_ids), (n_queries, q_ids) = (x.agg(F.count(F.lit(1)), F.count_distinct("vec_id")).first() for x in (base, asked))
+    blocks, groups = max(1, -(-n_vectors // BLOCK_VECTORS)), max(1, -(-n_queries // BLOCK_QUERIES))
+    dealt = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)).cast("int")
+    left = base.withColumn("block", dealt(blocks)).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    right = asked.withColumn("part", dealt(groups)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     left, right = (x.withColumn("dim", F.size("v")) for x in (left, right))
 
     def search(own: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         if own.empty or ask.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        own, ask = own.drop_duplicates("vec_id"), ask.drop_duplicates("vec_id")
         return search_block(np.stack(own["v"].to_numpy()), own["vec_id"].to_numpy(), np.stack(ask["v"].to_numpy()), ask["vec_id"].to_numpy(), k)
 
     key = ["dim", "block", "part"]
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(search, "query_id long, vec_id long, score double")
+    if n_vectors > v_ids or n_queries > q_ids:
+        found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

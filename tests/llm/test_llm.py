@@ -235,6 +235,27 @@ def test_neighbours(spark):
     assert nearest(d.limit(0), d.limit(0), 10).count() == 0
 
 
+def test_neighbours_of_ids_with_several_vectors(spark):
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(900, 8))
+    ids = [7 if k % 3 == 0 else 1 if k in (1, 2) else k for k in range(900)]  # a third of the rows have one id
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, vectors)] * 2, "vec_id long, embedding array<double>")
+    asked = d.filter("vec_id = 1 or vec_id = 7 or vec_id % 100 = 4")
+    got = {}
+    for r in nearest(d, asked, 10).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, round(r.score, 9)))
+    own = {i: vectors[[k for k, x in enumerate(ids) if x == i]] for i in set(ids)}
+    shared = total = 0
+    assert set(got) == {r.vec_id for r in asked.collect()}
+    for q, rows in got.items():
+        least = {i: float(np.sqrt(((v[:, None] - own[q][None]) ** 2).sum(axis=2)).min()) for i, v in own.items() if i != q}
+        assert [r for r, _, _ in sorted(rows)] == list(range(1, 11)) and len({i for _, i, _ in rows}) == 10
+        assert all(abs(least[i] - s) < 1e-6 for _, i, s in rows)
+        shared += len({i for _, i, _ in rows} & set(sorted(least, key=lambda i: (least[i], i))[:10]))
+        total += 10
+    assert shared >= 0.95 * total
+
+
 def test_mixing(spark):
     assert rows(Q.op5_mixing(spark, SF).toPandas()) == rows(connect().execute(Q.ORACLE["op5_mixing"]).fetchdf())
     d = docs_frame(spark, [*sentences(3, 400), None, "", "x " * 20_000])
