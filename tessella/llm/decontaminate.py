@@ -90,7 +90,8 @@ def positional_index(docs: DataFrame, windows: DataFrame, reach: int) -> tuple[D
     Terms are counted over the whole corpus; a window that has a term which never occurs is dropped,
     and the rarest term of each other window is its anchor. Postings ``(doc_id, text_key, term, pos)``
     are stored for every test term within ``reach`` words of an anchor's occurrence: all that an
-    intersection which starts at the rarest term can ask for.
+    intersection which starts at the rarest term can ask for. The windows' by_rarity has the reach in
+    its metadata.
     """
     kind = dict(docs.dtypes)["doc_id"]
     base = docs.select("doc_id", "text").withColumn("text_key", F.xxhash64("text"))
@@ -104,7 +105,7 @@ def positional_index(docs: DataFrame, windows: DataFrame, reach: int) -> tuple[D
     index = stored(base.mapInArrow(_indexer(anchors, vocabulary, reach), f"doc_id {kind}, text_key long, n_words long, terms array<long>, positions array<int>"), "index")
     postings = index.filter("size(terms) > 0").select("doc_id", "text_key", F.explode(F.arrays_zip("terms", "positions")).alias("p"))
     postings = postings.select("doc_id", "text_key", F.col("p.terms").alias("term"), F.col("p.positions").alias("pos")).distinct()
-    return index.select("doc_id", "text_key", "n_words"), postings, ranked
+    return index.select("doc_id", "text_key", "n_words"), postings, ranked.withMetadata("by_rarity", {"reach": reach})
 
 
 def _same_row(a: DataFrame, b: DataFrame):
@@ -132,13 +133,26 @@ def phrase_matches(postings: DataFrame, ranked: DataFrame) -> DataFrame:
     return met.union(short.distinct())
 
 
-def proximity_matches(postings: DataFrame, ranked: DataFrame, reach: int, share: float = 1.0) -> DataFrame:
-    """(doc_id, text_key, win, pos, n_terms): anchors with at least ``share`` of the window's distinct terms within ``reach`` words, in any order."""
+def proximity_matches(postings: DataFrame, ranked: DataFrame, reach: int | None = None, share: float = 1.0) -> DataFrame:
+    """(doc_id, text_key, win, pos, n_terms, first, last): anchors with at least ``share`` of the window's distinct terms within ``reach`` words, in any order.
+
+    first and last are the outermost positions of the terms' nearest occurrences. The reach is that of
+    the index if none is given; a larger one is refused, as the index lacks postings for it. Cells of
+    positions bound the pairs of one anchor, however often a document has a term.
+    """
+    held = ranked.schema["by_rarity"].metadata["reach"]
+    reach = held if reach is None else reach
+    if not 0 <= reach <= held:
+        raise ValueError(f"reach {reach} is not within the {held} words of the index")
+    width = 2 * reach + 1
+    cell = lambda x: F.floor(x / width)
     anchor = ranked.select("win", F.col("by_rarity")[0]["term"].alias("term"), F.array_distinct(F.col("by_rarity")["term"]).alias("needed"))
     found = postings.join(anchor, "term").select("doc_id", "text_key", "win", "pos", F.size("needed").alias("of"), F.explode("needed").alias("term"))
-    there = postings.withColumnsRenamed({"doc_id": "p_id", "text_key": "p_key", "term": "p_term", "pos": "p_pos"})
-    near = F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("text_key") == F.col("p_key")) & (F.col("term") == F.col("p_term")) & (F.abs(F.col("pos") - F.col("p_pos")) <= reach)
-    counted = found.join(there, near, "left_semi").groupBy("doc_id", "text_key", "win", "pos", "of").agg(F.count(F.lit(1)).alias("n_terms"))
+    found = found.withColumn("cell", F.explode(F.array_distinct(F.array(cell(F.col("pos") - reach), cell(F.col("pos") + reach)))))
+    there = postings.withColumnsRenamed({"doc_id": "p_id", "text_key": "p_key", "term": "p_term", "pos": "p_pos"}).withColumn("p_cell", cell(F.col("p_pos")))
+    near = F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("text_key") == F.col("p_key")) & (F.col("term") == F.col("p_term")) & (F.col("cell") == F.col("p_cell")) & (F.abs(F.col("pos") - F.col("p_pos")) <= reach)
+    nearest = found.join(there, near).groupBy("doc_id", "text_key", "win", "pos", "of", "term").agg(F.min(F.struct(F.abs(F.col("pos") - F.col("p_pos")), "p_pos"))["p_pos"].alias("at"))
+    counted = nearest.groupBy("doc_id", "text_key", "win", "pos", "of").agg(F.count(F.lit(1)).alias("n_terms"), F.min("at").alias("first"), F.max("at").alias("last"))
     return counted.filter(F.col("n_terms") >= F.ceil(F.col("of") * F.lit(share))).drop("of")
 
 
@@ -151,15 +165,32 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window_words: int = 10)
     Repeated rows each get a row. Without any match items_sha256 is that of the empty string. Other
     columns are ignored.
     """
+    return contamination_with_spans(docs, benchmark, window_words)[0]
+
+
+def contamination_with_spans(docs: DataFrame, benchmark: DataFrame, window_words: int = 10, reach: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows of `contamination`, and from the same index the matches ``(doc_id, text_key, item_id, kind, first, last)`` of all documents.
+
+    Kind is exact, where first and last are the places of the words from 0, or proximity: every distinct
+    term of a window lies within ``reach`` words (``window_words`` - 1 if none) of an occurrence of its
+    rarest one, in any order. An exact match of at most reach + 1 words is also a proximity match. Equal
+    rows have one set of spans; those of an item without an id have a null. The rows come from exact
+    matches alone, and the spans cost nothing unless they are read.
+    """
+    reach = window_words - 1 if reach is None else reach
     windows, items = windows_of(benchmark, window_words)
-    rows, postings, ranked = positional_index(docs, windows, window_words - 1)
+    rows, postings, ranked = positional_index(docs, windows, max(window_words - 1, reach))
     matches = stored(phrase_matches(postings, ranked), "matches")
     words = matches.select("doc_id", "text_key", F.explode(F.expr("sequence(start, start + width - 1)")).alias("pos")).distinct().groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n_hit"))
     listed = matches.select("doc_id", "text_key", "win").distinct().join(items.filter("item_id is not null"), "win").groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     hits = words.join(listed, _same_row(words, listed), "left").select(words["doc_id"].alias("h_id"), words["text_key"].alias("h_key"), "n_hit", "items")
     out = rows.join(hits, rows["doc_id"].eqNullSafe(hits["h_id"]) & (rows["text_key"] == hits["h_key"]), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    return out.select(
+    exact = matches.select("doc_id", "text_key", "win", F.lit("exact").alias("kind"), F.col("start").cast("int").alias("first"), (F.col("start") + F.col("width") - 1).cast("int").alias("last"))
+    close = proximity_matches(postings, ranked, reach).select("doc_id", "text_key", "win", F.lit("proximity").alias("kind"), "first", "last")
+    spans = exact.union(close).join(items, "win").select("doc_id", "text_key", "item_id", "kind", "first", "last").distinct()
+    out = out.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "text_key",
     )
+    return out, spans

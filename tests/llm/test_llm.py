@@ -20,7 +20,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 from oracle import SF, connect, rows
 
 from tessella.llm import queries as Q
-from tessella.llm.decontaminate import contamination, positional_index, proximity_matches, windows_of
+from tessella.llm.decontaminate import contamination, contamination_with_spans, positional_index, proximity_matches, windows_of
 from tessella.llm.html_text import content, extract
 from tessella.llm.language import fit_crf, fit_language, predict_language
 from tessella.llm.mixing import mix, served
@@ -333,6 +333,34 @@ def test_proximity(spark):
     assert {r.doc_id for r in proximity_matches(postings, ranked, 5).collect()} == {0, 1}
 
 
+def test_spans_of_one_index(spark):
+    items = {1: "alpha beta gamma", 2: "the the the", 3: "solo", 4: "delta epsilon delta"}
+    texts = [*sentences(31, 20), "alpha one beta two gamma", "gamma beta alpha", "alpha " + "x " * 30 + "beta gamma", "y " * 50 + "alpha " + "x " * 11 + "gamma beta", None, "", "the " * 60, "alpha beta gamma", "solo", "epsilon x delta", "delta epsilon delta", "beta gamma gamma"]
+    d = docs_frame(spark, texts)
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    for reach in (None, 4, 13):
+        rows_, spans = contamination_with_spans(d, bench, 10, reach)
+        n = 9 if reach is None else reach
+        words = [(t or "").lower().split() for t in texts]
+        count = collections.Counter(w for ws in words for w in ws)
+        want = set()
+        for i, ws in enumerate(words):
+            for item, t in items.items():
+                own = t.split()
+                want |= {(i, item, "exact", k, k + len(own) - 1) for k in range(len(ws)) if ws[k : k + len(own)] == own}
+                rarest = min(set(own), key=lambda w: count[w])
+                for k in (k for k, w in enumerate(ws) if w == rarest):
+                    at = [min(((abs(j - k), j) for j, w in enumerate(ws) if w == x), default=(n + 1, 0)) for x in set(own)]
+                    if max(a for a, _ in at) <= n:
+                        want.add((i, item, "proximity", min(j for _, j in at), max(j for _, j in at)))
+        assert {(r.doc_id, r.item_id, r.kind, r.first, r.last) for r in spans.collect()} == want
+        assert sorted((r.doc_id, r.n_hit, r.n_items) for r in rows_.collect()) == sorted((r.doc_id, r.n_hit, r.n_items) for r in contamination(d, bench).collect())
+    windows, _ = windows_of(bench, 10)
+    _, postings, ranked = positional_index(d, windows, 9)
+    with pytest.raises(ValueError):
+        proximity_matches(postings, ranked, 10)
+
+
 def test_toxicity(spark):
     sf = SF.replace("sf0.001", "sf0.01")
     got = Q.op8_toxicity(spark, sf).collect()
