@@ -85,6 +85,16 @@ def top_rows(df: DataFrame, metric: str, k: int, tie: str) -> DataFrame:
     return df.orderBy(F.desc(metric), tie).limit(k)
 
 
+def top_rows_by(df: DataFrame, metrics: list[str], k: int, tie: str) -> DataFrame:
+    """O2. (metric, rank, tie, value): the k rows with the greatest value of each of the metrics, ties by name; ranks from 1. The values are stored, so that they are made once."""
+    rows = stored(df.select(tie, *metrics), "metrics")
+    best = [top_rows(rows.select(F.lit(m).alias("metric"), tie, F.col(m).alias("value")), "value", k, tie) for m in metrics]
+    out = best[0]
+    for b in best[1:]:
+        out = out.union(b)
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("metric").orderBy(F.desc("value"), tie))).select("metric", "rank", tie, "value")
+
+
 def limit_samples(df: DataFrame, key: str, n: int) -> DataFrame:
     """O3. The first n by name; all for 0."""
     return df.orderBy(key).limit(n) if n else df

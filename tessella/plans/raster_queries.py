@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tessella.functions import pixels as P
 from tessella.operators import annotations as A
 from tessella.operators import detection as D
+from tessella.operators import metrics as M
+from tessella.operators import ranking as RK
 from tessella.operators import raster as R
 from tessella.operators import tiling as T
 from tessella.operators.scoring import mirror_model, score_tiles
@@ -154,6 +156,22 @@ def _(t: Tables) -> DataFrame:
     return R.cluster_core_issues(_runs(t, 2), _shifted(t))
 
 
+_AUDIT = ("normal_to_path_px", "path_to_normal_px", "cluster_core_issue_count")
+
+
+@query("o2_top_errors_by_metric", MASK, "RECURSIVE" + _mask_lab(2, 1) + """, s AS (SELECT img_id, y, x, cls AS gt, CASE WHEN cls = 2 AND (x * 7 + y * 3 + img_id) % 10 < 7 THEN 1 WHEN cls = 1 AND (x * 5 + y + img_id) % 10 < 2 THEN 2 ELSE cls END AS pred FROM fx_mask),
+ c AS (SELECT l.img_id, comp, COUNT(*) AS n, avg((pred = 2)::INT) AS red, avg((pred = 1)::INT) AS normal FROM lab l JOIN s ON l.img_id = s.img_id AND l.y = s.y AND s.x BETWEEN x0 AND x1 GROUP BY 1, 2),
+ b AS (SELECT img_id, COUNT(*) AS n FROM c WHERE n >= 25 AND red > 0 AND red < 0.35 AND normal > 0.4 GROUP BY 1),
+ m AS (SELECT img_id, COUNT(*) FILTER (gt = 1 AND pred = 2) AS normal_to_path_px, COUNT(*) FILTER (gt = 2 AND pred = 1) AS path_to_normal_px FROM s GROUP BY 1),
+ u AS (""" + " UNION ALL ".join(f"SELECT '{k}' AS metric, img_id, {'coalesce(n, 0)' if k == _AUDIT[2] else k} AS value FROM m LEFT JOIN b USING (img_id)" for k in _AUDIT) + """)
+SELECT metric, CAST(rank AS INT) AS rank, img_id, value FROM (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY value DESC, img_id) AS rank FROM u) WHERE rank <= 80""")
+def _(t: Tables) -> DataFrame:
+    other = (F.col("x") * 5 + F.col("y") + F.col("img_id")) % 10 < 2
+    px = _shifted(t).withColumn("pred", F.when((F.col("gt") == 1) & other, 2).otherwise(F.col("pred")))
+    samples = M.sample_metrics(px, "img_id").join(R.cluster_core_issues(_runs(t, 2), px).withColumnRenamed("issues", _AUDIT[2]), "img_id")
+    return RK.top_rows_by(samples, list(_AUDIT), 80, "img_id")
+
+
 @query("w11_integral_image", MASK, "SELECT img_id, y, x, CAST(sum(s) OVER (PARTITION BY img_id, x ORDER BY y) AS BIGINT) AS s FROM (SELECT img_id, y, x, sum((cls = 2)::INT) OVER (PARTITION BY img_id, y ORDER BY x) AS s FROM fx_mask)")
 def _(t: Tables) -> DataFrame:
     return R.integral_image(t.mask(), (F.col("cls") == 2).cast("int"))

@@ -206,3 +206,9 @@ def test_images(spark, tmp_path):
     assert (r.name, r.height, r.width, list(r.data[::3])) == ("t1", 2, 3, [0, 127, 255, 1, 2, 3])
     files = spark.createDataFrame([("t1", bytes(content)), ("x", b"BM"), ("y", None)], "name string, content binary")
     assert [(x.name, list(x["values"])) for x in S.decode_bmp(files).collect()] == [("t1", [0, 127, 255, 1, 2, 3])]
+
+
+def test_top_rows_by_each_metric(spark):
+    d = spark.createDataFrame([("a", 1, 0), ("b", 3, 0), ("c", 3, 5), ("d", 0, 1)], "name string, m long, n long")
+    got = {(r.metric, r.rank, r.name, r.value) for r in RK.top_rows_by(d, ["m", "n"], 2, "name").collect()}
+    assert got == {("m", 1, "b", 3), ("m", 2, "c", 3), ("n", 1, "c", 5), ("n", 2, "d", 1)}
