@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -11,43 +11,86 @@ from pyspark.sql import functions as F
 
 from tessella.llm.storage import stored
 
-PROJECTIONS, RATIO, FIRST_WIDTH = 96, 1.25, 0.25
+#: Lines that vectors are projected on; a vector is verified once it collides with the query on this share of them.
+PROJECTIONS, COLLIDES = 128, 0.6
+#: Windows stop where a vector as far as the k-th best would collide often enough, with this many deviations to spare.
+SPARE = 1.0
+#: First half width of windows, in median deviations of a projection, and the most that one round may widen it.
+FIRST_WIDTH, STEEPEST = 0.25, 4.0
 #: Vectors and queries that one task holds together.
-BLOCK_VECTORS, BLOCK_QUERIES = 8192, 2048
-#: A vector is verified once it collides on this share of the projections; windows widen until this share of a block (and MORE besides k) is verified.
-COLLIDES, VERIFIED, MORE = 0.62, 0.06, 100
+BLOCK_VECTORS, BLOCK_QUERIES = 8192, 8192
+
+
+def reach_of(share: float) -> float:
+    """Half width, in distances of a vector from the query, at which it collides on this share of the lines."""
+    return NormalDist().inv_cdf((1 + min(share, 0.9999)) / 2)
+
+
+def sure_share(projections: int = PROJECTIONS, share: float = COLLIDES, spare: float = SPARE) -> float:
+    """The least chance of colliding on one line at which ``share`` of the lines is reached with ``spare`` deviations."""
+    p = np.linspace(share, 0.9999, 4000)
+    enough = projections * p - spare * np.sqrt(projections * p * (1 - p)) >= np.ceil(share * projections)
+    return float(p[np.argmax(enough)]) if enough.any() else 0.9999
 
 
 class CollisionIndex:
-    """Sorted projections of one block of vectors."""
+    """One sorted array of projections for each line, over the vectors of a block.
 
-    def __init__(self, vectors: np.ndarray, ids: np.ndarray):
-        self.vectors, self.ids = vectors, ids
+    The lines are the axes of random rotations, so that the squares of a difference's projections on
+    the lines of one rotation add up to its length exactly. The arrays lie end to end in one, each
+    moved by a gap wider than any window, so that the windows of all lines are found by one search.
+    """
+
+    def __init__(self, vectors: np.ndarray, projections: int = PROJECTIONS):
+        n, d = vectors.shape
         rng = np.random.default_rng(44)
-        self.lines = rng.normal(size=(vectors.shape[1], PROJECTIONS))
-        values = vectors @ self.lines
-        self.order = np.argsort(values, axis=0, kind="stable").T.astype(np.int32)
-        self.sorted = np.take_along_axis(values.T, self.order, axis=1)
-        self.spread = float(np.median(np.abs(self.sorted - np.median(self.sorted, axis=1, keepdims=True)))) or 1.0
-
-    def candidates(self, query: np.ndarray, k: int, enough: Callable[[np.ndarray], bool] = lambda found: True) -> np.ndarray:
-        """Rows that collide often enough, from windows around the query that virtual rehashing widens by RATIO until there are enough."""
-        n = len(self.ids)
-        target, need = min(n, int(VERIFIED * n) + k + MORE), int(np.ceil(COLLIDES * PROJECTIONS))
-        at, width = query @ self.lines, FIRST_WIDTH * self.spread
-        start = np.array([np.searchsorted(s, v) for s, v in zip(self.sorted, at, strict=True)])
-        low, high, hits = start.copy(), start.copy(), np.zeros(n, np.int32)
+        turns = [np.linalg.qr(rng.normal(size=(d, d)))[0] * np.sqrt(d) for _ in range(-(-projections // d))]
+        self.vectors, self.lines = vectors, np.concatenate(turns, axis=1)[:, :projections]
+        values = (vectors @ self.lines).T
+        order = np.argsort(values, axis=1, kind="stable")
+        values = np.take_along_axis(values, order, axis=1)
+        self.moved = np.arange(projections) * (2 * np.abs(values).max() + 1)
+        self.values, self.order = (values + self.moved[:, None]).ravel(), order.ravel()
+        self.first = np.arange(projections) * n
+        self.spread = float(np.median(np.abs(values - np.median(values, axis=1, keepdims=True)))) or 1.0
+        self.read = 0  # entries of the sorted arrays that windows have covered
+
+    def search(self, query: np.ndarray, kth) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, distances) of the verified vectors. ``kth(rows, distances)`` tells the distance of the k-th best so far.
+
+        Each round reads what the wider windows add to both sides, counts collisions and verifies the
+        vectors that have now collided often enough. The next width is that at which the vector that
+        is k-th by collisions would be verified, going by its share of collisions so far; the last is
+        that at which a vector as far as the k-th best distance is sure to be verified.
+        """
+        n, m = len(self.vectors), len(self.first)
+        need, sure, likely = int(np.ceil(COLLIDES * m)), reach_of(sure_share(m)), reach_of(COLLIDES)
+        at, width, best = query @ self.lines + self.moved, FIRST_WIDTH * self.spread, np.inf
+        low = high = np.clip(np.searchsorted(self.values, at), self.first, self.first + n)
+        hits, seen = np.zeros(n, np.int64), np.zeros(n, bool)
+        rows, distances = np.zeros(0, np.int64), np.zeros(0)
         while True:
-            parts = []
-            for j in range(PROJECTIONS):
-                a, b = np.searchsorted(self.sorted[j], (at[j] - width, at[j] + width))
-                parts += (self.order[j, a : low[j]], self.order[j, high[j] : b])
-                low[j], high[j] = min(a, low[j]), max(b, high[j])
-            hits += np.bincount(np.concatenate(parts), minlength=n)
-            found = np.flatnonzero(hits >= need)
-            if len(found) >= target and enough(found) or ((low == 0) & (high == n)).all():
-                return found
-            width *= RATIO
+            a, b = np.split(np.searchsorted(self.values, np.concatenate([at - width, at + width])), 2)
+            a, b = np.clip(a, self.first, low), np.clip(b, high, self.first + n)
+            sides = zip(np.concatenate([a, high]).tolist(), np.concatenate([low, b]).tolist(), strict=True)
+            if added := [self.order[x:y] for x, y in sides if y > x]:
+                hits += np.bincount(np.concatenate(added), minlength=n)
+            low, high = a, b
+            new = np.flatnonzero((hits >= need) & ~seen)
+            if len(new):
+                seen[new] = True
+                rows = np.concatenate([rows, new])
+                distances = np.concatenate([distances, np.sqrt(((self.vectors[new] - query) ** 2).sum(axis=1))])
+                best = kth(rows, distances)
+            covered = int((high - low).sum())
+            if width >= sure * best or covered == n * m:
+                self.read += covered
+                return rows, distances
+            wide = STEEPEST * width
+            if best == np.inf or width < likely * best:
+                share = np.partition(hits, max(n - 12, 0))[max(n - 12, 0)] / m
+                wide = min(max(width / reach_of(share) * likely, 1.1 * width), wide) if share > 0 else wide
+            width = min(wide, sure * best)
 
 
 def search_block(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int) -> pd.DataFrame:
@@ -59,33 +102,37 @@ def search_block(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, quer
     members = np.flatnonzero(rank <= k)
     members = members[np.argsort(of[members], kind="stable")]
     cut = np.searchsorted(of[members], np.arange(len(first) + 1))
-    index = CollisionIndex(vectors[first], first)
-    own = np.unique(ids)
-    repeated = len(own) < len(ids)
+    index = CollisionIndex(vectors[first])
+    repeated = len(np.unique(ids)) < len(ids)
+    simple = not repeated and len(members) == len(first)
     out = []
 
-    def rows_of(found: np.ndarray) -> np.ndarray:
-        return np.concatenate([members[cut[f] : cut[f + 1]] for f in found]) if len(found) else np.zeros(0, int)
-
-    for q, qid in zip(queries, query_ids, strict=True):
-        if repeated:
-            most = min(k, len(own) - (qid in own))
-            found = index.candidates(q, k, lambda found, qid=qid, most=most: len(set(ids[rows_of(found)].tolist()) - {qid}) >= most)
-        else:
-            found = index.candidates(q, k)
-        near = np.sqrt(((vectors[first[found]] - q) ** 2).sum(axis=1))
-        if len(found) > k + 1 and not repeated:
-            found = found[near <= np.partition(near, k)[k]]
-            near = np.sqrt(((vectors[first[found]] - q) ** 2).sum(axis=1))
-        rows = rows_of(found)
-        score = np.repeat(near, cut[found + 1] - cut[found])
-        ok = ids[rows] != qid
-        rows, score = rows[ok], score[ok]
-        best = np.lexsort((ids[rows], score))
+    def ranked(rows: np.ndarray, distances: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) behind the rows, nearest first, each id once."""
+        held = np.concatenate([members[cut[r] : cut[r + 1]] for r in rows]) if len(rows) else np.zeros(0, int)
+        name, score = ids[held], np.repeat(distances, cut[rows + 1] - cut[rows])
+        name, score = name[name != own], score[name != own]
+        best = np.lexsort((name, score))
         if repeated:
-            best = best[np.sort(np.unique(ids[rows[best]], return_index=True)[1])]
-        best = best[:k]
-        out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[rows[best]], "score": score[best]}))
+            best = best[np.sort(np.unique(name[best], return_index=True)[1])]
+        return name[best], score[best]
+
+    for q, own in zip(queries, query_ids, strict=True):
+
+        def kth(rows: np.ndarray, distances: np.ndarray, own=own) -> float:
+            if len(rows) <= k and simple:
+                return np.inf
+            if simple:  # the query itself may be among them
+                return float(np.partition(distances, k)[k])
+            scores = ranked(rows, distances, own)[1]
+            return float(scores[k - 1]) if len(scores) >= k else np.inf
+
+        rows, distances = index.search(q, kth)
+        if len(rows) > k + 1 and not repeated:
+            near = distances <= np.partition(distances, k)[k]
+            rows, distances = rows[near], distances[near]
+        name, score = ranked(rows, distances, own)
+        out.append(pd.DataFrame({"query_id": own, "vec_id": name[:k], "score": score[:k]}))
     return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
 
@@ -109,6 +156,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     are ignored.
     """
     base, asked = stored(usable(vectors), "vectors"), stored(usable(queries), "queries")
+    # Collisions are counted where the sorted arrays are: as rows, they would be PROJECTIONS / 2 times vectors times queries.
     (n_vectors, v_ids), (n_queries, q_ids) = (x.agg(F.count(F.lit(1)), F.count_distinct("vec_id")).first() for x in (base, asked))
     blocks, groups = max(1, -(-n_vectors // BLOCK_VECTORS)), max(1, -(-n_queries // BLOCK_QUERIES))
     dealt = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)).cast("int")
