@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.mixing import WORD
+from tessella.llm.storage import covered, stored
 
-#: Light groups share this many bundles for each shard; a group above 1/HEAVY of a shard is cut into slices.
-BUNDLES, HEAVY, SLOT_ROWS = 256, 16, 20_000
+#: A group that is above 1/BUNDLES of a shard in bytes, words or rows is placed as it is; lighter groups share as many bundles for each shard.
+BUNDLES, SLOT_ROWS = 256, 20_000
+#: Only a group above a whole shard is cut, into slices of at most this share of one.
+SLICE = 0.75
 FOCUS = np.array([4.0, 1.0, 1.0])
 
 
@@ -38,51 +41,59 @@ def pack(units: pd.DataFrame, shards: int) -> pd.DataFrame:
 def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
     """``docs`` with shard_size, text_crc32, shard and slot.
 
-    shard_size is the text's UTF-8 bytes plus 8; equal texts are a group. Groups are gathered by hash
-    into at most ``BUNDLES * shards`` bundles, and groups above 1/HEAVY of a shard (in bytes or rows)
-    are cut into slices of about that size by a hash of doc_id; so the units that ``pack`` places are
-    a bounded table, at every size of the input. Slots count from 0 without gaps in each shard,
-    numbered by ranges of a hash so that no task holds a shard.
+    shard_size is the text's UTF-8 bytes plus 8; equal texts are a group, and all rows of a group go
+    to one shard unless the group is more than a shard's part of all bytes or rows; only then it
+    is cut in slices by a hash of doc_id. Groups above 1/BUNDLES of a shard are units of their own,
+    at most ``3 * BUNDLES * shards``; the lighter ones are gathered whole, by hash, in
+    ``BUNDLES * shards`` bundles. So the units that ``pack`` places are a bounded table, at every size
+    of the input. Slots count from 0 without gaps in each shard, numbered by ranges of a hash so that
+    no task holds a shard.
 
     A null text counts as no bytes and is one group; a null doc_id is a value like others. Repeated
-    rows are rows of their own. Columns with one of the new names are replaced.
+    rows are rows of their own; those equal in text and doc_id can't be told apart, so they stay in one
+    slice and one range of slots. Ties in size are placed by the groups' hashes. An empty table gives
+    an empty one. Columns with one of the four new names are replaced, others pass through.
     """
-    docs = docs.drop("shard_size", "text_crc32", "shard", "slot")
-    rows = docs.withColumns({
+    rows, back = covered(docs.drop("shard_size", "text_crc32", "shard", "slot"), "doc_id", "text")
+    rows = rows.withColumns({
         "shard_size": (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long"),
         "text_crc32": F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")),
-        "_group": F.xxhash64("text"),
-        "_words": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"),
+        "group": F.xxhash64("text"),
     })
-    return _placed(rows, shards)
-
-
-def _placed(rows: DataFrame, shards: int) -> DataFrame:
-    key = ["_group", "text_crc32", "shard_size"]
-    groups = rows.groupBy(*key).agg(F.sum("shard_size").alias("bytes"), F.count(F.lit(1)).alias("n"))
-    total = groups.agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n")).first()
-    all_bytes, all_n = (total["bytes"] or 0), (total["n"] or 0)
-    part = F.greatest(F.col("bytes") / max(all_bytes, 1), F.col("n") / max(all_n, 1)) * float(shards * HEAVY)
-    # at most 2 * shards * HEAVY groups can be heavy, whatever the input
-    heavy = groups.filter((part > 1) & (F.col("n") > 1)).select(*(F.col(k).alias(f"h{k}") for k in key), F.ceil(part).cast("int").alias("_slices"))
-    rows = rows.join(F.broadcast(heavy), (F.col("_group") == F.col("h_group")) & (F.col("text_crc32") == F.col("htext_crc32")) & (F.col("shard_size") == F.col("hshard_size")), "left")
-    bundle = F.pmod(F.col("_group"), F.lit(BUNDLES * shards)).cast("string")
-    sliced = F.concat_ws(":", F.col("_group").cast("string"), F.col("text_crc32").cast("string"), F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.col("_slices")).cast("string"))
-    rows = rows.withColumn("_unit", F.when(F.col("_slices").isNull(), bundle).otherwise(sliced)).drop("_slices", "h_group", "htext_crc32", "hshard_size")
-    units = rows.groupBy(F.col("_unit").alias("unit")).agg(F.sum("shard_size").alias("bytes"), F.sum("_words").alias("words"), F.count(F.lit(1)).alias("n"))
+    words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    groups = rows.select(F.col("group").alias("g"), F.col("text_crc32").alias("c"), F.col("shard_size").alias("s"), words.alias("w"))
+    groups = stored(groups.groupBy("g", "c", "s").agg(F.sum("s").alias("bytes"), F.sum("w").alias("words"), F.count(F.lit(1)).alias("n")), "groups")
+    total = [max(x or 0, 1) for x in groups.agg(F.sum("bytes"), F.sum("words"), F.sum("n")).first()]
+    share = {c: F.col(c) / float(t) * float(shards) for c, t in zip(("bytes", "words", "n"), total, strict=True)}
+    groups = groups.withColumns({"part": F.greatest(*share.values()), "held": F.greatest(share["bytes"], share["n"])})
+    bundle = lambda g: F.pmod(g, F.lit(BUNDLES * shards)).cast("string")
+    name = F.concat_ws(":", F.lit("g"), "g", "c", "s")
+    apart = F.col("part") > 1.0 / BUNDLES
+    own = groups.filter(apart).select("g", "c", "s", name.alias("u"), F.when(F.col("held") > 1, F.ceil(F.col("held") / SLICE)).otherwise(1).cast("int").alias("k"))
+
+    found = rows.join(F.broadcast(own), F.expr("group = g and text_crc32 = c and shard_size = s"), "left")
+    piece = F.concat_ws(":", "u", F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.col("k")).cast("string"))
+    found = found.withColumn("unit", F.when(F.col("u").isNull(), bundle(F.col("group"))).when(F.col("k") == 1, F.col("u")).otherwise(piece)).drop("g", "c", "s", "u")
+
+    light = groups.filter(~apart).groupBy(bundle(F.col("g")).alias("unit")).agg(*(F.sum(c).alias(c) for c in ("bytes", "words", "n")))
+    whole = groups.filter(apart & (F.col("held") <= 1)).select(name.alias("unit"), "bytes", "words", "n")
+    each = groups.filter("held > 1").select(F.col("g"), F.col("c"), F.col("s"), (F.col("words") / F.col("n")).cast("long").alias("w"))
+    cut = found.filter("k > 1").select("unit", F.col("group").alias("rg"), F.col("text_crc32").alias("rc"), F.col("shard_size").alias("rs"))
+    cut = cut.groupBy("unit", "rg", "rc", "rs").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(each), F.expr("rg = g and rc = c and rs = s"))
+    cut = cut.select("unit", (F.col("n") * F.col("rs")).alias("bytes"), (F.col("n") * F.col("w")).alias("words"), "n")
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = list(frames)
         if held:
             yield pack(pd.concat(held, ignore_index=True), shards)
 
-    # One task, but of a bounded table: BUNDLES * shards bundles and the heavy groups' slices.
-    placed = units.coalesce(1).mapInPandas(place, "unit string, shard int")
-    rows = rows.join(F.broadcast(placed), F.col("_unit") == F.col("unit")).drop("_unit", "unit")
-    ranges = max(1, -(-all_n // (shards * SLOT_ROWS)))
-    rows = rows.withColumn("_range", F.pmod(F.xxhash64(F.lit(6), F.col("doc_id"), F.col("_group")), F.lit(ranges)))
-    counts = rows.groupBy("shard", "_range").agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.select(F.col("shard").alias("_s"), F.col("_range").alias("_r"), (F.sum("_n").over(Window.partitionBy("shard").orderBy("_range")) - F.col("_n")).alias("_before"))
-    own = F.row_number().over(Window.partitionBy("shard", "_range").orderBy("doc_id", "text_crc32", "shard_size")) - 1
-    rows = rows.withColumn("slot", own).join(F.broadcast(counts) if ranges * shards <= 100_000 else counts, (F.col("shard") == F.col("_s")) & (F.col("_range") == F.col("_r")))
-    return rows.withColumn("slot", (F.col("slot") + F.col("_before")).cast("long")).drop("_range", "_s", "_r", "_before", "_group", "_words")
+    # One task places a table of bounded size; what it places is summed up before, in many.
+    placed = stored(light.unionByName(whole).unionByName(cut).repartition(1).mapInPandas(place, "unit string, shard int"), "placed")
+    found = found.join(F.broadcast(placed), "unit").drop("unit", "k")
+    ranges = max(1, -(-total[2] // (shards * SLOT_ROWS)))
+    found = found.withColumn("span", F.pmod(F.xxhash64(F.lit(6), "doc_id", "group"), F.lit(ranges)))
+    counts = found.groupBy(F.col("shard").alias("c_shard"), F.col("span").alias("c_span")).agg(F.count(F.lit(1)).alias("c_n"))
+    counts = counts.select("c_shard", "c_span", (F.sum("c_n").over(Window.partitionBy("c_shard").orderBy("c_span")) - F.col("c_n")).alias("c_before"))
+    place_in = F.row_number().over(Window.partitionBy("shard", "span").orderBy("doc_id", "text_crc32", "shard_size")) - 1
+    found = found.withColumn("own", place_in).join(F.broadcast(counts) if ranges * shards <= 100_000 else counts, F.expr("shard = c_shard and span = c_span"))
+    return found.select(*back, "shard_size", "text_crc32", "shard", (F.col("own") + F.col("c_before")).cast("long").alias("slot"))
