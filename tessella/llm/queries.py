@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessella.llm.decontaminate import contamination
 from tessella.llm.html_text import extract
 from tessella.llm.language import fit_language, predict_language
-from tessella.llm.mixing import WORD, mix
+from tessella.llm.mixing import WORD, mix, truncated
 from tessella.llm.near_dedup import near_duplicates
 from tessella.llm.neighbours import nearest
 from tessella.llm.quality import quality
@@ -53,7 +53,7 @@ def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = _read(spark, sf_dir, "documents").select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("mix_size"))
-    return mix(stored(sizes, "sizes"), size="mix_size").select("doc_id", F.col("mix_size").alias("size"), "source_size", "target", "taken")
+    return truncated(mix(stored(sizes, "sizes"), size="mix_size")).select("doc_id", F.col("mix_size").alias("size"), "source_size", "target", "taken", "upto_words")
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,20 +94,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 _OP5 = """
-WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
-    md5(concat('5|', coalesce(CAST(doc_id AS VARCHAR), ''))) AS h FROM documents),
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) AS src FROM d GROUP BY source),
 w AS (SELECT *, CAST([5, 2, 1][CAST((src - 1) % 3 + 1 AS INT)] AS BIGINT) AS weight, source_size * 3 AS most FROM s),
 f AS (SELECT *, most / weight AS fill FROM w),
 l AS (SELECT *, CAST(sum(source_size) OVER () - (sum(most) OVER (ORDER BY fill, src ROWS UNBOUNDED PRECEDING) - most) AS BIGINT)
     / CAST(sum(weight) OVER (ORDER BY fill, src ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS level FROM f),
 t AS (SELECT source, source_size, least(CAST(most AS DOUBLE), (SELECT level FROM l WHERE level <= fill ORDER BY fill, src LIMIT 1) * weight) AS target FROM l),
-p AS (SELECT d.doc_id, d.size, t.source_size, t.target,
-    CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY h, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) AS BIGINT) - d.size AS start
-    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, CAST(greatest(0, least(size, CAST(floor(target) AS BIGINT) - start))
-    + greatest(0, least(size, CAST(floor(target) AS BIGINT) - start - source_size))
-    + greatest(0, least(size, CAST(floor(target) AS BIGINT) - start - 2 * source_size)) AS BIGINT) AS taken FROM p
+p AS (SELECT d.*, t.source_size, t.target, md5(concat('5|', coalesce(CAST(doc_id AS VARCHAR), ''), '|', size)) AS h FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+o AS (SELECT *, CAST(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM p),
+k AS (SELECT *, CAST(greatest(0, least(size, CAST(floor(target) AS BIGINT) - (upto - size) - source_size * k)) AS BIGINT) AS words FROM o, range(0, 3) r(k)),
+q AS (SELECT *, CASE WHEN words > 0 THEN least(1.0::DOUBLE, upto / target + k * source_size / target) END AS time FROM k),
+z AS (SELECT *, CAST(sum(words) OVER (ORDER BY time ASC NULLS LAST, source ASC NULLS LAST, doc_id ASC NULLS LAST, size, k ROWS UNBOUNDED PRECEDING) AS BIGINT) AS reached FROM q)
+SELECT doc_id, any_value(size) AS size, any_value(source_size) AS source_size, any_value(target) AS target, CAST(sum(words) AS BIGINT) AS taken, max(CASE WHEN k = 0 AND words > 0 THEN reached END) AS upto_words FROM z GROUP BY doc_id
 """
 
 _AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
