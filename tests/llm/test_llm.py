@@ -6,6 +6,7 @@ import base64
 import collections
 import hashlib
 import html
+import itertools
 import random
 import re
 import sys
@@ -13,21 +14,23 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 from oracle import SF, connect, rows
 
+from tessella.llm import language
 from tessella.llm import queries as Q
 from tessella.llm.decontaminate import contamination, contamination_with_spans, positional_index, proximity_matches, windows_of
 from tessella.llm.html_text import content, extract
-from tessella.llm.language import fit_crf, fit_language, predict_language
-from tessella.llm.mixing import mix, served
+from tessella.llm.language import fit_crf, fit_language, language_spans, predict_language
+from tessella.llm.mixing import mix, served, truncated
 from tessella.llm.near_dedup import near_duplicates
 from tessella.llm.neighbours import nearest
 from tessella.llm.quality import isotonic, quality
-from tessella.llm.sharding import shard
+from tessella.llm.sharding import pack, shard
 from tessella.llm.token_edits import Counts, TokenTree, count_with_edits
 from tessella.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -264,6 +267,10 @@ def test_mixing(spark):
     assert abs(by.target.sum() - by["size"].sum()) < 1e-6 * by["size"].sum() and (by.taken - by.target).abs().max() <= 1
     assert (got.taken <= 3 * got.mix_size).all() and len(got) == 403
     stream = served(mix(d)).groupBy("doc_id").count().toPandas()
+    upto = truncated(mix(d)).toPandas()
+    assert upto.upto_words.max() <= got.taken.sum() and (upto.upto_words.isna() == (upto.taken == 0)).all() and (upto.upto_words.fillna(1e18) >= upto[["taken", "mix_size"]].min(axis=1)).all()
+    odd = mix(docs_frame(spark, ["a b", "a b", "c", None], [None, None, None, 4]).withColumnsRenamed({"score": "src", "label": "at", "bucket": "upto"}).withColumn("in1", F.lit(5)))
+    assert truncated(odd).columns == odd.columns + ["upto_words"] and served(odd).count() >= 3 and odd.filter("in1 = 5 and at = 'x' and upto = 7").count() == 4
     assert stream["count"].max() <= 3
     assert mix(d.limit(0)).count() == 0 and [r.taken for r in mix(docs_frame(spark, [None, ""])).collect()] == [0, 0]
 
@@ -278,13 +285,31 @@ def test_sharding(spark):
     size = got.groupby("shard").shard_size.sum()
     assert len(size) == 24 and size.max() <= 1.05 * size.mean()
     assert all(sorted(x.slot) == list(range(len(x))) for _, x in got.groupby("shard"))
-    small = got[got.text != "the same text again"].dropna(subset=["text"])
-    assert small.groupby("text").shard.nunique().max() == 1
+    share = max(600 / len(texts), 600 * 26 / size.sum()) * 24  # of a shard; more than one, so the group is cut
+    assert share > 1 and got[got.text == "the same text again"].shard.nunique() <= np.ceil(share / 0.75)
+    assert got[got.text != "the same text again"].dropna(subset=["text"]).groupby("text").shard.nunique().max() == 1
     assert rows(shard(d, 24).select("doc_id", "shard", "slot").toPandas()) == rows(got[["doc_id", "shard", "slot"]])
     assert shard(d.limit(0), 24).count() == 0
     assert sorted((r.slot, r.shard) for r in shard(docs_frame(spark, ["a", "a"], [None, None]), 2).collect())
 
 
+def test_sharding_keeps_groups_whole(spark):
+    """Groups up to a whole shard stay together; the packing is that of a plain packer."""
+    texts = [t for k in range(60) for t in [f"group {k} " + "w " * (k % 7)] * (k + 1)] + ["big " * 60] * 30 + sentences(9, 2000, 8)
+    got = shard(docs_frame(spark, texts), 12).toPandas()
+    assert got.groupby("text").shard.nunique().max() == 1 and got.groupby("shard").shard_size.sum().max() < 1.1 * got.shard_size.sum() / 12
+    units = pd.DataFrame({"unit": list("abcdefg"), "bytes": [50, 40, 30, 30, 20, 20, 10], "words": [1, 9, 3, 3, 2, 2, 1], "n": [1, 1, 1, 5, 1, 1, 1]})
+    v = units[["bytes", "words", "n"]].to_numpy(float) / (units[["bytes", "words", "n"]].sum().to_numpy() / 2)
+    left, want = [[1.0] * 3, [1.0] * 3], {}
+    for k in sorted(range(7), key=lambda k: (-(4 * v[k][0] + v[k][1] + v[k][2]), units.unit[k])):
+        dot = [4 * v[k][0] * r[0] + v[k][1] * r[1] + v[k][2] * r[2] for r in left]
+        fits = [s for s in (0, 1) if left[s][0] >= v[k][0]]
+        s = max(fits, key=lambda s: dot[s]) if fits else max((0, 1), key=lambda s: left[s][0])
+        want[units.unit[k]] = s
+        left[s] = [a - b for a, b in zip(left[s], v[k])]
+    assert dict(pack(units, 2).itertuples(index=False)) == want
+
+
 def brute_windows(items, size=10):
     out = collections.defaultdict(set)
     for i, t in items:
@@ -416,14 +441,56 @@ def test_language(spark):
     assert predict_language(d.limit(0), fit_crf([])).count() == 0
 
 
-def test_code_switched_words():
+def chain_by_enumeration(e, first, t):
+    m, pairs = np.zeros_like(e), np.zeros_like(t)
+    for a, b in zip(first[:-1], first[1:]):
+        paths = list(itertools.product(range(len(t)), repeat=b - a)) if b > a else []
+        weight = np.array([np.exp(sum(e[a + k, y] for k, y in enumerate(p)) + sum(t[x, y] for x, y in zip(p, p[1:]))) for p in paths])
+        for p, w in zip(paths, weight / weight.sum() if len(paths) else []):
+            for k, y in enumerate(p):
+                m[a + k, y] += w
+            for x, y in zip(p, p[1:]):
+                pairs[x, y] += w
+    return m, pairs
+
+
+@pytest.mark.parametrize("segment", [1, 2, 64])
+def test_forward_backward(segment, monkeypatch):
+    monkeypatch.setattr(language, "SEGMENT", segment)
+    rng = np.random.default_rng(1)
+    for _ in range(8):
+        first = np.concatenate([[0], np.cumsum(rng.integers(0, 7, 4))])
+        e, t = rng.normal(size=(first[-1], 3)) * 2, rng.normal(size=(3, 3))
+        for got, want in zip(language.forward_backward(e, first, t), chain_by_enumeration(e, first, t)):
+            assert np.allclose(got, want)
+
+
+def test_code_switched_words(spark):
     rng = random.Random(4)
     words = {"aa": ["foo", "fob", "fat", "off"], "zz": ["zig", "zag", "ziz", "gaz"]}
-    windows = [(" ".join(rng.choice(words[y]) for _ in range(12)), y) for y in rng.choices(["aa", "zz"], k=200)]
-    model = fit_crf(windows)
+    texts = [(" ".join(rng.choice(words[y]) for _ in range(12)) + (" " + " ".join(rng.choice(words["zz" if y == "aa" else "aa"]) for _ in range(4)) if k % 5 == 0 else ""), y) for k, y in enumerate(rng.choices(["aa", "zz"], k=300))]
+    model = fit_crf(texts)
     m, first = model.label_words(["foo fat off zig zag gaz fob fob fat"])
     assert [model.languages[k] for k in m.argmax(1)] == ["aa"] * 3 + ["zz"] * 3 + ["aa"] * 3 and first.tolist() == [0, 9]
     assert np.allclose(m.sum(1), 1) and model.transition[0, 0] > model.transition[0, 1]
+    d = docs_frame(spark, ["foo fat off zig zag gaz fob fob fat", None, "", "12 !", "zig-zag"], [7, 8, 9, 10, 7])
+    got = sorted((r.doc_id, r.first_word, r.last_word, r.lang) for r in language_spans(d, model).collect())
+    assert got == sorted([(7, 0, 2, "aa"), (7, 3, 5, "zz"), (7, 6, 8, "aa"), (7, 0, 1, "zz")])
+
+
+def test_lexicon_counts_all_rows(spark):
+    """Words that only rows outside of the sample hold still tell the language, and held-out rows teach nothing."""
+    texts = [("en" if k % 2 else "fr", "the cat sat on it" if k % 2 else "le chat est la bas") for k in range(400)] + [("en", "qqwx")] * 3 + [("fr", "zzyv")] * 3
+    d = spark.createDataFrame([(k, t, y) for k, (y, t) in enumerate(texts)], "doc_id long, text string, lang string")
+    model = fit_language(d, F.col("doc_id") % 7 != 3, train_docs=20)
+    h = {t: int(language.split([t])[2][0]) for t in ("cat", "qqwx", "zzyv")}
+    own = {w: model.lexicon.features(np.array([x], np.uint64))[0] for w, x in h.items()}
+    assert own["qqwx"][0] > 0.2 and own["zzyv"][1] > 0.2 and abs(own["cat"][0] - 0.5) < 0.01
+    got = {r.doc_id: r.lang_pred for r in predict_language(d.filter("text = 'qqwx' or text = 'zzyv'"), model).collect()}
+    assert set(got.values()) == {"en", "fr"} and all(got[k] == texts[k][0] for k in got)
+    long = docs_frame(spark, ["the cat " * 60_000, "le chat " * 3])
+    assert [r.lang_pred for r in predict_language(long, model).orderBy("doc_id").collect()] == ["en", "fr"]
+    assert fit_language(d.limit(0), F.lit(True)).languages == ["und"]
 
 
 def test_pipeline(spark):
