@@ -282,9 +282,9 @@ def _word_counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fit_language(docs: DataFrame, learn, train_docs: int = TRAIN_DOCS, lexicon_words: int = LEXICON_WORDS) -> LanguageModel:
     """Fit on rows of ``docs(doc_id, text, lang)`` where ``learn`` holds and text and lang are not null.
 
-    The lexicon counts the words of all these rows by language; its ``lexicon_words`` most frequent
-    ones of each language reach the driver (ties to the smaller hash), with their counts in every
-    language. The chain is fitted on the whole texts of about ``train_docs`` documents of each
+    The lexicon counts the words of all these rows by language; at most ``lexicon_words`` of each
+    language reach the driver, all those above a frequency (in steps of an eighth of a doubling), with
+    their counts in every language. The chain is fitted on the whole texts of about ``train_docs`` documents of each
     language, taken by a hash of doc_id. The languages are the values of lang. Repeated rows count
     again; rows without a doc_id have one hash. Without such a row the model knows no language, with
     one language it predicts that one. Other columns are ignored.
@@ -296,8 +296,17 @@ def fit_language(docs: DataFrame, learn, train_docs: int = TRAIN_DOCS, lexicon_w
     counts = known.select("lang", "text").mapInArrow(_word_counter, "lang string, word long, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
     counts = counts.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang"))
     counts = stored(counts, "lexicon")
-    frequent = [counts.select("word", "by_lang", F.col("by_lang")[x].alias("n")).filter("n is not null").orderBy(F.desc("n"), "word").limit(lexicon_words).select("word", "by_lang") for x in sorted(n)]
-    lexicon = {r["word"] & 0xFFFFFFFFFFFFFFFF: r["by_lang"] for part in frequent for r in part.collect()}
+    lexicon = {}
+    for lang in sorted(n):
+        own = counts.select("word", "by_lang", F.floor(F.log2(F.col("by_lang")[lang]) * 8).alias("level")).filter("level is not null")
+        held, least = 0, None  # the lowest level down to which at most lexicon_words words are held
+        for level, words in sorted(own.groupBy("level").count().collect(), reverse=True):
+            held += words
+            if held > lexicon_words:
+                break
+            least = level
+        if least is not None:
+            lexicon |= {r["word"] & 0xFFFFFFFFFFFFFFFF: r["by_lang"] for r in own.filter(F.col("level") >= least).select("word", "by_lang").collect()}
     share = F.element_at(F.create_map(*(F.lit(x) for k, v in n.items() for x in (k, min(1.0, train_docs / v)))), F.col("lang"))
     place = F.pmod(F.xxhash64(F.lit(10), F.col("doc_id")), F.lit(1 << 30))
     sample = known.filter(place < share * float(1 << 30)).select("lang", "text", F.xxhash64("doc_id", "text").alias("h")).toPandas().sort_values(["h", "text"])
