@@ -10,6 +10,7 @@ import itertools
 import random
 import re
 import sys
+import time
 import zlib
 from pathlib import Path
 
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 from oracle import SF, connect, rows
 
-from tessella.llm import language
+from tessella.llm import html_text, language
 from tessella.llm import queries as Q
 from tessella.llm.decontaminate import contamination, contamination_with_spans, positional_index, proximity_matches, windows_of
 from tessella.llm.html_text import content, extract
@@ -188,6 +189,45 @@ def test_html_returns_every_seed():
     assert content(f"<body><div>A line</div>{two}</body>") == "\n".join([*lines(25, "Main"), "Second", *lines(2, "End")])
 
 
+def test_html_ratios_choose(monkeypatch):
+    """Without names of tags and classes the ratios alone tell the text from menus and adverts; without the ratios the text changes."""
+    text = f"<p>{RUNNING}</p>" * 5
+    menu = "".join(f"<div class=x><a href=#>Item {k}</a></div>" for k in range(6))
+    for page in (f"<body><div>{menu}</div><div class=y>{text}</div><div>Imprint, 2020.</div></body>", f"<body><div class=y>{text}<section>{menu}</section></div></body>"):
+        assert content(page) == "\n".join([RUNNING] * 5)
+    one = f"<body><article>{text}<p><a href=#>Read the paper</a></p></article></body>"
+    assert content(one).endswith("Read the paper")
+    promo = f'<body><div class="ad">Buy.</div><article><div class="promo"><p>Now, or never.</p></div>{text}</article></body>'
+    assert content(promo) == "\n".join([RUNNING] * 5)
+    kept = f'<body><article><div class="promo">{text}{text}</div><p>Short.</p></article></body>'
+    assert content(kept) == "\n".join([RUNNING] * 10 + ["Short."])
+    monkeypatch.setattr(html_text, "selected", lambda path, size, marks, weight: np.ones(len(size), bool))
+    assert "Buy." in content(promo) and "Item 3" in content(f"<body><div class=y>{text}<section>{menu}</section></div></body>")
+
+
+def test_html_keeps_what_only_looks_like_noise():
+    text = f"<p>{RUNNING}</p>" * 5
+    for part, own in (('<div class="article-header"><h1>Big title</h1></div>', "Big title"), ('<p class="share-price">It fell by a third, in a day.</p>', "It fell by a third, in a day."), ("<p title=it's>A line.</p>", "A line."), ("<p>2 < 3 & 4 > 1</p>", "2 < 3 & 4 > 1"), ('<p title="x>y">Quoted.</p>', "Quoted.")):
+        assert content(f"<body><article>{part}{text}</article></body>") == "\n".join([own] + [RUNNING] * 5), part
+
+
+HOSTILE = {
+    "nested": lambda n: "<div>" * n + "text, here.", "unclosed": lambda n: "<b>x" * n, "quotes": lambda n: '<a "' * n, "open quotes": lambda n: "<a x='" * n + "y", "odd quotes": lambda n: "<p title=it's>x" * n,
+    "names": lambda n: "".join(f"<div class='ad{k}'>x" for k in range(n)), "long name": lambda n: "<div class='" + "advert_" * n + "!'>x</div>", "names in a row": lambda n: "<div class='" + "advert_" * 8 + "!'>x</div>" * n,
+    "articles": lambda n: "<article><h1>x</h1>" * n, "brackets": lambda n: "<" * n, "comments": lambda n: "<!--" * n, "scripts": lambda n: "<script>" * n,
+}
+
+
+@pytest.mark.parametrize("kind", HOSTILE)
+def test_html_takes_linear_time(kind):
+    def took(n):
+        source, began = HOSTILE[kind](n), time.perf_counter()
+        content(source)
+        return time.perf_counter() - began
+
+    assert took(40_000) < 0.1 + 12 * max(min(took(10_000) for _ in range(2)), 0.02)
+
+
 def held_out(pred, labels, hold):
     pairs = [(pred[i], y) for i, y in labels.items() if hold(i) and y is not None]
     return sum(p == y for p, y in pairs) / len(pairs)
