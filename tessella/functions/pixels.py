@@ -85,15 +85,22 @@ def overlay_category_native(p: Column, threshold: float) -> Column:
     return F.when(p2 > threshold, "red").when((p2 > LOW) & dominant, "yellow").when((p2 <= LOW) & dominant, "green2")
 
 
+def spline_line(n: int) -> list[float]:
+    """P32. The squared-spline window of n places, divided by its mean."""
+    rise = [(2 * i + 1) / n if n % 2 == 0 else 2 * (i + 1) / (n + 1) for i in range(n)]
+    t = [r if r <= 1 else 2 - r for r in rise]
+    raw = [(2 * v) ** 2 / 2 if i < n // 4 or i >= n - n // 4 else 1 - (2 * (v - 1)) ** 2 / 2 for i, v in enumerate(t)]
+    return [v * n / sum(raw) for v in raw]
+
+
+def spline_weight(i: Column, n: int) -> Column:
+    """P32. The weight of place i of a window of n."""
+    return F.element_at(F.array(*(F.lit(v) for v in spline_line(n))), i + 1)
+
+
 def spline_weights(spark: SparkSession, n: int) -> DataFrame:
-    """P32. (i, w): squared-spline window of n places, divided by its mean."""
-    i = F.col("i")
-    rise = (2 * i + 1) / F.lit(float(n)) if n % 2 == 0 else 2 * (i + 1) / F.lit(float(n + 1))
-    t = F.when(rise <= 1, rise).otherwise(2 - rise)
-    outer, inner = (2 * t) ** 2 / 2, 1 - (2 * (t - 1)) ** 2 / 2
-    raw = spark.range(n).select(F.col("id").cast("int").alias("i")).withColumn("r", F.when((i < n // 4) | (i >= n - n // 4), outer).otherwise(inner))
-    total = raw.agg(F.avg("r").alias("m"))
-    return raw.join(F.broadcast(total)).select("i", (F.col("r") / F.col("m")).alias("w"))
+    """P32. (i, w): the window as a table."""
+    return spark.range(n).select(F.col("id").cast("int").alias("i"), spline_weight(F.col("id").cast("int"), n).alias("w"))
 
 
 def flip_rot(y: Column, x: Column, n: int | Column, k: Column) -> tuple[Column, Column]:

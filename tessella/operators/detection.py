@@ -48,50 +48,64 @@ def roi_records(regions: DataFrame, probes: DataFrame) -> DataFrame:
     return box.select("slide_id", key.alias("key"), (F.col("x0") + F.col("px")).alias("x"), (F.col("y0") + F.col("py")).alias("y"), (F.col("x1") - F.col("x0") + 1).alias("width"), (F.col("y1") - F.col("y0") + 1).alias("height"))
 
 
+def regions(initial: DataFrame, least: int = 3) -> DataFrame:
+    """R38. (img_id, component, x, y, w, h): boxes of the non-background components (class 1 or 2 greatest, 8-connected) of at least ``least`` pixels, which are predicted again."""
+    lab = R.component_area_filter(R.connected_components(_runs_of(best(initial), F.col("pred") > 0), 8), least)
+    box = lab.groupBy("img_id", "component").agg(F.min("x0").alias("x"), F.min("y").alias("y"), F.max("x1").alias("_x"), F.max("y").alias("_y"))
+    return box.select("img_id", "component", "x", "y", (F.col("_x") - F.col("x") + 1).alias("w"), (F.col("_y") - F.col("y") + 1).alias("h"))
+
+
+def _over() -> Column:
+    return (F.col("q2") > F.col("q0")) & (F.col("q2") > F.col("q1"))
+
+
 def refine_regions(initial: DataFrame, region_preds: DataFrame) -> DataFrame:
-    """R38. The map with class 1 := p1 + p2 and class 2 := 0, overwritten where a region's prediction (img_id, y, x, q0, q1, q2) has class 2 greatest; an image without region predictions keeps its map."""
+    """R38. The map with class 1 := p1 + p2 and class 2 := 0, overwritten where a region's prediction (img_id, component, y, x, q0, q1, q2) has class 2 greatest, by the last such region; an image without region predictions keeps its map."""
     has = region_preds.select("img_id").distinct().withColumn("_has", F.lit(True))
-    d = initial.join(has, "img_id", "left").join(region_preds, ["img_id", "y", "x"], "left")
-    over = (F.col("q2") > F.col("q0")) & (F.col("q2") > F.col("q1"))
+    last = region_preds.filter(_over()).groupBy("img_id", "y", "x").agg(F.max_by(F.struct("q0", "q1", "q2"), "component").alias("_q"))
+    d = initial.join(has, "img_id", "left").join(last, ["img_id", "y", "x"], "left")
     merged = {"p0": F.col("p0"), "p1": F.col("p1") + F.col("p2"), "p2": F.lit(0.0)}
-    out = {f"p{k}": F.when(F.col("_has").isNull(), F.col(f"p{k}")).when(over, F.col(f"q{k}")).otherwise(merged[f"p{k}"]) for k in range(3)}
+    out = {f"p{k}": F.when(F.col("_has").isNull(), F.col(f"p{k}")).otherwise(F.coalesce(F.col(f"_q.q{k}"), merged[f"p{k}"])) for k in range(3)}
     return d.select("img_id", "y", "x", *(c.alias(k) for k, c in out.items()))
 
 
-def region_boxes(initial: DataFrame, least: int = 3) -> DataFrame:
-    """R38. (img_id, component, x, y, w, h, prob): class-2 components (8-connected, at least ``least`` pixels) with their greatest p2."""
-    lab = R.component_area_filter(R.connected_components(_runs_of(best(initial), F.col("pred") == 2), 8), least)
-    px = R.to_pixels(lab).join(initial.select("img_id", "y", "x", "p2"), ["img_id", "y", "x"])
-    g = px.groupBy("img_id", "component").agg(F.min("x").alias("x"), F.min("y").alias("y"), F.max("x").alias("_x"), F.max("y").alias("_y"), F.max("p2").alias("prob"))
-    return g.select("img_id", "component", "x", "y", (F.col("_x") - F.col("x") + 1).alias("w"), (F.col("_y") - F.col("y") + 1).alias("h"), "prob")
+def region_boxes(boxes: DataFrame, region_preds: DataFrame) -> DataFrame:
+    """R38. (img_id, component, x, y, w, h, prob): the `regions` whose prediction (img_id, component, y, x, q0, q1, q2) has class 2 greatest somewhere, with its greatest q2."""
+    found = region_preds.groupBy("img_id", "component").agg(F.max("q2").alias("prob"), F.bool_or(_over()).alias("_hit")).filter("_hit").drop("_hit")
+    return boxes.join(found, ["img_id", "component"])
 
 
-def detection_stats(df: DataFrame, threshold: float, least: int = 3) -> DataFrame:
-    """A19. (img_id, atypical, normal, total, max_confidence, avg_confidence): components of p2 > threshold and of class 1, of at least ``least`` pixels; confidence is a component's mean p2."""
-    lab = R.component_area_filter(R.connected_components(_runs_of(df, F.col("p2") > threshold), 8), least)
+def detection_stats(df: DataFrame, images: DataFrame, threshold: float, least: float = 500) -> DataFrame:
+    """A19. (img_id, atypical, normal, total, max_confidence, avg_confidence) by outer contours: of p2 > threshold, of any size, and of p1 > 0.5 with at least ``least`` inside; confidence is the mean p2 inside a contour."""
+    lab = R.outer_contours(_runs_of(df, F.col("p2") > threshold), images)
     a = R.component_probability(lab, df, "p2").groupBy("img_id").agg(F.count(F.lit(1)).alias("atypical"), F.max("probability").alias("max_confidence"), F.avg("probability").alias("avg_confidence"))
-    calm = R.component_area_filter(R.connected_components(_runs_of(best(df), (F.col("pred") == 1) & (F.col("p2") <= threshold)), 8), least)
-    n = calm.groupBy("img_id").agg(F.countDistinct("component").alias("normal"))
+    calm = R.contour_area(R.outer_contours(_runs_of(df, F.col("p1") > 0.5), images)).filter(F.col("area") >= least)
+    n = calm.groupBy("img_id").agg(F.count(F.lit(1)).alias("normal"))
     zero = lambda c: F.coalesce(c, F.lit(0))
     out = df.select("img_id").distinct().join(a, "img_id", "left").join(n, "img_id", "left")
     return out.select("img_id", zero("atypical").alias("atypical"), zero("normal").alias("normal"), (zero("atypical") + zero("normal")).alias("total"), F.coalesce("max_confidence", F.lit(0.0)).alias("max_confidence"), F.coalesce("avg_confidence", F.lit(0.0)).alias("avg_confidence"))
 
 
-def sparse_stats(df: DataFrame, threshold: float = 0.5, object_area: int = 300, group_area: int = 6500) -> DataFrame:
-    """A20. (img_id, objects, groups, atypical, warnings).
+def sparse_stats(df: DataFrame, images: DataFrame, object_area: float = 300, group_area: float = 6500) -> DataFrame:
+    """A20. (img_id, objects, groups, atypical, warnings) by outer contours.
 
-    Objects are components of non-background pixels above ``object_area``, groups those above
-    ``group_area``. Each part of p2 >= threshold counts by the object that holds its first pixel: in a
-    group it is a warning; in a single cell it is atypical once the running sum, in scan order, of
-    trunc(100 * part area / cell area) is not zero.
+    Objects are those of non-background pixels with more than ``object_area`` inside, groups those with
+    more than ``group_area``. Each contour of class 2 with more than ``object_area`` inside counts by the
+    object inside whose line its first pixel lies: in a group it is a warning; in a single cell it is
+    atypical once the running sum, in scan order, of trunc(100 * its area / the cell's area) is not zero.
     """
-    size = lambda d: d.groupBy("img_id", "component").agg(F.sum((F.col("x1") - F.col("x0") + 1).cast("long")).alias("area"))
-    lab = R.connected_components(_runs_of(best(df), F.col("pred") > 0), 8)
-    cells = size(lab).filter(F.col("area") > object_area)
-    parts = R.connected_components(_runs_of(df, F.col("p2") >= threshold), 8)
-    first = parts.groupBy("img_id", "component").agg(F.min(F.struct("y", "x0")).alias("at"), F.sum((F.col("x1") - F.col("x0") + 1).cast("long")).alias("part_area")).select("img_id", F.col("component").alias("part"), "part_area", F.col("at.y").alias("y"), F.col("at.x0").alias("x"))
-    owner = R.to_pixels(lab.join(cells.select("img_id", "component", "area"), ["img_id", "component"])).select("img_id", "y", "x", "component", "area")
-    held = first.join(owner, ["img_id", "y", "x"])
+    pred = best(df)
+    lab = R.outer_contours(_runs_of(pred, F.col("pred") > 0), images)
+    cells = R.contour_area(lab).filter(F.col("area") > object_area)
+    parts = R.outer_contours(_runs_of(pred, F.col("pred") == 2), images)
+    first = parts.groupBy("img_id", "component").agg(F.min(F.struct("y", "x0")).alias("at"))
+    first = first.join(R.contour_area(parts).filter(F.col("area") > object_area), ["img_id", "component"]).select("img_id", F.col("component").alias("part"), F.col("area").alias("part_area"), F.col("at.y").alias("y"), F.col("at.x0").alias("x"))
+    # Inside the line are the pixels whose four neighbours are in the object as well.
+    around = F.explode(F.array(*(F.struct((F.col("y") + i).alias("y"), (F.col("x") + j).alias("x")) for i, j in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)))))
+    spots = first.select("img_id", "part", "part_area", around.alias("c")).select("img_id", "part", "part_area", "c.*")
+    held = R.in_cells(lab, "x0", "x1").select(F.col("img_id").alias("_i"), F.col("y").alias("_y"), "x0", "x1", "component", "_c")
+    held = spots.join(held, F.expr(f"img_id = _i and y = _y and floor(x / {R.CELL}) = _c")).filter("x0 <= x and x <= x1")
+    held = held.groupBy("img_id", "part", "part_area", "component").agg(F.count(F.lit(1)).alias("n")).filter("n = 5").drop("n").join(cells, ["img_id", "component"])
     ratio = F.floor(100 * F.col("part_area") / F.col("area"))
     held = held.withColumn("_sum", F.sum(ratio).over(Window.partitionBy("img_id", "component").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)))
     count = lambda c: F.sum(c.cast("long"))

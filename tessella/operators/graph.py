@@ -11,17 +11,15 @@ from tessella.storage import stored
 def components(pairs: DataFrame, groups: list[str]) -> DataFrame:
     """(groups..., node, component) of ``pairs(groups..., a, b)``: the least node that each node reaches.
 
-    Each round takes the least label two steps around, then that label's own label, so that rounds
+    Each round takes the least label among the neighbours, then that label's own label, so that rounds
     grow with the logarithm of the longest path; labels are written to the shared folder.
     """
     g = [F.col(c) for c in groups]
     both = stored(pairs.select(*g, "a", "b").union(pairs.select(*g, "b", "a")).distinct(), "pairs")
     labels = stored(both.groupBy(*g, F.col("a").alias("node")).agg(F.min("b").alias("m")).select(*g, "node", F.least("node", "m").alias("component")), "labels")
     while True:
-        step = labels.withColumn("old", F.col("component"))
-        for _ in range(2):
-            near = both.join(step.select(*g, F.col("node").alias("b"), "component"), [*groups, "b"]).groupBy(*g, F.col("a").alias("node")).agg(F.min("component").alias("near"))
-            step = step.join(near, [*groups, "node"]).select(*g, "node", "old", F.least("component", "near").alias("component"))
+        near = both.join(labels.withColumnRenamed("node", "b"), [*groups, "b"]).groupBy(*g, F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        step = labels.join(near, [*groups, "node"]).select(*g, "node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
         jump = labels.select(*g, F.col("node").alias("component"), F.col("component").alias("far"))
         low = F.least("component", "far")
         new = stored(step.join(jump, [*groups, "component"]).select(*g, "node", low.alias("component"), (low != F.col("old")).alias("moved")), "labels")

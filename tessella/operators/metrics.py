@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.pixels import argmax
-from tessella.operators.ranking import global_rank
+from tessella.operators.ranking import global_rank, running_sums
 
 EPS = 1e-7
 
@@ -83,9 +83,8 @@ def batch_mean_metric(df: DataFrame, batch: str, metric: str, classes: int = 3)
 
 
 def cumulative_pr(df: DataFrame, order: list[Column]) -> DataFrame:
-    """W1. Running tp, fp and precision by descending score. One ordered window: for inputs of one machine; average_precision_binned is the form for large ones."""
-    w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = df.withColumn("tp", F.sum("positive").over(w)).withColumn("fp", F.sum(1 - F.col("positive")).over(w))
+    """W1. Running tp, fp and precision by descending score, summed in ranges of the order, to which the sums of the earlier ranges are added."""
+    out = running_sums(df.withColumn("_n", 1 - F.col("positive")), order, {"tp": "positive", "fp": "_n"}).drop("_n")
     return out.withColumn("precision", F.col("tp") / (F.col("tp") + F.col("fp")))
 
 
@@ -131,14 +130,14 @@ def probe_max(df: DataFrame, p: str, by: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.max(p).alias("p_max"))
 
 
-def focal_tversky(df: DataFrame, probs: list[str], alpha: float = 0.3, beta: float = 0.7, gamma: float = 1.33, weights: list[float] | None = None) -> DataFrame:
-    """A25. Mean over classes of (1 - T)^gamma, T from soft sums over all pixels."""
+def focal_tversky(df: DataFrame, probs: list[str], alpha: float = 0.3, beta: float = 0.7, gamma: float = 1.33, weights: list[float] | None = None, smooth: float = 1e-6) -> DataFrame:
+    """A25. Mean over classes of (1 - T)^gamma, T from soft sums over all pixels, with ``smooth`` above and below the line."""
     sums = []
     for k, p in enumerate(probs):
         y = (F.col("gt") == k).cast("double")
         sums += [F.sum(F.col(p) * y).alias(f"tp{k}"), F.sum(F.col(p) * (1 - y)).alias(f"fp{k}"), F.sum((1 - F.col(p)) * y).alias(f"fn{k}")]
     s = df.agg(*sums)
-    t = [(F.col(f"tp{k}") + EPS) / (F.col(f"tp{k}") + alpha * F.col(f"fp{k}") + beta * F.col(f"fn{k}") + EPS) for k in range(len(probs))]
+    t = [(F.col(f"tp{k}") + smooth) / (F.col(f"tp{k}") + alpha * F.col(f"fp{k}") + beta * F.col(f"fn{k}") + smooth) for k in range(len(probs))]
     w = weights or [1.0] * len(probs)
     return s.select((sum((F.pow(1 - t[k], F.lit(gamma)) * w[k] for k in range(len(probs))), F.lit(0.0)) / sum(w)).alias("loss"))
 

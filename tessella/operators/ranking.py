@@ -22,6 +22,17 @@ def global_rank(df: DataFrame, *order: Column | str, name: str = "rank") -> Data
     return parts.withColumn("_own", own).join(F.broadcast(sizes), "_part").withColumn(name, F.col("_own") - 1 + F.col("_before")).drop("_part", "_own", "_before")
 
 
+def running_sums(df: DataFrame, order: list[Column | str], sums: dict[str, str]) -> DataFrame:
+    """``df`` with a running sum for each entry (name: column) in a total order, from ranges like those of `global_rank`."""
+    cols = [F.col(c) if isinstance(c, str) else c for c in order]
+    parts = stored(df.repartitionByRange(*cols).withColumn("_part", F.spark_partition_id()), "ranked")
+    total = parts.groupBy("_part").agg(*(F.sum(c).alias(f"_s_{n}") for n, c in sums.items()))  # one row for each range
+    total = total.select("_part", *((F.sum(f"_s_{n}").over(Window.orderBy("_part")) - F.col(f"_s_{n}")).alias(f"_b_{n}") for n in sums))
+    own = Window.partitionBy("_part").orderBy(*cols).rowsBetween(Window.unboundedPreceding, 0)
+    out = parts.withColumns({f"_o_{n}": F.sum(c).over(own) for n, c in sums.items()}).join(F.broadcast(total), "_part")
+    return out.withColumns({n: F.col(f"_o_{n}") + F.col(f"_b_{n}") for n in sums}).drop("_part", *(f"_{k}_{n}" for k in "ob" for n in sums))
+
+
 def hash_key(seed: int, key: Column) -> Column:
     """A repeatable random order: the digest of seed and key."""
     return F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string")))

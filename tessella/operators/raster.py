@@ -3,15 +3,22 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.operators.graph import components
 from tessella.operators.ranking import sample_rows, unit_interval
+from tessella.storage import stored
 
-#: A run's number in its image: its row times this, plus its first column.
-STRIDE = 1 << 20
+#: A run's number in its image: its row times this, plus its first column; columns must be below it, and so must rows.
+STRIDE = 1 << 31
+#: Columns of a cell, by which runs of a row meet.
+CELL = 64
 
 
 def run_length_encode(pixels: DataFrame, group: list[str] | None = None, value: str = "cls") -> DataFrame:
@@ -26,6 +33,12 @@ def to_pixels(runs: DataFrame) -> DataFrame:
     return runs.withColumn("x", F.explode(F.sequence("x0", "x1"))).drop("x0", "x1")
 
 
+def in_cells(runs: DataFrame, first: str | Column, last: str | Column) -> DataFrame:
+    """``runs`` once for each cell of CELL columns between first and last, with _c."""
+    at = lambda c: F.floor((F.col(c) if isinstance(c, str) else c) / CELL)
+    return runs.withColumn("_c", F.explode(F.sequence(at(first), at(last))))
+
+
 def merge_runs(runs: DataFrame, group: list[str]) -> DataFrame:
     """Overlapping or touching runs of the same group and row as one."""
     w = Window.partitionBy(*group, "y").orderBy("x0", "x1")
@@ -35,18 +48,62 @@ def merge_runs(runs: DataFrame, group: list[str]) -> DataFrame:
     return marked.withColumn("_g", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*group, "y", "_g").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).drop("_g")
 
 
+#: Edge rows that are worked out at once.
+EDGE_ROWS = 1 << 20
+
+
+def _scan(x: np.ndarray, y: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(polygon, y, x0, x1) of the filled polygons whose vertices lie between the cuts."""
+    size = np.diff(cut)
+    of = np.repeat(np.arange(len(size)), size)
+    follow = np.arange(len(x)) + 1
+    follow[cut[1:][size > 0] - 1] = cut[:-1][size > 0]
+    qx, qy = x[follow], y[follow]
+    low, high = np.minimum(y, qy), np.maximum(y, qy)
+    edge = np.repeat(np.arange(len(x)), high - low)
+    row = low[edge] + np.arange(len(edge)) - np.repeat(np.cumsum(high - low) - (high - low), high - low)
+    cross = x[edge] + (row - y[edge]) * (qx[edge] - x[edge]) / (qy[edge] - y[edge])
+    order = np.lexsort((cross, row, of[edge]))
+    poly, row, cross = of[edge][order], row[order], cross[order]  # every row of a polygon has an even number of crossings
+    x0, x1 = np.ceil(cross[::2]).astype(np.int64), np.floor(cross[1::2]).astype(np.int64)
+    full, level = x0 <= x1, y == qy
+    parts = [(poly[::2][full], row[::2][full], x0[full], x1[full]), (of[level], y[level], np.minimum(x, qx)[level], np.maximum(x, qx)[level]), (of, y, x, x)]
+    poly, row, x0, x1 = (np.concatenate(c) for c in zip(*parts, strict=True))
+    if not len(poly):
+        return poly, row, x0, x1
+    order = np.lexsort((x1, x0, row, poly))
+    poly, row, x0, x1 = poly[order], row[order], x0[order], x1[order]
+    line = np.cumsum(np.concatenate([[False], (poly[1:] != poly[:-1]) | (row[1:] != row[:-1])]))
+    base = x0.min()
+    wide = int(x1.max() - base) + 3
+    reached = np.maximum.accumulate(x1 - base + line * wide) - line * wide + base
+    new = np.concatenate([[True], (line[1:] != line[:-1]) | (x0[1:] > reached[:-1] + 1)])
+    first = np.flatnonzero(new)
+    return poly[first], row[first], x0[first], np.maximum.reduceat(x1, first)
+
+
 def rasterize(polys: DataFrame, key: list[str]) -> DataFrame:
-    """R5. (key..., y, x0, x1): filled polygons by the even-odd rule at integer points, with their vertices and level edges."""
-    e = polys.select(*key, F.explode(F.transform(F.sequence(F.lit(1), F.size("points")), lambda k: F.struct(F.element_at("points", k).alias("p"), F.element_at("points", F.when(k == F.size("points"), 1).otherwise(k + 1)).alias("q")))).alias("e"))
-    e = e.select(*key, F.col("e.p.x").alias("px"), F.col("e.p.y").alias("py"), F.col("e.q.x").alias("qx"), F.col("e.q.y").alias("qy"))
-    slanted = e.filter("py != qy").withColumn("y", F.explode(F.sequence(F.least("py", "qy"), F.greatest("py", "qy") - 1)))
-    cross = F.col("px") + (F.col("y") - F.col("py")) * (F.col("qx") - F.col("px")) / (F.col("qy") - F.col("py"))
-    w = Window.partitionBy(*key, "y").orderBy("c")
-    paired = slanted.withColumn("c", cross).withColumn("n", F.row_number().over(w)).withColumn("d", F.lead("c").over(w)).filter("n % 2 = 1 and d is not null")
-    inner = paired.select(*key, "y", F.ceil("c").cast("int").alias("x0"), F.floor("d").cast("int").alias("x1")).filter("x0 <= x1")
-    level = e.filter("py = qy").select(*key, F.col("py").alias("y"), F.least("px", "qx").alias("x0"), F.greatest("px", "qx").alias("x1"))
-    corner = e.select(*key, F.col("py").alias("y"), F.col("px").alias("x0"), F.col("px").alias("x1"))
-    return merge_runs(inner.union(level).union(corner), key)
+    """R5. (key..., y, x0, x1): filled polygons by the even-odd rule at integer points, with their vertices and level edges; one run for those that overlap or touch.
+
+    A polygon's rows follow from its own points, so Arrow batches of polygons are scanned in place and nothing is shuffled.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [batch.column(c) for c in key]
+            x, y = (batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("_x", "_y"))
+            cut = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(batch.column("_x")), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+            tall = np.array([np.ptp(y[a:b]) * 2 + 2 if b > a else 0 for a, b in zip(cut[:-1], cut[1:], strict=True)])
+            at = np.cumsum(tall) // EDGE_ROWS
+            for piece in np.split(np.arange(len(tall)), np.flatnonzero(np.diff(at)) + 1):
+                a, b = (piece[0], piece[-1] + 1) if len(piece) else (0, 0)
+                poly, row, x0, x1 = _scan(x[cut[a] : cut[b]], y[cut[a] : cut[b]], cut[a : b + 1] - cut[a])
+                own = pa.array(poly + a)
+                yield pa.RecordBatch.from_arrays([*(k.take(own) for k in keys), *(pa.array(v.astype(np.int32)) for v in (row, x0, x1))], names=[*key, "y", "x0", "x1"])
+
+    kinds = dict(polys.dtypes)
+    fields = ", ".join(f"`{k}` {kinds[k]}" for k in key) + ", y int, x0 int, x1 int"
+    return polys.select(*key, F.transform("points", lambda p: p["x"]).alias("_x"), F.transform("points", lambda p: p["y"]).alias("_y")).mapInArrow(run, fields)
 
 
 def paint_priority(runs: DataFrame, group: list[str] | None = None) -> DataFrame:
@@ -54,8 +111,8 @@ def paint_priority(runs: DataFrame, group: list[str] | None = None) -> DataFrame
     group = group or ["img_id"]
     row = [*group, "y"]
     cuts = runs.select(*row, F.explode(F.array(F.col("x0"), F.col("x1") + 1)).alias("a")).distinct()
-    segments = cuts.withColumn("b", F.lead("a").over(Window.partitionBy(*row).orderBy("a"))).filter("b is not null")
-    top = segments.join(runs, row).filter("x0 <= a and x1 >= a").groupBy(*row, "a", "b").agg(F.max("cls").alias("cls"))
+    segments = cuts.withColumn("b", F.lead("a").over(Window.partitionBy(*row).orderBy("a"))).filter("b is not null").withColumn("_c", F.floor(F.col("a") / CELL))
+    top = segments.join(in_cells(runs, "x0", "x1"), [*row, "_c"]).filter("x0 <= a and x1 >= a").groupBy(*row, "a", "b").agg(F.max("cls").alias("cls"))
     return merge_runs(top.select(*row, "cls", F.col("a").alias("x0"), (F.col("b") - 1).alias("x1")), [*group, "cls"])
 
 
@@ -73,11 +130,13 @@ def connected_components(runs: DataFrame, connectivity: int = 8, group: list[str
     """R9. Runs of one class with component, the number of the component's first run.
 
     Runs of neighbouring rows that touch (for 8 also at a corner) are edges; labels spread by joins.
+    Runs meet by cells of columns, each pair in the cell where both have begun.
     """
     group, c = group or ["img_id"], 1 if connectivity == 8 else 0
-    n = runs.withColumn("node", F.col("y").cast("long") * STRIDE + F.col("x0"))
-    up = n.select(*group, F.col("node").alias("a"), F.col("x0").alias("a0"), F.col("x1").alias("a1"), (F.col("y") + 1).alias("y"))
-    pairs = up.join(n.select(*group, F.col("node").alias("b"), "x0", "x1", "y"), [*group, "y"]).filter((F.col("a0") <= F.col("x1") + c) & (F.col("x0") <= F.col("a1") + c))
+    n = stored(runs.withColumn("node", F.col("y").cast("long") * STRIDE + F.col("x0")), "nodes")
+    up = n.select(*group, F.col("node").alias("a"), (F.col("x0") - c).alias("a0"), (F.col("x1") + c).alias("a1"), (F.col("y") + 1).alias("y"))
+    pairs = in_cells(up, "a0", "a1").join(in_cells(n.select(*group, F.col("node").alias("b"), "x0", "x1", "y"), "x0", "x1"), [*group, "y", "_c"])
+    pairs = pairs.filter((F.col("a0") <= F.col("x1")) & (F.col("x0") <= F.col("a1")) & (F.floor(F.greatest("a0", "x0") / CELL) == F.col("_c")))
     labels = components(pairs.select(*group, "a", "b"), group)
     return n.join(labels, [*group, "node"], "left").withColumn("component", F.coalesce("component", "node")).drop("node")
 
@@ -130,11 +189,24 @@ def complement(runs: DataFrame, images: DataFrame) -> DataFrame:
 
 def fill_holes(runs: DataFrame, images: DataFrame) -> DataFrame:
     """R11. The runs with the background that is cut off from the frame (4-connected); the outer contours of the mask are its components."""
+    runs = stored(runs.select("img_id", "y", "x0", "x1"), "runs")
     free = connected_components(complement(runs, images), 4).join(images, "img_id")
     edge = (F.col("y") == 0) | (F.col("y") == F.col("height") - 1) | (F.col("x0") == 0) | (F.col("x1") == F.col("width") - 1)
     outside = free.filter(edge).select("img_id", "component").distinct()
     holes = free.join(outside, ["img_id", "component"], "left_anti")
-    return merge_runs(runs.select("img_id", "y", "x0", "x1").unionByName(holes.select("img_id", "y", "x0", "x1")), ["img_id"])
+    return merge_runs(runs.unionByName(holes.select("img_id", "y", "x0", "x1")), ["img_id"])
+
+
+def outer_contours(runs: DataFrame, images: DataFrame) -> DataFrame:
+    """R9, R11. Runs (img_id, y, x0, x1, component) of the areas inside the mask's outer contours: its components (8-connected) with their holes filled and all that lies in these."""
+    return stored(connected_components(fill_holes(runs, images), 8), "contours")
+
+
+def contour_area(labelled: DataFrame) -> DataFrame:
+    """(img_id, component, area) inside the line through the centres of the outermost pixels of filled components: each square of four pixels counts 1, each of three 1/2."""
+    corner = F.explode(F.array(*(F.struct((F.col("y") - i).alias("y"), (F.col("x") - j).alias("x")) for i in (0, 1) for j in (0, 1))))
+    squares = to_pixels(labelled.select("img_id", "component", "y", "x0", "x1")).select("img_id", "component", corner.alias("c")).groupBy("img_id", "component", "c").agg(F.count(F.lit(1)).alias("n"))
+    return squares.groupBy("img_id", "component").agg(F.sum(F.when(F.col("n") == 4, 1.0).when(F.col("n") == 3, 0.5).otherwise(0.0)).alias("area"))
 
 
 def component_probability(labelled: DataFrame, probs: DataFrame, p: str, group: list[str] | None = None) -> DataFrame:

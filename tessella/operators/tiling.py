@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.pixels import flip_rot_inverse, spline_weights
+from tessella.functions.pixels import flip_rot_inverse, spline_weight
 
 
 def _square(tiles: DataFrame, side: int) -> DataFrame:
@@ -48,10 +48,8 @@ def overlap_grid(images: DataFrame, window: int, subdivisions: int) -> DataFrame
 def blend_overlaps(preds: DataFrame, images: DataFrame, window: int, subdivisions: int, value: str, norm: str = "weights") -> DataFrame:
     """R13. (img_id, y, x, value): overlapping predictions (img_id, y0, x0, ty, tx, value) weighted by the spline window, summed, divided by subdivisions squared or by the weights, and cropped."""
     pad = round(window * (1 - 1 / subdivisions))
-    w = F.broadcast(spline_weights(preds.sparkSession, window))
-    d = preds.join(w.select(F.col("i").alias("ty"), F.col("w").alias("_a")), "ty").join(w.select(F.col("i").alias("tx"), F.col("w").alias("_b")), "tx")
-    weight = F.col("_a") * F.col("_b")
-    g = d.groupBy("img_id", (F.col("y0") + F.col("ty") - pad).alias("y"), (F.col("x0") + F.col("tx") - pad).alias("x")).agg(F.sum(F.col(value) * weight).alias("_v"), F.sum(weight).alias("_w"))
+    weight = spline_weight(F.col("ty"), window) * spline_weight(F.col("tx"), window)
+    g = preds.groupBy("img_id", (F.col("y0") + F.col("ty") - pad).alias("y"), (F.col("x0") + F.col("tx") - pad).alias("x")).agg(F.sum(F.col(value) * weight).alias("_v"), F.sum(weight).alias("_w"))
     g = g.join(images, "img_id").filter("y >= 0 and x >= 0 and y < height and x < width")
     below = F.lit(float(subdivisions**2)) if norm == "subdivisions" else F.col("_w")
     return g.select("img_id", "y", "x", (F.col("_v") / below).alias(value))

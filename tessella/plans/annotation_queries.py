@@ -92,7 +92,7 @@ def _(t: Tables) -> DataFrame:
     return t.slides().select("slide_id", F.round(L.slide_mpp(F.col("objective_power"), (F.col("bytes") % 7).cast("string")), 6).alias("mpp"))
 
 
-@query("p16_slugify", "", None)
+@query("p16_slugify", "", r"SELECT doc_id, trim(regexp_replace(lower(regexp_replace(strip_accents(text), '[^\x00-\x7F]', '', 'g')), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents")
 def _(t: Tables) -> DataFrame:
     return t.read("documents").select("doc_id", L.slugify(F.col("text")).alias("slug"))
 
@@ -337,6 +337,9 @@ def _(t: Tables) -> DataFrame:
     return A.near_pairs(t.annotations(), 60)
 
 
-@query("u2_resolve_near_duplicates", "fx_annotations", None)
+@query("u2_resolve_near_duplicates", "fx_annotations", "RECURSIVE" + _NEAR + """, k AS (SELECT slide_id, b, list(a ORDER BY a) AS close, row_number() OVER (PARTITION BY slide_id ORDER BY b) AS n FROM q GROUP BY 1, 2),
+ r(slide_id, n, dead) AS (SELECT DISTINCT slide_id, 0::BIGINT, []::INT[] FROM k UNION ALL SELECT r.slide_id, k.n, CASE WHEN len(list_filter(close, lambda x: NOT list_contains(dead, x))) > 0 THEN list_append(dead, list_filter(close, lambda x: NOT list_contains(dead, x))[1]) ELSE dead END FROM r JOIN k ON k.slide_id = r.slide_id AND k.n = r.n + 1),
+ d AS (SELECT slide_id, unnest(dead) AS ann_idx FROM (SELECT slide_id, arg_max(dead, n) AS dead FROM r GROUP BY 1))
+SELECT slide_id, ann_idx FROM p WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.slide_id = p.slide_id AND d.ann_idx = p.ann_idx)""")
 def _(t: Tables) -> DataFrame:
     return A.resolve_near_duplicates(t.annotations(), 60).select(*KEY)

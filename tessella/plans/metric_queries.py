@@ -171,7 +171,7 @@ def _(t: Tables) -> DataFrame:
     return _rounded(M.probe_max(_probs(t), "p2", ["tile_id"]))
 
 
-_T = "(sum(p{k} * (gt = {k})::INT) + 1e-7) / (sum(p{k} * (gt = {k})::INT) + 0.3 * sum(p{k} * (gt <> {k})::INT) + 0.7 * sum((1 - p{k}) * (gt = {k})::INT) + 1e-7)"
+_T = "(sum(p{k} * (gt = {k})::INT) + 1e-6) / (sum(p{k} * (gt = {k})::INT) + 0.3 * sum(p{k} * (gt <> {k})::INT) + 0.7 * sum((1 - p{k}) * (gt = {k})::INT) + 1e-6)"
 
 
 @query("a25_focal_tversky", "fx_pixels", _X + f"SELECT round((pow(1 - {_T.format(k=0)}, 1.33) + pow(1 - {_T.format(k=1)}, 1.33) + 2 * pow(1 - {_T.format(k=2)}, 1.33)) / 4, 6) AS loss FROM q")
@@ -228,7 +228,9 @@ def _(t: Tables) -> DataFrame:
     return R.weighted_sample(_weights(t), "tile_id", "weight", 40).select("tile_id")
 
 
-@query("o5_weighted_sample_replacement", "fx_pixels", None)
+@query("o5_weighted_sample_replacement", "fx_pixels", _BAL + """, c AS (SELECT tile_id, sum(weight) OVER (ORDER BY tile_id) AS hi, weight, sum(weight) OVER () AS total FROM w),
+ d AS (SELECT i AS draw, (CAST(concat('0x', substr(md5(concat('43|', i)), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM range(0, (SELECT COUNT(*) FROM embeddings)) r(i))
+SELECT draw, tile_id FROM d JOIN c ON u * total >= hi - weight AND u * total < hi""")
 def _(t: Tables) -> DataFrame:
     w = _weights(t)
     return R.weighted_sample(w, "tile_id", "weight", t.read("embeddings").count(), replacement=True).select("draw", "tile_id")

@@ -139,12 +139,26 @@ def _(t: Tables) -> DataFrame:
     return P.mask_intruders(p, "tile_id").select("img_id", "tile_id", "px", "cls", "value")
 
 
-@query("r21_greedy_groups", MASK, None)
+@query("r21_greedy_groups", MASK, "RECURSIVE" + _OBJ + f""", nb AS (SELECT a.img_id, a.obj_id AS a, b.obj_id AS b FROM o a JOIN o b USING (img_id) WHERE a.obj_id = b.obj_id OR sqrt((a.cx - b.cx)**2 + (a.cy - b.cy)**2) <= 16),
+ g AS (SELECT nb.img_id, nb.a AS obj_id, min(y1) AS y1, min(x1) AS x1, max(y2) AS y2, max(x2) AS x2, list(nb.b ORDER BY nb.b) AS members FROM nb JOIN o ON o.img_id = nb.img_id AND o.obj_id = nb.b GROUP BY 1, 2 HAVING COUNT(*) > 1),
+ k AS (SELECT g.*, greatest(greatest(y2 - y1, x2 - x1) + 2 * pad, 12) + extra AS s, pad, extra FROM g, (VALUES (6), (4), (2)) p(pad), range(0, 11, 10) e(extra)),
+ c AS (SELECT img_id, obj_id, pad, extra, s, greatest(0, least((y1 + y2) // 2 - s // 2, 48 - s)) AS ty, greatest(0, least((x1 + x2) // 2 - s // 2, 48 - s)) AS tx FROM k WHERE s <= 48),
+ f AS (SELECT img_id, obj_id, ty, tx, s FROM (SELECT *, row_number() OVER (PARTITION BY img_id, obj_id ORDER BY pad DESC, extra) AS r FROM c WHERE NOT {_BAND}) WHERE r = 1),
+ t AS (SELECT g.img_id, g.obj_id, members, CASE WHEN s IS NULL THEN NULL ELSE concat(ty, ':', tx, ':', s) END AS tile, ty, tx, s, row_number() OVER (PARTITION BY g.img_id ORDER BY g.obj_id) AS n FROM g LEFT JOIN f USING (img_id, obj_id)),
+ r(img_id, n, obj_id, status, used, saved) AS (SELECT DISTINCT img_id, 0::BIGINT, NULL::INT, '', []::INT[], []::VARCHAR[] FROM t UNION ALL
+  SELECT r.img_id, t.n, t.obj_id, CASE WHEN list_contains(used, t.obj_id) THEN 'used' WHEN tile IS NULL THEN 'failed_truncation' WHEN list_contains(saved, tile) THEN 'failed_duplicate' ELSE 'saved' END,
+   CASE WHEN list_contains(used, t.obj_id) OR tile IS NULL THEN used ELSE list_concat(used, members) END, CASE WHEN list_contains(used, t.obj_id) OR tile IS NULL THEN saved ELSE list_append(saved, tile) END
+  FROM r JOIN t ON t.img_id = r.img_id AND t.n = r.n + 1)
+SELECT r.img_id, r.obj_id, status, ty::INT AS y1, tx::INT AS x1, s::INT AS size FROM r JOIN t ON t.img_id = r.img_id AND t.n = r.n WHERE status NOT IN ('', 'used')""")
 def _(t: Tables) -> DataFrame:
     return P.greedy_groups(_objects(t), _images(t), _sick(t), 16, expand=10, **SMALL)
 
 
-@query("r31_backfill_normals", MASK, None)
+@query("r31_backfill_normals", MASK, _TFO + """, m AS (SELECT img_id, y, x, row_number() OVER (PARTITION BY img_id ORDER BY md5(concat('42|', img_id, ':', y, ':', x)), y, x) AS n FROM fx_mask WHERE cls = 1),
+ c AS (SELECT img_id, greatest(0, least(y - 6, 36)) AS y1, greatest(0, least(x - 6, 36)) AS x1, min(n) AS n FROM m WHERE n <= 320 GROUP BY 1, 2, 3),
+ ok AS (SELECT *, row_number() OVER (PARTITION BY img_id ORDER BY n) AS seq FROM c WHERE NOT EXISTS (SELECT 1 FROM fx_mask f WHERE f.img_id = c.img_id AND f.cls = 2 AND f.y >= c.y1 AND f.y < c.y1 + 12 AND f.x >= c.x1 AND f.x < c.x1 + 12)
+  AND NOT EXISTS (SELECT 1 FROM t WHERE t.img_id = c.img_id AND t.y1 = c.y1 AND t.x1 = c.x1 AND t.size = 12))
+SELECT img_id, CAST(seq AS INT) AS seq, y1::INT AS y1, x1::INT AS x1, 12::INT AS size FROM ok WHERE seq <= 4""")
 def _(t: Tables) -> DataFrame:
     normal = t.mask().filter("cls = 1").select("img_id", "y", "x")
     deficit = _images(t).select("img_id", F.lit(4).alias("n"))
