@@ -32,7 +32,7 @@ from tessella.llm.near_dedup import near_duplicates
 from tessella.llm.neighbours import nearest
 from tessella.llm.quality import isotonic, quality
 from tessella.llm.sharding import pack, shard
-from tessella.llm.token_edits import Counts, TokenTree, count_with_edits
+from tessella.llm.token_edits import Counts, TokenTree, count_with_edits, edit_trees, token_trees
 from tessella.llm.toxicity import fit_toxicity, score_toxicity
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -451,17 +451,33 @@ def test_token_edits(spark):
     letters = ["a", "B", " ", "  ", "\n", "1", "é", "!", "'s", "'", "\t", "word", "日本", " ", "x" * 90]
     for _ in range(250):
         text = "".join(rng.choice(letters) for _ in range(rng.randrange(0, 400)))
-        tree = TokenTree(text, counts)
+        tree = TokenTree.of(text, counts)
         for _ in range(rng.randrange(1, 8)):
             pos, gone, new = rng.randrange(-2, len(text) + 3), rng.randrange(0, 40), "".join(rng.choice(letters) for _ in range(rng.randrange(0, 30)))
             tree.edit(pos, gone, new)
             p = min(max(pos, 0), len(text))
             text = text[:p] + new + text[min(p + gone, len(text)) :]
             assert tree.text == text and tree.tokens == len(encoding.encode_ordinary(text))
-            assert sum(int(s.sum()) for s, _ in tree.leaves) == len(text)
-    long = TokenTree("some words here. " * 20_000, counts)
+            assert "".join(x for x, _, _ in tree.leaves) == text and all(int(s.sum()) == len(x) and len(s) <= 128 for x, s, _ in tree.leaves)
+    long = TokenTree.of("some words here. " * 20_000, counts)
     long.edit(170_000, 3, "other")
     assert long.encoded < 10
+    for k in range(300):  # a leaf that grows is split, and one that shrinks joins its neighbour
+        long.edit(170_000, 0, "more words, of it ")
+    assert max(len(s) for _, s, _ in long.leaves) <= 128 and long.tokens == len(encoding.encode_ordinary(long.text))
+    long.edit(1_000, 300_000, "")
+    assert long.tokens == len(encoding.encode_ordinary(long.text)) and len(long.leaves) < 800
+    run = TokenTree.of("x" * 50_000 + " end", counts)  # one pre-token longer than any leaf
+    run.edit(10, 1, "y")
+    run.edit(20_000, 0, " ")
+    assert run.tokens == len(encoding.encode_ordinary(run.text))
+    kept = token_trees(docs_frame(spark, ["hello there, you " * 300, None, ""]), Q.VOCABULARY)
+    texts = {r.doc_id: "".join(v.text for v in r.tree) for r in kept.collect()}
+    for new in ("ab", " c, d", ""):
+        kept = edit_trees(kept.withColumn("edits", F.array(F.struct(F.lit(700).alias("pos"), F.lit(3).alias("removed"), F.lit(new).alias("added")))), Q.VOCABULARY)
+        texts = {i: t[:700] + new + t[703:] for i, t in texts.items()}
+        got = {r.doc_id: r for r in kept.collect()}
+        assert all("".join(v.text for v in got[i].tree) == t and got[i].n_tokens == len(encoding.encode_ordinary(t)) and got[i].n_encoded < 8 for i, t in texts.items())
     d = docs_frame(spark, ["hello there", None, "", "hello there"], [1, 2, 3, 1]).withColumn("edits", F.expr("array(struct(5 as pos, 0 as removed, ', you' as added), null)"))
     got = sorted((r.doc_id, r.n_tokens, r.n_tokens_edited) for r in count_with_edits(d, Q.VOCABULARY).collect())
     n = lambda t: len(encoding.encode_ordinary(t))
