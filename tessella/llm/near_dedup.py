@@ -114,11 +114,22 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _in_blocks(rows: DataFrame) -> DataFrame:
-    """Rows of a bucket with the pair of blocks (i, j) in which they meet; a bucket of up to BLOCK nodes is one block, a larger one is cut by a hash of the node."""
-    k = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), k).cast("int")
-    rows = rows.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), k - 1)))
-    return rows.withColumn("i", F.least("_own", "_other")).withColumn("j", F.greatest("_own", "_other")).drop("_own", "_other", "size")
+    """Rows (bucket, band, node, component) of the buckets that hold several components, with their own block and the pair of blocks (i, j) in which they meet.
+
+    A bucket of up to BLOCK nodes is one block. In a larger one the nodes of its largest component need
+    not meet each other: they are cut in blocks of their own, the rest in others, and only the rest's
+    blocks meet all. So a large component is sent once for every BLOCK nodes outside of it.
+    """
+    counts = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+    most = F.max(F.struct("n", "component"))
+    mixed = counts.groupBy("bucket").agg(most.alias("top"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    mixed = mixed.select("bucket", F.col("top.component").alias("main"), F.ceil(F.col("top.n") / BLOCK).cast("int").alias("k_main"), F.ceil((F.col("size") - F.col("top.n")) / BLOCK).cast("int").alias("k_rest"), (F.col("size") <= BLOCK).alias("small"))
+    rows = rows.join(mixed, "bucket")
+    whole, place = F.col("k_main") + F.col("k_rest"), F.xxhash64("node")
+    own = F.when(F.col("small"), 0).when(F.col("component") == F.col("main"), F.pmod(place, F.col("k_main"))).otherwise(F.col("k_main") + F.pmod(place, F.col("k_rest")))
+    others = F.when(F.col("small"), F.array(F.lit(0))).when(F.col("component") == F.col("main"), F.sequence(F.col("k_main"), whole - 1)).otherwise(F.sequence(F.lit(0), whole - 1))
+    rows = rows.withColumn("own", own.cast("int")).withColumn("other", F.explode(others))
+    return rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).select("bucket", "band", "node", "component", "own", "i", "j")
 
 
 def _by_block(rows: DataFrame) -> DataFrame:
@@ -153,11 +164,12 @@ def _likely(t: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     """Pairs (x, y) of different components whose sizes and sketches allow a link and that meet in no earlier band, with the estimates."""
     comp = np.unique(t.column("component").to_numpy(zero_copy_only=False).astype(str), return_inverse=True)[1]
     n, band = t.column("n").to_numpy(), int(t.column("band")[0].as_py())
+    own, across = t.column("own").to_numpy(), t.column("i")[0] != t.column("j")[0]
     sketch, bands = _matrix(t, "sketch"), _matrix(t, "bands")
     out = []
     for x in range(len(t) - 1):
         y = np.arange(x + 1, len(t))
-        y = y[(comp[y] != comp[x]) & (np.minimum(n[y], n[x]) * 100 >= np.maximum(n[y], n[x]) * percent)]
+        y = y[(comp[y] != comp[x]) & (not across or own[y] != own[x]) & (np.minimum(n[y], n[x]) * 100 >= np.maximum(n[y], n[x]) * percent)]
         if not len(y):
             continue
         odd = np.bitwise_count(sketch[y] ^ sketch[x]).sum(axis=1, dtype=np.int64)
@@ -180,7 +192,7 @@ def _sifter(percent: int):
             x, y, _ = _likely(t, percent)
             if len(x):
                 keep = np.unique(np.concatenate([x, y]))
-                yield from t.take(pa.array(keep)).select(["bucket", "i", "j", "node", "component", "band", "n", "sketch", "bands"]).combine_chunks().to_batches()
+                yield from t.take(pa.array(keep)).select(["bucket", "i", "j", "own", "node", "component", "band", "n", "sketch", "bands"]).combine_chunks().to_batches()
 
     return run
 
@@ -224,7 +236,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity_percent:
 
     Equal sets are one node, so copies never meet in pairs. Buckets of the first bands link their nodes
     to their smallest node. Every bucket, of any band, that then still holds several components is
-    compared in blocks of bounded size: odd sketches single out the nodes with a likely partner in
+    compared in blocks of bounded size, its largest component with the rest only: odd sketches single out the nodes with a likely partner in
     another component, in the first band that the two share, and the full sets confirm. A block
     returns only links that join components, so no group's pairs are written out, and none is lost.
 
@@ -239,7 +251,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity_percent:
     nodes = profile.filter("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("pick"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
     nodes = stored(nodes.select("node", F.col("pick.doc_id").alias("doc_id"), F.col("pick.text_key").alias("text_key"), "n", "sketch", "bands"), "nodes")
     rows = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
-    full = rows.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("far_end"), F.count(F.lit(1)).alias("size")).filter("centre != far_end").drop("far_end")
+    full = rows.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("far_end")).filter("centre != far_end").drop("far_end")
     members = stored(rows.join(full, "bucket"), "members")
     sketches = nodes.select("node", "n", "sketch", "doc_id", "text_key")
 
@@ -266,10 +278,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity_percent:
     found = linked(first)
 
     # 2. In every bucket that still holds several components, the nodes with a likely partner in another, by sketches.
-    placed = members.select("bucket", "band", "node", "size").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("bucket")
-    apart = _in_blocks(placed.join(mixed, "bucket")).join(nodes.select("node", "n", "sketch", "bands"), "node")
-    kept = stored(_by_block(apart).mapInArrow(_sifter(similarity_percent), "bucket long, i int, j int, node string, component string, band int, n long, sketch array<long>, bands array<long>"), "sifted")
+    placed = members.select("bucket", "band", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    apart = _in_blocks(placed).join(nodes.select("node", "n", "sketch", "bands"), "node")
+    kept = stored(_by_block(apart).mapInArrow(_sifter(similarity_percent), "bucket long, i int, j int, own int, node string, component string, band int, n long, sketch array<long>, bands array<long>"), "sifted")
 
     # 3. Those, with their full sets: the links that join components.
     ready = kept.join(with_sets(kept.select("node"), "rest"), "node")
