@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 from oracle import SF, connect, rows
 
-from tessella.llm import html_text, language
+from tessella.llm import html_text, language, toxicity
 from tessella.llm import queries as Q
 from tessella.llm.decontaminate import contamination, contamination_with_spans, positional_index, proximity_matches, windows_of
 from tessella.llm.html_text import content, extract
@@ -30,7 +30,7 @@ from tessella.llm.language import fit_crf, fit_language, language_spans, predict
 from tessella.llm.mixing import mix, served, truncated
 from tessella.llm.near_dedup import near_duplicates
 from tessella.llm.neighbours import nearest
-from tessella.llm.quality import isotonic, quality
+from tessella.llm.quality import fit_quality, isotonic, quality, statistics
 from tessella.llm.sharding import pack, shard
 from tessella.llm.token_edits import Counts, TokenTree, count_with_edits, edit_trees, token_trees
 from tessella.llm.toxicity import fit_toxicity, score_toxicity
@@ -251,6 +251,39 @@ def test_quality(spark):
     assert quality(d.limit(0), one, F.lit(True)).count() == 0
 
 
+def test_quality_against_dense_equations(spark):
+    """Ridge weights and calibrated scores are those of one matrix of all labelled rows."""
+    texts = sentences(12, 300) + [t.upper() + " !!! " * 9 for t in sentences(13, 300)]
+    d = docs_frame(spark, texts)
+    marked = spark.createDataFrame([(k, int(k < 300)) for k in range(600) if k % 3], "doc_id long, label int")
+    stats = {r.doc_id: r.stats for r in statistics(d).collect()}
+    x, y = np.array([stats[k] for k in range(600) if k % 3]), np.array([float(k < 300) for k in range(600) if k % 3])
+    model = fit_quality(statistics(d).join(marked, "doc_id"))
+    mean, scale = x.mean(0), x.std(0)
+    scale[scale <= 1e-9] = 1
+    assert np.allclose(model.mean, mean) and np.allclose(model.scale, scale, rtol=1e-6, atol=1e-6)
+    f = model.features(x)
+    assert np.allclose(model.weights, np.linalg.solve(f.T @ f / len(x) + 1e-4 * np.eye(f.shape[1]), f.T @ y / len(x)), atol=1e-6)
+    raw = f @ model.weights
+    place = np.clip(((raw + 0.5) / 2 * 512).astype(int), 0, 511)
+    bins = np.unique(place)
+    means, sizes = np.array([y[place == b].mean() for b in bins]), np.array([(place == b).sum() for b in bins])
+    for _ in range(len(bins)):  # pool neighbours that violate the order, one at a time
+        bad = np.flatnonzero(np.diff(means) < -1e-12)
+        if not len(bad):
+            break
+        k = bad[0]
+        lo, hi = k, k + 1
+        while lo > 0 and means[lo - 1] == means[k]:
+            lo -= 1
+        while hi + 1 < len(means) and means[hi + 1] == means[k + 1]:
+            hi += 1
+        means[lo : hi + 1] = np.average(means[lo : hi + 1], weights=sizes[lo : hi + 1])
+    got = {r.doc_id: r.score for r in quality(d, marked, F.lit(True)).collect()}
+    want = np.interp(np.array([model.raw(np.array([stats[k]]))[0] for k in range(600)]), (bins + 0.5) / 512 * 2 - 0.5, means)
+    assert np.allclose([got[k] for k in range(600)], want, atol=1e-6)
+
+
 def test_isotonic():
     assert isotonic(np.array([0.1, 0.5, 0.3, 0.9]), np.array([1.0, 1, 3, 1])).tolist() == [0.1, 0.35, 0.35, 0.9]
 
@@ -439,6 +472,32 @@ def test_toxicity(spark):
     assert fit_toxicity(d, marked.limit(0)).bias == 0 and score_toxicity(d.limit(0), fit_toxicity(d, marked)).count() == 0
 
 
+def test_toxicity_against_a_dense_fit(spark):
+    """Log-count ratios, their choice and the logistic weights are those of one dense matrix."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["kind", "word", "tree", "you", "house"]) for _ in range(8)) + (" fool idiot" if k % 2 else "") for k in range(80)]
+    d = docs_frame(spark, texts)
+    marked = spark.createDataFrame([(k, k % 2) for k in range(80)], "doc_id long, label int")
+    model = fit_toxicity(d, marked, penalty=1e-2)
+    row, bucket = toxicity._present([t.lower() for t in texts], None)
+    buckets = np.unique(bucket)
+    x = np.zeros((80, len(buckets)))
+    x[row, np.searchsorted(buckets, bucket)] = 1
+    assert x.sum() == len(row)
+    y = np.arange(80) % 2
+    n1, n0 = x[y == 1].sum(0), x[y == 0].sum(0)
+    keep = n1 + n0 >= 3
+    assert set(model.buckets) == set(buckets[keep])
+    r = np.log((n1 + 1) / 42) - np.log((n0 + 1) / 42)
+    z, w, b = x[:, keep] * r[keep], np.zeros(keep.sum()), 0.0
+    for _ in range(30_000):
+        e = 1 / (1 + np.exp(-(z @ w + b))) - y
+        w -= 2e-3 * (z.T @ e / 80 + 1e-2 * w)
+        b -= 2e-3 * e.mean()
+    got = np.array([s.score for s in score_toxicity(d, model).orderBy("doc_id").collect()])
+    assert np.abs(got - 1 / (1 + np.exp(-(z @ w + b)))).max() < 0.05
+
+
 def test_token_edits(spark):
     import tiktoken
 
@@ -574,11 +633,33 @@ def test_pipeline(spark):
             assert kept <= set(ids)
         if name == "sharding":
             assert collections.Counter(ids) == collections.Counter(r.doc_id for r in after)
-    odd = docs_frame(spark, ["a b c d e f", "a b c d e f", None, "", "a b c d e f"], [3, 1, None, 2, 1])
-    assert sorted(str(r.doc_id) for r in P.near_dedup(spark, odd, SF).collect()) == ["1", "2", "None"]
     assert P.run(spark, SF).count() > 0
 
 
+INTERNAL = ["once", "k_id", "text_key", "key", "copy", "k", "time", "n", "unit", "g", "c", "s", "u", "span", "own", "at", "bucket", "src", "upto", "in0", "score"]
+
+
+def test_pipeline_stages_on_odd_tables(spark):
+    """Names of our own, nulls, empty and very long texts, ties, repeated rows and empty tables, for every stage."""
+    import corpus_pipeline as P
+
+    texts = ["a b c d e f", "a b c d e f", None, "", "a b c d e f", "word " * 60_000, None]
+    rows_ = [(i, t, "en", None if k % 2 else "s", *([7] * len(INTERNAL))) for k, (i, t) in enumerate(zip([3, 1, None, 2, 1, 5, None], texts))]
+    d = spark.createDataFrame(rows_, "doc_id long, text string, lang string, source string, " + ", ".join(f"`{c}` int" for c in INTERNAL))
+    for name, stage in P.STAGES:
+        out = stage(spark, d, SF)
+        assert out.columns[: len(d.columns)] == d.columns and stage(spark, d.limit(0), SF).count() == 0, name
+        got = out.collect()
+        assert all(r[c] == 7 for r in got for c in INTERNAL), name
+        ids = sorted(str(r.doc_id) for r in got)
+        if name == "near_dedup":
+            assert ids == ["1", "2", "5", "None", "None"]
+        elif name in ("toxicity", "decontaminate", "sharding"):
+            assert len(ids) == 7, name
+        else:
+            assert {"None", "2"} <= set(ids)
+
+
 @pytest.mark.parametrize("name", ["op1_near_dedup", "op7_decontaminate"])
 def test_same_rows_as_sql(spark, name):
     assert rows(Q.QUERIES[name](spark, SF).toPandas()) == rows(connect().execute(Q.ORACLE[name]).fetchdf())
