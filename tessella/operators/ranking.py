@@ -130,12 +130,8 @@ def weighted_sample(df: DataFrame, key: str, weight: str, n: int, replacement: b
     """
     if not replacement:
         return df.filter(F.col(weight) > 0).orderBy(-F.log(unit_interval(seed, F.col(key))) / F.col(weight), key).limit(n)
-    ranked = global_rank(df.filter(F.col(weight) > 0), key, name="_r")
-    rows = stored(ranked.withColumn("_cell", F.floor(F.col("_r") / 4096)), "weighted")
-    sums = rows.groupBy("_cell").agg(F.sum(weight).alias("_w"))
-    sums = sums.select("_cell", (F.sum("_w").over(Window.orderBy("_cell")) - F.col("_w")).alias("_b"), F.sum("_w").over(Window.orderBy("_cell")).alias("_e"), F.sum("_w").over(Window.partitionBy()).alias("_all"))
-    own = F.sum(weight).over(Window.partitionBy("_cell").orderBy("_r"))
-    rows = rows.withColumn("_to", own).join(F.broadcast(sums), "_cell").withColumn("_to", F.col("_to") + F.col("_b")).withColumn("_from", F.col("_to") - F.col(weight))
+    rows = running_sums(df.filter(F.col(weight) > 0), [key], {"_to": weight}).withColumn("_from", F.col("_to") - F.col(weight))
+    rows = rows.join(F.broadcast(rows.agg(F.max("_to").alias("_all"))))  # one row
     points = df.sparkSession.range(n).select(F.col("id").alias("draw"), unit_interval(seed + 1, F.col("id")).alias("_u"))
     spread = F.lit(float(max(n, 1)))
     stretch = rows.withColumn("_g", F.explode(F.sequence(F.floor(F.col("_from") / F.col("_all") * spread), F.floor(F.col("_to") / F.col("_all") * spread))))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.labels import to_local
 from tessella.operators.annotations import cell_size_filter, polygons
+from tessella.storage import stored
 
 Box = tuple[str, str, str, str]
 
@@ -63,18 +64,37 @@ def match_object_record(objects: DataFrame, records: DataFrame, group: list[str]
     """J7. The record that shares most area with each object (the first on ties), else the one with the nearest centre.
 
     objects: (group..., obj_id, x1, y1, x2, y2); records: (group..., rec_id, xmin, ymin, xmax, ymax).
-    Only objects that meet no record are compared with all records of their own group.
+    Objects that meet no record look for the nearest in cells around them, which double until it is certain.
     """
     o: Box = ("x1", "y1", "x2", "y2")
     area = intersection_area(o, ANN)
     met = bucket_join(objects, records, group, o, ANN, cell).withColumn("area", area).filter("area > 0")
     best = Window.partitionBy(*group, "obj_id")
     first = met.withColumn("_r", F.row_number().over(best.orderBy(F.desc("area"), "rec_id"))).filter("_r = 1").select(*group, "obj_id", "rec_id", "area")
-    left = objects.join(first, [*group, "obj_id"], "left_anti").join(records, group)
-    dx = (F.col("x1") + F.col("x2")) - (F.col("xmin") + F.col("xmax"))
-    dy = (F.col("y1") + F.col("y2")) - (F.col("ymin") + F.col("ymax"))
-    near = left.withColumn("_d", dx * dx + dy * dy).withColumn("_r", F.row_number().over(best.orderBy("_d", "rec_id"))).filter("_r = 1")
-    return first.unionByName(near.select(*group, "obj_id", "rec_id", F.lit(0).cast(dict(first.dtypes)["area"]).alias("area")))
+    left = objects.join(first, [*group, "obj_id"], "left_anti")
+    near = _nearest(left, records, group, cell).withColumn("area", F.lit(0).cast(dict(first.dtypes)["area"]))
+    return first.unionByName(near)
+
+
+def _nearest(objects: DataFrame, records: DataFrame, group: list[str], cell: int) -> DataFrame:
+    """(group..., obj_id, rec_id): the record with the nearest centre, the first on ties, for each object of a group that has records.
+
+    Each round joins the objects that are left with the records of the nine cells around them; a record
+    no farther than a cell's side is the nearest. Then the cells double. Centres are in half units.
+    """
+    at = lambda c, side: F.floor(F.col(c) / side)
+    places = stored(records.select(*group, "rec_id", (F.col("xmin") + F.col("xmax")).alias("rx"), (F.col("ymin") + F.col("ymax")).alias("ry")).filter("rx is not null and ry is not null"), "records")
+    left = objects.join(places.select(*group).distinct(), group, "left_semi").select(*group, "obj_id", (F.col("x1") + F.col("x2")).alias("ox"), (F.col("y1") + F.col("y2")).alias("oy")).filter("ox is not null and oy is not null")
+    left, out, side = stored(left, "unmatched"), left.select(*group, "obj_id", F.lit(None).cast(dict(records.dtypes)["rec_id"]).alias("rec_id")).limit(0), 2 * cell
+    while left.limit(1).count():
+        around = F.explode(F.array(*(F.struct((at("ox", side) + i).alias("cx"), (at("oy", side) + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+        spots = left.withColumn("c", around).select(*group, "obj_id", "ox", "oy", "c.*")
+        met = spots.join(places.withColumns({"cx": at("rx", side), "cy": at("ry", side)}), [*group, "cx", "cy"])
+        gap = (F.col("ox") - F.col("rx")).cast("long") * (F.col("ox") - F.col("rx")) + (F.col("oy") - F.col("ry")).cast("long") * (F.col("oy") - F.col("ry"))
+        best = met.groupBy(*group, "obj_id").agg(F.min(F.struct(gap.alias("d"), "rec_id")).alias("b"))
+        sure = stored(best.filter(F.col("b.d") <= side * side).select(*group, "obj_id", "b.rec_id"), "nearest")
+        out, left, side = out.unionByName(sure), stored(left.join(sure, [*group, "obj_id"], "left_anti"), "unmatched"), side * 2
+    return out
 
 
 def bbox_inside(inner: Box, outer: Box, margin: int = 2) -> Column:
