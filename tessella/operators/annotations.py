@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.labels import MAX_INT, class_of, dedup_key, is_rect, normalize_label, rect_number
 from tessella.operators.graph import components
+from tessella.storage import stored
 
 
 def polygons(ann: DataFrame) -> DataFrame:
@@ -146,7 +147,7 @@ def resolve_near_duplicates(ann: DataFrame, limit: int = 15, share: float = 0.2)
     Close pairs are found in parallel; only the kills of one connected group of pairs are worked out
     one after another, in the group's task.
     """
-    pairs = near_pairs(ann, limit, share)
+    pairs = stored(near_pairs(ann, limit, share), "pairs")
     groups = components(pairs, ["slide_id"])
 
     def kill(frames: pd.DataFrame) -> pd.DataFrame:
