@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.labels import MAX_INT, class_of, dedup_key, is_rect, normalize_label, rect_number
-from tessella.operators.graph import components
+from tessella.operators.graph import components, in_turn
 from tessella.storage import stored
 
 
@@ -144,23 +145,27 @@ def near_pairs(ann: DataFrame, limit: int = 15, share: float = 0.2) -> DataFrame
 def resolve_near_duplicates(ann: DataFrame, limit: int = 15, share: float = 0.2) -> DataFrame:
     """U2. Polygons of ``ann`` that survive: in order, each record kills the first earlier record that is still alive and close to it.
 
-    Close pairs are found in parallel; only the kills of one connected group of pairs are worked out
-    one after another, in the group's task.
+    Close pairs are found in parallel; only the kills of one connected group of pairs are made one after
+    another, while its sorted pairs pass by: a task remembers the killed records of the group at hand.
     """
     pairs = stored(near_pairs(ann, limit, share), "pairs")
-    groups = components(pairs, ["slide_id"])
+    edges = pairs.join(components(pairs, ["slide_id"]).withColumnRenamed("node", "a"), ["slide_id", "a"])
 
-    def kill(frames: pd.DataFrame) -> pd.DataFrame:
-        earlier = frames.sort_values(["b", "a"]).groupby("b")["a"].apply(list)
+    def kills() -> Callable[[tuple], tuple | None]:
         dead: set[int] = set()
-        for _, close in earlier.items():
-            first = next((a for a in close if a not in dead), None)
-            if first is not None:
-                dead.add(first)
-        return pd.DataFrame({"slide_id": frames["slide_id"].iloc[0], "ann_idx": sorted(dead)})
-
-    edges = pairs.join(groups.withColumnRenamed("node", "a"), ["slide_id", "a"])
-    dead = edges.groupBy("slide_id", "component").applyInPandas(lambda f: kill(f), "slide_id string, ann_idx int")
+        killer = None
+
+        def step(pair: tuple) -> tuple | None:
+            nonlocal killer
+            if pair.b == killer or pair.a in dead:
+                return None
+            killer = pair.b
+            dead.add(pair.a)
+            return pair.slide_id, pair.a
+
+        return step
+
+    dead = in_turn(edges, ["slide_id", "component"], ["b", "a"], kills, "slide_id string, ann_idx int")
     return polygons(ann).join(dead, ["slide_id", "ann_idx"], "left_anti")
 
 

@@ -1,7 +1,10 @@
-"""Connected components of a graph of pairs."""
+"""Connected components of a graph of pairs, and decisions that depend on the earlier ones of a component."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,3 +29,25 @@ def components(pairs: DataFrame, groups: list[str]) -> DataFrame:
         labels = new.select(*g, "node", "component")
         if not new.filter("moved").limit(1).count():
             return labels
+
+
+def in_turn(rows: DataFrame, group: list[str], order: list[str], start: Callable[[], Callable[[tuple], tuple | None]], schema: str) -> DataFrame:
+    """What ``start()`` of each group returns for its rows, one after another in ``order``; None adds no row.
+
+    The shuffle sorts the rows, and they pass in batches: a group of any size needs only what its
+    function remembers, not its rows.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, step = None, start()
+        for f in frames:
+            out = []
+            for key, row in zip(f[group].itertuples(index=False, name=None), f.itertuples(index=False), strict=True):
+                if key != at:
+                    at, step = key, start()
+                if (made := step(row)) is not None:
+                    out.append(made)
+            yield pd.DataFrame(out, columns=names, dtype=object)
+
+    names = [field.split()[0] for field in schema.split(", ")]
+    return rows.repartition(*group).sortWithinPartitions(*group, *order).mapInPandas(run, schema)

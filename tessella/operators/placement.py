@@ -7,11 +7,13 @@ half-open squares (y1, x1, size).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.operators.graph import components
+from tessella.operators.graph import components, in_turn
 from tessella.operators.ranking import hash_key
 from tessella.operators.raster import rect_sum
 from tessella.operators.spatial import neighbours
@@ -218,8 +220,9 @@ def greedy_groups(objects: DataFrame, images: DataFrame, runs: DataFrame, distan
     """R21. (img_id, obj_id, status, y1, x1, size): in id order, an unused object with neighbours seeds a group.
 
     The group of every object and the tile that fits it are worked out in parallel; only the choice of
-    seeds is made in order, within one connected group of neighbours. A saved or duplicate tile uses
-    all its objects; a failed fit leaves them free.
+    seeds is made in order, within one connected group of neighbours, whose sorted objects pass by: a
+    task remembers its used objects and saved tiles. A saved or duplicate tile uses all its objects; a
+    failed fit leaves them free.
     """
     pairs = neighbours(objects, ["img_id"], distance).select("img_id", "a", "b")
     whole = pairs.union(pairs.select("img_id", "a", F.col("a").alias("b")).distinct())
@@ -228,23 +231,24 @@ def greedy_groups(objects: DataFrame, images: DataFrame, runs: DataFrame, distan
     tiles = fit_tile(groups, images, runs, **fit)
     rows = groups.select("img_id", "obj_id", "members").join(tiles, ["img_id", "obj_id"], "left").join(components(pairs, ["img_id"]).withColumnRenamed("node", "obj_id"), ["img_id", "obj_id"])
 
-    def seeds(f: pd.DataFrame) -> pd.DataFrame:
+    def seeds() -> Callable[[tuple], tuple | None]:
         used: set[int] = set()
         saved: set[tuple[int, int, int]] = set()
-        out = []
-        for r in f.sort_values("obj_id").itertuples():
+
+        def step(r: tuple) -> tuple | None:
             if r.obj_id in used:
-                continue
-            if pd.isna(r.size_):
-                out.append((r.img_id, r.obj_id, "failed_truncation", None, None, None))
-                continue
-            tile = (int(r.y1), int(r.x1), int(r.size_))
-            out.append((r.img_id, r.obj_id, "failed_duplicate" if tile in saved else "saved", *tile))
+                return None
+            if pd.isna(r.side):
+                return r.img_id, r.obj_id, "failed_truncation", None, None, None
+            tile = (int(r.y1), int(r.x1), int(r.side))
+            status = "failed_duplicate" if tile in saved else "saved"
             saved.add(tile)
             used.update(int(m) for m in r.members)
-        return pd.DataFrame(out, columns=["img_id", "obj_id", "status", "y1", "x1", "size"]).astype({c: "Int64" for c in ("y1", "x1", "size")})
+            return r.img_id, r.obj_id, status, *tile
+
+        return step
 
-    return rows.withColumnRenamed("size", "size_").groupBy("img_id", "component").applyInPandas(lambda f: seeds(f), "img_id long, obj_id int, status string, y1 int, x1 int, size int")
+    return in_turn(rows.withColumnRenamed("size", "side"), ["img_id", "component"], ["obj_id"], seeds, "img_id long, obj_id int, status string, y1 int, x1 int, size int")
 
 
 PHASES = {"grp": 0, "ind": 1, "norm": 2}

@@ -178,13 +178,48 @@ def test_kills_in_order(spark):
     assert got == sorted(r[1] for r in alive)
 
 
-def test_greedy_seeds_in_order(spark):
-    objects = [(1, k, cy, cx, cy - 2, cx - 2, cy + 2, cx + 2) for k, (cy, cx) in enumerate([(20, 20), (20, 30), (20, 40), (80, 80)])]
+@pytest.fixture
+def small_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "7")
+    yield
+    spark.conf.set(key, before)
+
+
+def test_kills_in_one_large_group(spark, small_batches):
+    """Fifty copies of one box on each of two slides, in batches of seven pairs: each record kills the one before."""
+    data = [(s, i, "LSIL", 10, 10, 60, 60) for s in ("s", "t") for i in range(50)]
+    d = spark.createDataFrame(data, "slide_id string, ann_idx int, label string, xmin int, ymin int, xmax int, ymax int")
+    assert sorted((r.slide_id, r.ann_idx) for r in A.resolve_near_duplicates(d, 15).collect()) == [("s", 49), ("t", 49)]
+    assert A.resolve_near_duplicates(d.limit(0), 15).count() == 0
+
+
+def test_greedy_seeds_in_order(spark, small_batches):
+    """Against the seeds taken one after another from all groups and their tiles."""
+    rng = random.Random(5)
+    objects = [(g, k, cy, cx, cy - 2, cx - 2, cy + 2, cx + 2) for g in (1, 2) for k in range(40) for cy, cx in [(rng.randrange(5, 195), rng.randrange(5, 195))]]
     o = spark.createDataFrame(objects, "img_id long, obj_id int, cy int, cx int, y1 int, x1 int, y2 int, x2 int")
-    images = spark.createDataFrame([(1, 120, 120)], "img_id long, height int, width int")
-    runs = spark.createDataFrame([(1, y, x0, x0 + 4) for _, _, cy, cx, y1, x0, y2, _ in objects for y in range(y1, y2 + 1)], "img_id long, y int, x0 int, x1 int")
-    got = sorted((r.obj_id, r.status) for r in PL.greedy_groups(o, images, runs, 12, padding=6, min_padding=2, step=2, expand=40, margin=1, min_tile=12).collect())
-    assert got[0][0] == 0 and all(k != 3 for k, _ in got) and {s for _, s in got} <= {"saved", "failed_truncation", "failed_duplicate"}
+    images = spark.createDataFrame([(1, 200, 200), (2, 200, 200)], "img_id long, height int, width int")
+    runs = spark.createDataFrame([(r[0], y, r[5], r[7]) for r in objects for y in range(r[4], r[6] + 1)], "img_id long, y int, x0 int, x1 int")
+    fit = {"padding": 4, "min_padding": 2, "step": 2, "expand": 2, "margin": 2, "min_tile": 12}
+    got = {(r.img_id, r.obj_id): (r.status, r.y1, r.x1, r.size) for r in PL.greedy_groups(o, images, runs, 25, **fit).collect()}
+    members = {r[:2]: [s for s in objects if s[0] == r[0] and math.dist(r[2:4], s[2:4]) <= 25] for r in objects}
+    members = {k: m for k, m in members.items() if len(m) > 1}
+    boxes = [(*k, *(f(s[i] for s in m) for f, i in ((min, 4), (min, 5), (max, 6), (max, 7)))) for k, m in members.items()]
+    tiles = {(r.img_id, r.obj_id): (r.y1, r.x1, r.size) for r in PL.fit_tile(spark.createDataFrame(boxes, "img_id long, obj_id int, y1 int, x1 int, y2 int, x2 int"), images, runs, **fit).collect()}
+    want, used, saved = {}, set(), set()
+    for key in sorted(members):
+        if key in used:
+            continue
+        tile = tiles.get(key)
+        if tile is None:
+            want[key] = ("failed_truncation", None, None, None)
+            continue
+        want[key] = ("failed_duplicate" if (key[0], tile) in saved else "saved", *tile)
+        saved.add((key[0], tile))
+        used.update(s[:2] for s in members[key])
+    assert got == want and {v[0] for v in want.values()} >= {"saved", "failed_truncation"}
 
 
 def test_files_round_trip(spark, tmp_path):
