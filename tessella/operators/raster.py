@@ -29,8 +29,12 @@ def run_length_encode(pixels: DataFrame, group: list[str] | None = None, value:
 
 
 def to_pixels(runs: DataFrame) -> DataFrame:
-    """Runs as pixels: x in place of x0, x1."""
-    return runs.withColumn("x", F.explode(F.sequence("x0", "x1"))).drop("x0", "x1")
+    """Runs as pixels: x in place of x0, x1.
+
+    Spark takes exploded rows to be as small as those they come from and would broadcast them; the hint
+    makes joins of pixels shuffle.
+    """
+    return runs.withColumn("x", F.explode(F.sequence("x0", "x1"))).drop("x0", "x1").hint("merge")
 
 
 def in_cells(runs: DataFrame, first: str | Column, last: str | Column) -> DataFrame:

@@ -9,9 +9,9 @@ from tessella.functions.pixels import flip_rot_inverse, spline_weight
 
 
 def _square(tiles: DataFrame, side: int) -> DataFrame:
-    """Every pixel (ty, tx) of the tiles."""
+    """Every pixel (ty, tx) of the tiles, never broadcast: their size is underrated, as in `raster.to_pixels`."""
     span = F.sequence(F.lit(0), F.lit(side - 1))
-    return tiles.withColumn("ty", F.explode(span)).withColumn("tx", F.explode(span))
+    return tiles.withColumn("ty", F.explode(span)).withColumn("tx", F.explode(span)).hint("merge")
 
 
 def inference_grid(images: DataFrame, tile: int) -> DataFrame:
@@ -59,7 +59,7 @@ def chunk_grid(images: DataFrame, pixels: DataFrame, chunk: tuple[int, int], val
     """R4. (img_id, chunk_idx, ty, tx, value): chunks of (rows, columns) in row order; where the image doesn't divide, white fills up."""
     ch, cw = chunk
     t = images.withColumn("rows", F.ceil(F.col("height") / ch).cast("int")).withColumn("cols", F.ceil(F.col("width") / cw).cast("int")).withColumn("chunk_idx", F.explode(F.expr("sequence(0, rows * cols - 1)")))
-    p = t.withColumn("ty", F.explode(F.sequence(F.lit(0), F.lit(ch - 1)))).withColumn("tx", F.explode(F.sequence(F.lit(0), F.lit(cw - 1))))
+    p = t.withColumn("ty", F.explode(F.sequence(F.lit(0), F.lit(ch - 1)))).withColumn("tx", F.explode(F.sequence(F.lit(0), F.lit(cw - 1)))).hint("merge")
     p = p.withColumn("y", (F.floor(F.col("chunk_idx") / F.col("cols")) * ch + F.col("ty")).cast("int")).withColumn("x", (F.col("chunk_idx") % F.col("cols") * cw + F.col("tx")).cast("int"))
     return p.join(pixels.select("img_id", "y", "x", value), ["img_id", "y", "x"], "left").select("img_id", "chunk_idx", "ty", "tx", F.coalesce(value, F.lit(white)).alias(value))
 

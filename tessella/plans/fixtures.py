@@ -112,13 +112,13 @@ class Tables:
         return self._sql(DISCS)
 
     def mask(self) -> DataFrame:
-        """img_id, y, x, cls of every pixel."""
+        """img_id, y, x, cls of every pixel, never broadcast: their size is underrated, as in `raster.to_pixels`."""
         d = self.discs()
         grid = d.select("img_id").distinct().select("img_id", F.explode(F.sequence(F.lit(0), F.lit(SIDE - 1))).alias("y")).select("img_id", "y", F.explode(F.sequence(F.lit(0), F.lit(SIDE - 1))).alias("x"))
         dx = F.floor(F.sqrt(F.col("r") * F.col("r") - (F.col("y") - F.col("cy")) * (F.col("y") - F.col("cy")))).cast("int")
         rows = d.withColumn("y", F.explode(F.sequence(F.greatest(F.col("cy") - F.col("r"), F.lit(0)), F.least(F.col("cy") + F.col("r"), F.lit(SIDE - 1))))).withColumn("dx", dx)
         painted = rows.select("img_id", "y", F.explode(F.sequence(F.greatest(F.col("cx") - F.col("dx"), F.lit(0)), F.least(F.col("cx") + F.col("dx"), F.lit(SIDE - 1)))).alias("x"), "cls").groupBy("img_id", "y", "x").agg(F.max("cls").alias("cls"))
-        return grid.join(painted, ["img_id", "y", "x"], "left").withColumn("cls", F.coalesce("cls", F.lit(0)))
+        return grid.hint("merge").join(painted, ["img_id", "y", "x"], "left").withColumn("cls", F.coalesce("cls", F.lit(0))).hint("merge")
 
     def probs(self) -> DataFrame:
         """img_id, y, x, cls, p0, p1, p2."""
