@@ -8,17 +8,20 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.llm.centroids import centroid_clusters
 from tessella.llm.decontaminate import contamination
 from tessella.llm.html_text import extract
 from tessella.llm.language import fit_language, predict_language
 from tessella.llm.mixing import WORD, mix, truncated
 from tessella.llm.near_dedup import near_duplicates
 from tessella.llm.neighbours import nearest
+from tessella.llm.periodic import periodic_runs
 from tessella.llm.quality import quality
 from tessella.llm.sharding import shard
 from tessella.llm.storage import stored
 from tessella.llm.token_edits import count_with_edits
 from tessella.llm.toxicity import fit_toxicity, score_toxicity
+from tessella.llm.vector_dedup import vector_duplicates
 
 #: The rank file that op9 counts with; it must be at this path on every machine.
 VOCABULARY = os.environ.get("TESSELLA_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
@@ -89,8 +92,44 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector with its links of cosine 0.93 or more inside its label, and the smallest id that links reach."""
+    return vector_duplicates(_read(spark, sf_dir, "embeddings"), 0.93).select("vec_id", "n_links", "component_id", "kept")
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector of 64 finite components with its cluster after ten rounds of eight centroids."""
+    out = centroid_clusters(_read(spark, sf_dir, "embeddings"), k=8, rounds=10, dim=64, seed=3)
+    return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def _with_repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): of the documents whose crc32 ends in 0, the words from the a-th on become repeats of the p words there."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    split = docs.select("doc_id", "text", h.alias("h")).withColumn("words", F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), F.lit(0))))
+    g, n = F.floor(F.col("h") / 10), F.size("words")
+    planned = split.withColumn("n", F.when(F.col("h") % 10 == 0, n)).withColumn("a", F.when(F.col("n") > 0, g % F.col("n")))
+    planned = planned.withColumn("p", (F.lit(1) + F.floor((F.col("n") - F.col("a")) / (3 + g % 8))).cast("int")).withColumn("a", F.col("a").cast("int"))
+    rest = F.col("n") - F.col("a")
+    often = F.ceil(rest / F.col("p")).cast("int")
+    base = F.slice("words", F.col("a") + 1, F.least(F.col("p"), rest))
+    tail = F.slice(F.flatten(F.array_repeat(base, often)), F.lit(1), rest)
+    return planned.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), tail), " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its periodic runs of words, after repeats are planted in a tenth of the documents."""
+    found = periodic_runs(_with_repeats(_read(spark, sf_dir, "documents")))
+    top = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("a"), (-r["period"]).alias("q"))))
+    told = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string"))), "\n")
+    listed = F.when(F.size("runs") > 0, F.concat(told, F.lit("\n"))).otherwise(F.lit(""))
+    made = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), top.alias("top"), F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+    length, period = F.col("top.length"), -F.col("top.q")
+    return made.select("doc_id", "n_runs", (-F.col("top.a")).alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).cast("long").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_near_dedup, op2_html_text, op3_quality, op4_neighbours, op5_mixing, op6_sharding, op7_decontaminate, op8_toxicity, op9_token_counts, op10_language)
+    f.__name__: f for f in (op1_near_dedup, op2_html_text, op3_quality, op4_neighbours, op5_mixing, op6_sharding, op7_decontaminate, op8_toxicity, op9_token_counts, op10_language, op11_vector_dedup, op12_centroids, op13_periodic_runs)
 }
 
 _OP5 = """
@@ -133,4 +172,45 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
 """
 
-ORACLE: dict[str, str] = {"op1_near_dedup": _OP1, "op5_mixing": _OP5, "op7_decontaminate": _OP7}
+_FINITE = "len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+_OP11 = f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE label IS NOT NULL AND {_FINITE} AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.93),
+reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY 1), n AS (SELECT a AS vec_id, COUNT(*) AS n FROM e GROUP BY 1)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)
+"""
+
+
+def _op12(k: int, rounds: int, dim: int) -> str:
+    """Each round is a table of assignments and one of centroids."""
+    steps = [f"v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings WHERE len(embedding) = {dim} AND {_FINITE})"]
+    steps.append(f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS c, x AS m FROM (SELECT sha256('3:' || vec_id) AS h, x FROM v ORDER BY h, x LIMIT {k}))")
+    for r in range(rounds + 1):
+        gap = "list_sum(list_transform(list_zip(x, m), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
+        steps.append(f"a{r} AS MATERIALIZED (SELECT vec_id, x, min({{'d': {gap}, 'c': c}}) AS best FROM (SELECT row_number() OVER () AS id, * FROM v), c{r} GROUP BY id, vec_id, x)")
+        if r < rounds:
+            moved = f"SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS m FROM (SELECT best.c AS c, j, sum(x[j]) AS s, COUNT(*) AS n FROM a{r}, range(1, {dim} + 1) t(j) GROUP BY 1, 2) GROUP BY c"
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT c, coalesce(n.m, o.m) AS m FROM c{r} o LEFT JOIN ({moved}) n USING (c))")
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT vec_id, CAST(best.c AS INT) AS cluster, best.d AS distance, CAST(sum(best.d) OVER (PARTITION BY best.c) AS BIGINT) AS cluster_inertia, CAST(sum(best.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON c = best.c"""
+
+
+_CRC = "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: ord(ch)::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: xor(x >> 1, (x & 1) * 3988292384))))"
+_OP13 = rf"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, {_CRC} AS h FROM documents),
+g AS (SELECT doc_id, w, len(w) AS n, h, h // 10 AS g, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) ELSE 0 END AS a FROM t),
+v AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(0, n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) ELSE w END AS w FROM g),
+u AS (SELECT doc_id, n, unnest(w) AS word, unnest(range(0, n)) AS i FROM v),
+p AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM u x JOIN u y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+s AS (SELECT doc_id, q, min(i) AS start, COUNT(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM p) GROUP BY doc_id, q, k HAVING COUNT(*) + q >= greatest(6, 4 * q)),
+r AS (SELECT doc_id, start, length, min(q) AS period FROM s GROUP BY doc_id, start, length),
+d AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+c AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM u ANTI JOIN d USING (doc_id, i) GROUP BY doc_id),
+f AS (SELECT doc_id, COUNT(*) AS n_runs, arg_max({{'start': start, 'length': length, 'period': period}}, [length, -start, -period]) AS top, string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS told FROM r GROUP BY doc_id)
+SELECT v.doc_id, coalesce(n_runs, 0) AS n_runs, CAST(top.start AS BIGINT) AS start, CAST(top.length AS BIGINT) AS length, CAST(top.period AS BIGINT) AS period, CAST(1000 * top.length // top.period AS BIGINT) AS exponent_milli, sha256(coalesce(told, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM v LEFT JOIN f USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
+ORACLE: dict[str, str] = {"op1_near_dedup": _OP1, "op5_mixing": _OP5, "op7_decontaminate": _OP7, "op11_vector_dedup": _OP11, "op12_centroids": _op12(8, 10, 64), "op13_periodic_runs": _OP13}
