@@ -13,6 +13,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,9 +23,11 @@ from tessella.llm.storage import stored
 #: Entries of a neighbour list, and the most that a list holding only links grows to before its component is closed in blocks.
 NEIGHBOURS, MOST_NEIGHBOURS = 10, 40
 #: Deals of the vectors by signs of random projections, for the first lists; vectors aimed at and held in a block.
-DEALS, AIM, BLOCK = 3, 256, 512
+DEALS, AIM, BLOCK = 8, 512, 1024
+#: Entries of the arrays in which many small groups are multiplied together.
+MATRIX = 1 << 22
 #: Rounds of a descent at most; it stops once a smaller share of the list entries than this is new.
-ROUNDS, SETTLED = 10, 0.02
+ROUNDS, SETTLED = 12, 0.02
 #: Vectors that are compared with all others to measure recall; below TARGET the descent goes on with new deals, so often at most.
 AUDITED, TARGET, DESCENTS = 256, 0.99, 3
 #: Pivots that divide a component too large for one block, and members that one task places among them.
@@ -122,25 +125,90 @@ def _block_lists(bar: float):
     return run
 
 
+def _batched(nodes: np.ndarray, m: np.ndarray, new: np.ndarray, floors: np.ndarray, k: np.ndarray, cut: np.ndarray, bar: float) -> Iterator[pa.RecordBatch]:
+    """``_best`` of many small groups in one product: their rows between the cuts, padded to the largest."""
+    size = np.diff(cut)
+    width = int(size.max())
+    at = np.minimum(cut[:-1, None] + np.arange(width), len(nodes) - 1)
+    there = np.arange(width) < size[:, None]
+    v = np.where(there[:, :, None], m[at], 0)
+    sims = v @ v.transpose(0, 2, 1)
+    fresh = new[at] & there
+    allowed = (fresh[:, :, None] | fresh[:, None, :]) & there[:, :, None] & there[:, None, :]
+    allowed[:, np.arange(width), np.arange(width)] = False
+    # The rows of groups with links or doubtful pairs go on one by one, the others' best in one sort.
+    linked = (allowed & (sims >= bar - ROUNDING)).any(axis=(1, 2))
+    for g in np.flatnonzero(linked):
+        own, n = slice(cut[g], cut[g + 1]), size[g]
+        yield _best(nodes[own], sims[g, :n, :n], allowed[g, :n, :n], floors[own], int(k[own].max()), bar)
+    rest = np.flatnonzero(~linked)
+    if not len(rest):
+        return
+    open_ = np.where(allowed[rest] & (sims[rest] > floors[at[rest]][:, :, None]), sims[rest], -np.inf)
+    most = int(k.max())
+    if width > most:
+        col = np.argpartition(-open_, most, axis=2)[:, :, :most]
+        open_ = np.take_along_axis(open_, col, axis=2)
+    else:
+        col = np.broadcast_to(np.arange(width), open_.shape)
+    g, r, c = np.nonzero(np.isfinite(open_))
+    a, b = nodes[at[rest[g], r]], nodes[at[rest[g], col[g, r, c]]]
+    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(a), np.int8)), pa.array(a), pa.array(b), pa.array(open_[g, r, c].astype(np.float32))], names=["kind", "a", "b", "sim"])
+
+
 def _local_join(bar: float):
-    """Of the members of each list, forward and backward, the pairs of which one is new."""
+    """Of the members of each list, forward and backward, the pairs of which one is new. Rows come sorted by list and member."""
+
+    def joined(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        at, member = t.column("at").to_numpy(), t.column("member").to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (member[1:] != member[:-1])]))
+        new = np.logical_or.reduceat(t.column("new").to_numpy(), first)
+        t, at, nodes = t.take(pa.array(first)), at[first], member[first]
+        floors, k = t.column("floor").to_numpy(), t.column("k").to_numpy()
+        cut = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1, [len(at)]])
+        size = np.diff(cut)
+        some = np.logical_or.reduceat(new, cut[:-1]) & (size > 1)
+        dims = pc.binary_length(t.column("half")).to_numpy()
+        # Groups of about one size and one length of vector are multiplied together.
+        order = np.flatnonzero(some)
+        order = order[np.lexsort((size[order], dims[cut[:-1]][order]))]
+        x = 0
+        while x < len(order):
+            g = order[x]
+            limit = max(size[g] * 5 // 4, size[g] + 4)
+            y = x + 1
+            while y < len(order) and size[order[y]] <= limit and dims[cut[order[y]]] == dims[cut[g]] and (y - x + 1) * limit * (limit + 64) <= MATRIX:
+                y += 1
+            rows = np.concatenate([np.arange(cut[h], cut[h + 1]) for h in order[x:y]])
+            m = _halves(t.column("half").take(pa.array(rows)).to_pylist())
+            if y - x == 1 and size[g] > BLOCK:
+                # A node that very many lists name: its members meet a bounded matrix at a time.
+                for i in range(0, len(rows), BLOCK):
+                    for j in range(i, len(rows), BLOCK):
+                        two = np.arange(i, min(i + BLOCK, len(rows))) if i == j else np.concatenate([np.arange(i, min(i + BLOCK, len(rows))), np.arange(j, min(j + BLOCK, len(rows)))])
+                        own = rows[two]
+                        allowed = (new[own][:, None] | new[own][None, :]) & ~np.eye(len(own), dtype=bool)
+                        yield _best(nodes[own], m[two] @ m[two].T, allowed, floors[own], int(k[own].max()), bar)
+            else:
+                yield from _batched(nodes[rows], m, new[rows], floors[rows], k[rows], np.concatenate([[0], np.cumsum(size[order[x:y]])]), bar)
+            x = y
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _grouped(batches, ["at"]):
-            nodes, first, of = np.unique(t.column("member").to_numpy(), return_index=True, return_inverse=True)
-            new = np.zeros(len(nodes), bool)
-            np.logical_or.at(new, of, t.column("new").to_numpy())
-            if len(nodes) < 2 or not new.any():
+        held: list[pa.Table] = []
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            if not t.num_rows:
+                continue
+            at = t.column("at").to_numpy()
+            last = int(np.searchsorted(at, at[-1]))  # the last list may go on in the next batch
+            if last == 0 and held and held[-1].column("at")[-1].as_py() == at[0]:
+                held.append(t)
                 continue
-            t = t.take(pa.array(first))
-            m, floors, most = _halves(t.column("half").to_pylist()), t.column("floor").to_numpy(), int(pa.compute.max(t.column("k")).as_py())
-            # A list that very many others name is joined in pieces, each with all of it, a bounded matrix at a time.
-            for x in range(0, len(nodes), BLOCK):
-                for y in range(x, len(nodes), BLOCK):
-                    rows = np.arange(x, min(x + BLOCK, len(nodes)))
-                    rows = rows if x == y else np.concatenate([rows, np.arange(y, min(y + BLOCK, len(nodes)))])
-                    allowed = (new[rows][:, None] | new[rows][None, :]) & ~np.eye(len(rows), dtype=bool)
-                    yield _best(nodes[rows], m[rows] @ m[rows].T, allowed, floors[rows], most, bar)
+            if held or last:
+                yield from joined(pa.concat_tables([*held, t.slice(0, last)]))
+            held = [t.slice(last)]
+        if held:
+            yield from joined(pa.concat_tables(held))
 
     return run
 
@@ -217,7 +285,7 @@ def _descended(nodes: DataFrame, state: DataFrame | None, descent: int, bar: flo
         edges = state.select(F.col("node").alias("a"), F.explode("list").alias("e")).select("a", "e.b", "e.new")
         both = edges.select(F.col("a").alias("at"), F.col("b").alias("member"), "new").union(edges.select(F.col("b").alias("at"), F.col("a").alias("member"), "new"))
         sent = both.join(state.select(F.col("node").alias("member"), "half", "floor", "k"), "member")
-        found.append(stored(sent.repartition("at").sortWithinPartitions("at").select("at", "member", "new", "half", "floor", "k").mapInArrow(_local_join(bar), FOUND), "joined"))
+        found.append(stored(sent.repartition("at").sortWithinPartitions("at", "member").select("at", "member", "new", "half", "floor", "k").mapInArrow(_local_join(bar), FOUND), "joined"))
         entries = fresh(found[-1])
     return state, found
 
@@ -318,8 +386,9 @@ def _counted(members: DataFrame, threshold: float) -> DataFrame:
     sure = pairs.filter("sure").groupBy("component", "cell").agg(F.sum("all").alias("all"), F.max(F.col("cell") == F.col("other")).alias("own"))
     counted = placed.join(sure, ["component", "cell"]).select("node", (F.col("all") - F.when(F.col("own"), F.col("weight")).otherwise(0)).alias("links"))
     # Cells that are neither: blocks of each meet, one pair of blocks a group.
-    unsure = pairs.filter("not sure and cell <= other").withColumn("i", F.explode(F.expr("sequence(0, cast(ceil(n / 512) as int) - 1)"))).withColumn("j", F.explode(F.expr("sequence(0, cast(ceil(n_other / 512) as int) - 1)"))).filter("cell < other or i <= j").select("component", "cell", "i", "other", "j", "n", "n_other")
-    blocked = lambda c, b, n: placed.select("component", F.col("cell").alias(c), "node", "weight", "embedding").join(unsure, ["component", c]).filter(F.pmod(F.hash("node"), F.ceil(F.col(n) / 512)) == F.col(b))
+    unsure = pairs.filter("not sure and cell <= other").withColumn("i", F.explode(F.expr(f"sequence(0, cast(ceil(n / {BLOCK}) as int) - 1)"))).withColumn("j", F.explode(F.expr(f"sequence(0, cast(ceil(n_other / {BLOCK}) as int) - 1)"))).filter("cell < other or i <= j").select("component", "cell", "i", "other", "j", "n", "n_other")
+    unsure = stored(unsure, "block-pairs")
+    blocked = lambda c, b, n: placed.select("component", F.col("cell").alias(c), "node", "weight", "embedding").join(unsure, ["component", c]).filter(F.pmod(F.hash("node"), F.ceil(F.col(n) / BLOCK)) == F.col(b))
     key = ["component", "cell", "i", "other", "j"]
 
     def meet(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
@@ -330,7 +399,9 @@ def _counted(members: DataFrame, threshold: float) -> DataFrame:
         there, back = _count_block(p, q, threshold), _count_block(q, p, threshold)
         return pd.DataFrame({"node": np.concatenate([p["node"], q["node"]]), "links": np.concatenate([there, back])})
 
-    met = blocked("cell", "i", "n").groupBy(*key).cogroup(blocked("other", "j", "n_other").groupBy(*key)).applyInPandas(meet, "node long, links long")
+    left, right = blocked("cell", "i", "n"), blocked("other", "j", "n_other")
+    right = right.toDF(*right.columns)  # columns of its own, for both sides read the same tables
+    met = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(meet, "node long, links long")
     return out.union(counted.union(met).groupBy("node").agg(F.sum("links").alias("links")))
 
 
