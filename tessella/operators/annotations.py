@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.labels import MAX_INT, class_of, dedup_key, is_rect, normalize_label, rect_number
-from tessella.operators.graph import components, in_turn
-from tessella.storage import stored
+from tessella.operators.graph import first_choices
 
 
 def polygons(ann: DataFrame) -> DataFrame:
@@ -122,51 +119,37 @@ def atlas(ann: DataFrame) -> DataFrame:
 def near_pairs(ann: DataFrame, limit: int = 15, share: float = 0.2) -> DataFrame:
     """J4. (slide_id, a, b), a < b: two of their like corners at most ``limit`` apart, and an intersection of at least ``share`` of the larger area.
 
-    A pair shares a cell of ``limit`` for one of its four corners, itself or next to it; each record
-    stands in its own cells, its partner in the nine around each.
+    A pair is found by the first of its four corners that fits, in the cell of twice ``limit`` that holds
+    the earlier record's corner; a corner of the later one reaches four such cells at most.
     """
+    side = 2 * limit
     box = polygons(ann).select("slide_id", F.col("ann_idx").alias("a"), "xmin", "ymin", "xmax", "ymax")
-    corner = lambda k, x, y: F.struct(F.lit(k).alias("k"), F.floor(F.col(x) / limit).alias("cx"), F.floor(F.col(y) / limit).alias("cy"))
-    corners = F.array(corner(0, "xmin", "ymin"), corner(1, "xmax", "ymin"), corner(2, "xmin", "ymax"), corner(3, "xmax", "ymax"))
-    left = box.withColumn("c", F.explode(corners)).select("*", "c.*").drop("c")
-    near = F.expr("explode(flatten(transform(array(-1, 0, 1), i -> transform(array(-1, 0, 1), j -> struct(cx + i as cx, cy + j as cy)))))")
-    right = left.withColumnsRenamed({"a": "b", "xmin": "bx0", "ymin": "by0", "xmax": "bx1", "ymax": "by1"})
-    right = right.withColumn("n", near).select("slide_id", "b", "bx0", "by0", "bx1", "by1", "k", "n.cx", "n.cy")
+    other = box.withColumnsRenamed({"a": "b", "xmin": "bx0", "ymin": "by0", "xmax": "bx1", "ymax": "by1"})
+    cell = lambda c, off=0: F.floor((F.col(c) + off) / side)
+    named = lambda names, make: F.explode(F.flatten(F.array(*(make(k, names[k % 2], names[2 + k // 2]) for k in range(4)))))
+    own = lambda k, x, y: F.array(F.struct(F.lit(k).alias("k"), cell(x).alias("cx"), cell(y).alias("cy")))
+    cells = lambda k, x, y: F.flatten(F.transform(F.sequence(cell(x, -limit), cell(x, limit)), lambda i: F.transform(F.sequence(cell(y, -limit), cell(y, limit)), lambda j: F.struct(F.lit(k).alias("k"), i.alias("cx"), j.alias("cy")))))
+    left = box.withColumn("c", named(("xmin", "xmax", "ymin", "ymax"), own)).select("*", "c.*").drop("c")
+    right = other.withColumn("c", named(("bx0", "bx1", "by0", "by1"), cells)).select("*", "c.*").drop("c")
     d = lambda x, y: (F.col(x[0]) - F.col(x[1])) * (F.col(x[0]) - F.col(x[1])) + (F.col(y[0]) - F.col(y[1])) * (F.col(y[0]) - F.col(y[1])) <= limit * limit
-    close = d(("xmin", "bx0"), ("ymin", "by0")) | d(("xmax", "bx1"), ("ymin", "by0")) | d(("xmin", "bx0"), ("ymax", "by1")) | d(("xmax", "bx1"), ("ymax", "by1"))
+    fits = [d((x, bx), (y, by)) for y, by in (("ymin", "by0"), ("ymax", "by1")) for x, bx in (("xmin", "bx0"), ("xmax", "bx1"))]
+    first = F.when(fits[0], 0).when(fits[1], 1).when(fits[2], 2).when(fits[3], 3)
     dx = F.least("xmax", "bx1") - F.greatest("xmin", "bx0")
     dy = F.least("ymax", "by1") - F.greatest("ymin", "by0")
     inter = F.when((dx >= 0) & (dy >= 0), dx * dy).otherwise(0)
     area = F.greatest((F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin")), (F.col("bx1") - F.col("bx0")) * (F.col("by1") - F.col("by0")))
-    pairs = left.join(right, ["slide_id", "k", "cx", "cy"]).filter((F.col("a") < F.col("b")) & close & (inter >= F.lit(share) * area))
-    return pairs.select("slide_id", "a", "b").distinct()
+    pairs = left.join(right, ["slide_id", "k", "cx", "cy"]).filter((F.col("a") < F.col("b")) & (first == F.col("k")) & (inter >= F.lit(share) * area))
+    return pairs.select("slide_id", "a", "b")
 
 
 def resolve_near_duplicates(ann: DataFrame, limit: int = 15, share: float = 0.2) -> DataFrame:
     """U2. Polygons of ``ann`` that survive: in order, each record kills the first earlier record that is still alive and close to it.
 
-    Close pairs are found in parallel; only the kills of one connected group of pairs are made one after
-    another, while its sorted pairs pass by: a task remembers the killed records of the group at hand.
+    Pairs and kills are made by joins, of all slides and clumps at once (`graph.first_choices`): the kills of a chain
+    or a star take one or two rounds, and clumps in which all are close to all are decided in memory unless very large.
     """
-    pairs = stored(near_pairs(ann, limit, share), "pairs")
-    edges = pairs.join(components(pairs, ["slide_id"]).withColumnRenamed("node", "a"), ["slide_id", "a"])
-
-    def kills() -> Callable[[tuple], tuple | None]:
-        dead: set[int] = set()
-        killer = None
-
-        def step(pair: tuple) -> tuple | None:
-            nonlocal killer
-            if pair.b == killer or pair.a in dead:
-                return None
-            killer = pair.b
-            dead.add(pair.a)
-            return pair.slide_id, pair.a
-
-        return step
-
-    dead = in_turn(edges, ["slide_id", "component"], ["b", "a"], kills, "slide_id string, ann_idx int")
-    return polygons(ann).join(dead, ["slide_id", "ann_idx"], "left_anti")
+    dead = first_choices(near_pairs(ann, limit, share), ["slide_id"])
+    return polygons(ann).join(dead.select("slide_id", F.col("a").alias("ann_idx")), ["slide_id", "ann_idx"], "left_anti")
 
 
 def markdown_report(report: DataFrame) -> DataFrame:

@@ -7,17 +7,15 @@ half-open squares (y1, x1, size).
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.operators.graph import components, in_turn
+from tessella.operators.graph import first_independent
 from tessella.operators.ranking import hash_key
 from tessella.operators.raster import rect_sum
 from tessella.operators.spatial import neighbours
 from tessella.operators.tiling import extract_padded
+from tessella.storage import stored
 
 #: Defaults of all placements.
 PADDING, MIN_PADDING, PADDING_STEP, MAX_EXPAND, EXPAND_STEP, MARGIN, MIN_TILE = 30, 10, 5, 200, 10, 3, 60
@@ -219,36 +217,20 @@ def backfill_normals(pixels: DataFrame, deficit: DataFrame, images: DataFrame, i
 def greedy_groups(objects: DataFrame, images: DataFrame, runs: DataFrame, distance: int = 150, **fit: int) -> DataFrame:
     """R21. (img_id, obj_id, status, y1, x1, size): in id order, an unused object with neighbours seeds a group.
 
-    The group of every object and the tile that fits it are worked out in parallel; only the choice of
-    seeds is made in order, within one connected group of neighbours, whose sorted objects pass by: a
-    task remembers its used objects and saved tiles. A saved or duplicate tile uses all its objects; a
-    failed fit leaves them free.
+    The group of every object and the tile that fits it are worked out in parallel. A tile uses all
+    objects of its group, a failed fit leaves them free, so an object is a seed if no smaller neighbour with a tile is one: seeds are
+    chosen by `graph.first_independent`, in squares of four distances. Of equal tiles of an image the first is saved.
     """
     pairs = neighbours(objects, ["img_id"], distance).select("img_id", "a", "b")
     whole = pairs.union(pairs.select("img_id", "a", F.col("a").alias("b")).distinct())
     boxes = whole.join(objects.select("img_id", F.col("obj_id").alias("b"), "y1", "x1", "y2", "x2"), ["img_id", "b"])
-    groups = boxes.groupBy("img_id", F.col("a").alias("obj_id")).agg(F.min("y1").alias("y1"), F.min("x1").alias("x1"), F.max("y2").alias("y2"), F.max("x2").alias("x2"), F.sort_array(F.collect_list("b")).alias("members"))
-    tiles = fit_tile(groups, images, runs, **fit)
-    rows = groups.select("img_id", "obj_id", "members").join(tiles, ["img_id", "obj_id"], "left").join(components(pairs, ["img_id"]).withColumnRenamed("node", "obj_id"), ["img_id", "obj_id"])
-
-    def seeds() -> Callable[[tuple], tuple | None]:
-        used: set[int] = set()
-        saved: set[tuple[int, int, int]] = set()
-
-        def step(r: tuple) -> tuple | None:
-            if r.obj_id in used:
-                return None
-            if pd.isna(r.side):
-                return r.img_id, r.obj_id, "failed_truncation", None, None, None
-            tile = (int(r.y1), int(r.x1), int(r.side))
-            status = "failed_duplicate" if tile in saved else "saved"
-            saved.add(tile)
-            used.update(int(m) for m in r.members)
-            return r.img_id, r.obj_id, status, *tile
-
-        return step
-
-    return in_turn(rows.withColumnRenamed("size", "side"), ["img_id", "component"], ["obj_id"], seeds, "img_id long, obj_id int, status string, y1 int, x1 int, size int")
+    groups = stored(boxes.groupBy("img_id", F.col("a").alias("obj_id")).agg(F.min("y1").alias("y1"), F.min("x1").alias("x1"), F.max("y2").alias("y2"), F.max("x2").alias("x2")), "groups")
+    tiles = stored(groups.select("img_id", "obj_id").join(fit_tile(groups, images, runs, **fit), ["img_id", "obj_id"], "left"), "tiles")
+    nodes = tiles.join(objects.select("img_id", "obj_id", "cx", "cy"), ["img_id", "obj_id"]).select("img_id", F.col("obj_id").alias("node"), F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("size").isNotNull().alias("able"))
+    seeds = first_independent(nodes, pairs.filter("b < a"), "img_id", 4 * distance).filter("free").select("img_id", F.col("node").alias("obj_id"))
+    again = F.row_number().over(Window.partitionBy("img_id", "y1", "x1", "size").orderBy("obj_id")) > 1
+    status = F.when(F.col("size").isNull(), "failed_truncation").when(again, "failed_duplicate").otherwise("saved")
+    return tiles.join(seeds, ["img_id", "obj_id"]).select("img_id", "obj_id", status.alias("status"), "y1", "x1", "size")
 
 
 PHASES = {"grp": 0, "ind": 1, "norm": 2}

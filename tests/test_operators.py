@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import math
 import random
 
@@ -12,10 +13,12 @@ from pyspark.sql import functions as F
 from tessella.functions import labels as L
 from tessella.functions import pixels as P
 from tessella.operators import annotations as A
+from tessella.operators import graph as G
 from tessella.operators import metrics as M
 from tessella.operators import placement as PL
 from tessella.operators import ranking as RK
 from tessella.operators import raster as R
+from tessella.operators import spatial as SP
 from tessella.operators import tiling as T
 from tessella.operators.graph import components
 from tessella.sources import files as S
@@ -178,6 +181,51 @@ def test_kills_in_order(spark):
     assert got == sorted(r[1] for r in alive)
 
 
+def test_kills_of_a_long_chain_and_a_star(spark):
+    """100,000 records each in one slide: in the chain each kills the one before, in the star the second kills the centre."""
+    n = 100_000
+    chain = spark.range(1, n).select(F.lit("s").alias("slide_id"), (F.col("id") - 1).cast("int").alias("a"), F.col("id").cast("int").alias("b"))
+    star = spark.range(1, n).select(F.lit("t").alias("slide_id"), F.lit(0).alias("a"), F.col("id").cast("int").alias("b"))
+    got = G.first_choices(chain.union(star), ["slide_id"]).groupBy("slide_id").agg(F.count("a").alias("n"), F.max(F.col("b") - F.col("a")).alias("far")).collect()
+    assert {(r.slide_id, r.n, r.far) for r in got} == {("s", n - 1, 1), ("t", 1, 1)}
+
+
+def test_choices_in_order_however_clumps_are_decided(spark, monkeypatch):
+    rng = random.Random(8)
+    pairs = sorted({(g, *sorted(rng.sample(range(m), 2))) for g, m, k in (("s", 30, 300), ("t", 200, 400), ("u", 12, 200)) for _ in range(k)})
+    taken, want = set(), []
+    for b in sorted({(g, b) for g, _, b in pairs}):
+        a = next((a for g, a, c in pairs if (g, c) == b and (g, a) not in taken), None)
+        if a is not None:
+            taken.add((b[0], a))
+            want.append((b[0], a, b[1]))
+    d = spark.createDataFrame(pairs, "slide_id string, a int, b int")
+    for most in (1 << 20, 250, 0):
+        monkeypatch.setattr(G, "CLUMP_PAIRS", most)
+        assert sorted(map(tuple, G.first_choices(d, ["slide_id"]).select("slide_id", "a", "b").collect())) == sorted(want)
+
+
+def test_seeds_of_one_connected_mass(spark):
+    """Against a plain pass in order: 20,000 nodes in scan order, each within reach of many, in squares of 30."""
+    rng = random.Random(2)
+    at = sorted((rng.randrange(600), rng.randrange(600)) for _ in range(20_000))
+    nodes = spark.createDataFrame([(1, i, x, y, rng.random() < 0.8) for i, (y, x) in enumerate(at)], "img_id long, node int, x int, y int, able boolean")
+    o = nodes.select("img_id", F.col("node").alias("obj_id"), F.col("x").alias("cx"), F.col("y").alias("cy"))
+    edges = SP.neighbours(o, ["img_id"], 10).filter("b < a").select("img_id", "a", "b").cache()
+    before = collections.defaultdict(list)
+    for r in edges.collect():
+        before[r.a].append(r.b)
+    chosen, free = set(), set()
+    for r in nodes.orderBy("node").collect():
+        if not any(b in chosen for b in before[r.node]):
+            free.add(r.node)
+            if r.able:
+                chosen.add(r.node)
+    got = G.first_independent(nodes, edges, "img_id", 30).collect()
+    assert len(got) == len(at)
+    assert {r.node for r in got if r.free} == free and {r.node for r in got if r.chosen} == chosen
+
+
 @pytest.fixture
 def small_batches(spark):
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
