@@ -21,7 +21,7 @@ def _runs_of(df: DataFrame, condition: Column) -> DataFrame:
 def suspicious_components(df: DataFrame, threshold: float) -> DataFrame:
     """R37. Runs of the non-background components (8-connected, class 1 or 2 greatest) that hold a pixel with p2 >= threshold."""
     lab = R.connected_components(_runs_of(best(df), F.col("pred") > 0), 8)
-    red = R.to_pixels(lab).join(df.filter(F.col("p2") >= threshold).select("img_id", "y", "x"), ["img_id", "y", "x"], "left_semi").select("img_id", "component").distinct()
+    red = R.pixels_in_runs(df.filter(F.col("p2") >= threshold).select("img_id", "y", "x"), lab, ["img_id"]).select("img_id", "component").distinct()
     return lab.join(red, ["img_id", "component"], "left_semi")
 
 
@@ -61,12 +61,14 @@ def _over() -> Column:
 
 def refine_regions(initial: DataFrame, region_preds: DataFrame) -> DataFrame:
     """R38. The map with class 1 := p1 + p2 and class 2 := 0, overwritten where a region's prediction (img_id, component, y, x, q0, q1, q2) has class 2 greatest, by the last such region; an image without region predictions keeps its map."""
-    has = region_preds.select("img_id").distinct().withColumn("_has", F.lit(True))
-    last = region_preds.filter(_over()).groupBy("img_id", "y", "x").agg(F.max_by(F.struct("q0", "q1", "q2"), "component").alias("_q"))
-    d = initial.join(has, "img_id", "left").join(last, ["img_id", "y", "x"], "left")
-    merged = {"p0": F.col("p0"), "p1": F.col("p1") + F.col("p2"), "p2": F.lit(0.0)}
-    out = {f"p{k}": F.when(F.col("_has").isNull(), F.col(f"p{k}")).otherwise(F.coalesce(F.col(f"_q.q{k}"), merged[f"p{k}"])) for k in range(3)}
-    return d.select("img_id", "y", "x", *(c.alias(k) for k, c in out.items()))
+    nothing = F.lit(None).cast("struct<q0:double,q1:double,q2:double>")
+    old = initial.select("img_id", "y", "x", F.struct("p0", "p1", "p2").alias("_p"), F.lit(None).cast(dict(region_preds.dtypes)["component"]).alias("component"), nothing.alias("_q"))
+    new = region_preds.filter(_over()).select("img_id", "y", "x", F.lit(None).cast("struct<p0:double,p1:double,p2:double>").alias("_p"), "component", F.struct(*(F.col(f"q{k}").cast("double").alias(f"q{k}") for k in range(3))).alias("_q"))
+    both = old.unionByName(new).groupBy("img_id", "y", "x").agg(F.first("_p", ignorenulls=True).alias("_p"), F.max_by("_q", "component").alias("_q")).filter("_p is not null")
+    d = both.join(region_preds.select("img_id").distinct().withColumn("_has", F.lit(True)), "img_id", "left")
+    p = [F.col(f"_p.p{k}") for k in range(3)]
+    merged = (p[0], p[1] + p[2], F.lit(0.0))
+    return d.select("img_id", "y", "x", *(F.when(F.col("_has").isNull(), p[k]).otherwise(F.coalesce(F.col(f"_q.q{k}"), merged[k])).alias(f"p{k}") for k in range(3)))
 
 
 def region_boxes(boxes: DataFrame, region_preds: DataFrame) -> DataFrame:

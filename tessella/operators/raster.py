@@ -29,10 +29,9 @@ def run_length_encode(pixels: DataFrame, group: list[str] | None = None, value:
 
 
 def to_pixels(runs: DataFrame) -> DataFrame:
-    """Runs as pixels: x in place of x0, x1.
+    """Runs as pixels: x in place of x0, x1. For results that are pixels; operators meet runs and pixels by cells (`pixels_in_runs`).
 
-    Spark takes exploded rows to be as small as those they come from and would broadcast them; the hint
-    makes joins of pixels shuffle.
+    Spark takes exploded rows to be as small as those they come from and would broadcast them; the hint makes joins shuffle.
     """
     return runs.withColumn("x", F.explode(F.sequence("x0", "x1"))).drop("x0", "x1").hint("merge")
 
@@ -43,6 +42,12 @@ def in_cells(runs: DataFrame, first: str | Column, last: str | Column) -> DataFr
     return runs.withColumn("_c", F.explode(F.sequence(at(first), at(last))))
 
 
+def pixels_in_runs(pixels: DataFrame, runs: DataFrame, group: list[str]) -> DataFrame:
+    """Pixels (group..., y, x, ...) with the other columns of the run (group..., y, x0, x1, ...) they lie in: one row a pixel and run, met in its cell."""
+    cells = in_cells(runs, "x0", "x1").withColumnsRenamed({"x0": "_x0", "x1": "_x1"})
+    return pixels.withColumn("_c", F.floor(F.col("x") / CELL)).join(cells, [*group, "y", "_c"]).filter("x >= _x0 and x <= _x1").drop("_c", "_x0", "_x1")
+
+
 def merge_runs(runs: DataFrame, group: list[str]) -> DataFrame:
     """Overlapping or touching runs of the same group and row as one."""
     w = Window.partitionBy(*group, "y").orderBy("x0", "x1")
@@ -130,19 +135,79 @@ def crop_to_multiple(pixels: DataFrame, height: int, width: int, factor: int) ->
     return pixels.filter((F.col("y") < height - height % factor) & (F.col("x") < width - width % factor))
 
 
+#: Rows of a strip, whose runs one task labels in memory.
+STRIP_ROWS = 256
+
+
+def _strip_labels(strip: np.ndarray, y: np.ndarray, x0: np.ndarray, x1: np.ndarray, c: int) -> np.ndarray:
+    """For runs in the order of strip, y and x0, the place of the first run of each one's component inside its strip."""
+    n = len(y)
+    base = x0.min() - c - 1
+    wide = int(x1.max() - base) + c + 2
+    row = strip * (STRIP_ROWS + 2) + y % STRIP_ROWS
+    first, last = row * wide + x0 - base, row * wide + x1 - base  # both ascend
+    low, high = np.searchsorted(last, first - c - wide), np.searchsorted(first, last + c - wide, side="right")
+    often = np.maximum(high - low, 0)
+    a = np.repeat(np.arange(n), often)
+    b = np.repeat(low, often) + np.arange(len(a)) - np.repeat(np.cumsum(often) - often, often)
+    label = np.arange(n)
+    while len(a):
+        # Roots hook on to smaller roots, then every run points at its root.
+        np.minimum.at(label, np.maximum(label[a], label[b]), np.minimum(label[a], label[b]))
+        while (label[label] != label).any():
+            label = label[label]
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+    return label
+
+
 def connected_components(runs: DataFrame, connectivity: int = 8, group: list[str] | None = None) -> DataFrame:
     """R9. Runs of one class with component, the number of the component's first run.
 
-    Runs of neighbouring rows that touch (for 8 also at a corner) are edges; labels spread by joins.
-    Runs meet by cells of columns, each pair in the cell where both have begun.
+    Runs of neighbouring rows that touch (for 8 also at a corner) belong together. A task labels the runs of a
+    strip of STRIP_ROWS rows in memory. Only what touches across the border of two strips becomes edges between
+    the strips' labels, and those spread by joins; images of one strip have none.
     """
     group, c = group or ["img_id"], 1 if connectivity == 8 else 0
-    n = stored(runs.withColumn("node", F.col("y").cast("long") * STRIDE + F.col("x0")), "nodes")
-    up = n.select(*group, F.col("node").alias("a"), (F.col("x0") - c).alias("a0"), (F.col("x1") + c).alias("a1"), (F.col("y") + 1).alias("y"))
-    pairs = in_cells(up, "a0", "a1").join(in_cells(n.select(*group, F.col("node").alias("b"), "x0", "x1", "y"), "x0", "x1"), [*group, "y", "_c"])
-    pairs = pairs.filter((F.col("a0") <= F.col("x1")) & (F.col("x0") <= F.col("a1")) & (F.floor(F.greatest("a0", "x0") / CELL) == F.col("_c")))
-    labels = components(pairs.select(*group, "a", "b"), group)
-    return n.join(labels, [*group, "node"], "left").withColumn("component", F.coalesce("component", "node")).drop("node")
+    n = runs.withColumn("node", F.col("y").cast("long") * STRIDE + F.col("x0")).withColumn("_s", F.floor(F.col("y") / STRIP_ROWS))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in n.schema)
+
+    def labelled(t: pa.Table, new: np.ndarray) -> pa.RecordBatch:
+        y, x0, x1 = (t.column(k).to_numpy().astype(np.int64) for k in ("y", "x0", "x1"))
+        first = _strip_labels(np.cumsum(new), y, x0, x1, c)
+        return t.append_column("local", pa.array(t.column("node").to_numpy()[first])).combine_chunks().to_batches()[0]
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])]).combine_chunks()
+            if not t.num_rows:
+                continue
+            new = np.ones(t.num_rows, bool)
+            new[1:] = False
+            for k in [*group, "_s"]:
+                col = t.column(k).combine_chunks() if isinstance(t.column(k), pa.ChunkedArray) else t.column(k)
+                new[1:] |= pc.not_equal(col[1:], col[:-1]).to_numpy(zero_copy_only=False)
+            cut = int(np.flatnonzero(new)[-1])  # the last strip may go on in the next batch
+            if cut:
+                yield labelled(t.slice(0, cut), new[:cut])
+            held = t.slice(cut)
+        if held is not None:
+            new = np.zeros(held.num_rows, bool)
+            new[0] = True
+            yield labelled(held, new)
+
+    strips = n.repartition(*group, "_s").sortWithinPartitions(*group, "_s", "y", "x0")
+    n = stored(strips.mapInArrow(label, f"{fields}, local long").drop("_s"), "labelled")
+    edge = lambda k: F.pmod("y", F.lit(STRIP_ROWS)) == k
+    up = n.filter(edge(STRIP_ROWS - 1)).select(*group, F.col("local").alias("a"), (F.col("x0") - c).alias("a0"), (F.col("x1") + c).alias("a1"), (F.col("y") + 1).alias("y"))
+    down = n.filter(edge(0)).select(*group, F.col("local").alias("b"), "x0", "x1", "y")
+    pairs = in_cells(up, "a0", "a1").join(in_cells(down, "x0", "x1"), [*group, "y", "_c"]).filter((F.col("a0") <= F.col("x1")) & (F.col("x0") <= F.col("a1")))
+    pairs = stored(pairs.select(*group, "a", "b").distinct(), "borders")
+    if not pairs.limit(1).count():
+        return n.withColumn("component", F.col("local")).drop("node", "local")
+    labels = components(pairs, group).withColumnRenamed("node", "local")
+    return n.join(labels, [*group, "local"], "left").withColumn("component", F.coalesce("component", "local")).select(*runs.columns, "component")
 
 
 def component_props(labelled: DataFrame, group: list[str] | None = None) -> DataFrame:
@@ -208,24 +273,33 @@ def outer_contours(runs: DataFrame, images: DataFrame) -> DataFrame:
 
 def contour_area(labelled: DataFrame) -> DataFrame:
     """(img_id, component, area) inside the line through the centres of the outermost pixels of filled components: each square of four pixels counts 1, each of three 1/2."""
-    corner = F.explode(F.array(*(F.struct((F.col("y") - i).alias("y"), (F.col("x") - j).alias("x")) for i in (0, 1) for j in (0, 1))))
-    squares = to_pixels(labelled.select("img_id", "component", "y", "x0", "x1")).select("img_id", "component", corner.alias("c")).groupBy("img_id", "component", "c").agg(F.count(F.lit(1)).alias("n"))
-    return squares.groupBy("img_id", "component").agg(F.sum(F.when(F.col("n") == 4, 1.0).when(F.col("n") == 3, 0.5).otherwise(0.0)).alias("area"))
+    side = lambda k, up: labelled.select("img_id", "component", (F.col("y") + up).alias("y"), F.col("x0").alias(f"{k}0"), F.col("x1").alias(f"{k}1"))
+    pairs = in_cells(side("a", 1), "a0", "a1").join(in_cells(side("b", 0), "b0", "b1"), ["img_id", "component", "y", "_c"])
+    pairs = pairs.filter((F.col("a0") <= F.col("b1")) & (F.col("b0") <= F.col("a1")) & (F.floor(F.greatest("a0", "b0") / CELL) == F.col("_c")))
+    # Two runs of neighbouring rows share n columns and so n - 1 squares of four; of each run's own neighbours in pairs the other
+    # holds one or both at the overlaps with the run less its last and less its first column.
+    shared = lambda a0, a1, b0, b1: F.greatest(F.least(a1, b1) - F.greatest(a0, b0) + 1, F.lit(0))
+    a0, a1, b0, b1 = (F.col(k) for k in ("a0", "a1", "b0", "b1"))
+    four = shared(a0, a1, b0, b1) - 1
+    three = shared(a0, a1 - 1, b0, b1) + shared(a0 + 1, a1, b0, b1) + shared(b0, b1 - 1, a0, a1) + shared(b0 + 1, b1, a0, a1) - 4 * four
+    found = pairs.groupBy("img_id", "component").agg(F.sum(four + three * 0.5).alias("area"))
+    return labelled.select("img_id", "component").distinct().join(found, ["img_id", "component"], "left").select("img_id", "component", F.coalesce("area", F.lit(0.0)).alias("area"))
 
 
 def component_probability(labelled: DataFrame, probs: DataFrame, p: str, group: list[str] | None = None) -> DataFrame:
     """A16. (group..., component, probability, area): mean of ``p`` over each component's pixels."""
     group = group or ["img_id"]
-    px = to_pixels(labelled.select(*group, "component", "y", "x0", "x1"))
-    return px.join(probs.select(*group, "y", "x", F.col(p).alias("_p")), [*group, "y", "x"]).groupBy(*group, "component").agg((F.sum("_p") / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("probability"), F.count(F.lit(1)).alias("area"))
+    px = pixels_in_runs(probs.select(*group, "y", "x", F.col(p).alias("_p")), labelled.select(*group, "component", "y", "x0", "x1"), group)
+    return px.groupBy(*group, "component").agg((F.sum("_p") / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("probability"), F.count(F.lit(1)).alias("area"))
 
 
 def cluster_core_issues(gt_runs: DataFrame, pixels: DataFrame, least: int = 25) -> DataFrame:
     """A15. (img_id, issues): true components (8-connected, at least ``least`` pixels) with some class 2 predicted, but under 0.35, and over 0.4 class 1. pixels: img_id, y, x, pred."""
     lab = component_area_filter(connected_components(gt_runs, 8), least)
-    px = to_pixels(lab.select("img_id", "component", "y", "x0", "x1")).join(pixels.select("img_id", "y", "x", "pred"), ["img_id", "y", "x"])
-    share = lambda k: F.avg((F.col("pred") == k).cast("double"))
-    bad = px.groupBy("img_id", "component").agg(share(2).alias("red"), share(1).alias("normal")).filter("red > 0 and red < 0.35 and normal > 0.4")
+    size = pathology_pixels(lab, ["img_id", "component"])
+    seen = pixels_in_runs(pixels.filter(F.col("pred").isin(1, 2)).select("img_id", "y", "x", "pred"), lab.select("img_id", "component", "y", "x0", "x1"), ["img_id"])
+    counts = seen.groupBy("img_id", "component").agg(F.count_if(F.col("pred") == 2).alias("red"), F.count_if(F.col("pred") == 1).alias("normal"))
+    bad = counts.join(size, ["img_id", "component"]).filter((F.col("red") > 0) & (F.col("red") / F.col("n") < 0.35) & (F.col("normal") / F.col("n") > 0.4))
     counts = bad.groupBy("img_id").agg(F.count(F.lit(1)).alias("issues"))
     return pixels.select("img_id").distinct().join(counts, "img_id", "left").withColumn("issues", F.coalesce("issues", F.lit(0)).cast("long"))
 
@@ -292,19 +366,45 @@ def gaussian(n: int) -> list[float]:
     return [v / sum(w) for v in w]
 
 
+#: Side of the blocks in which `adaptive_threshold` blurs.
+BLUR_BLOCK = 128
+
+
 def adaptive_threshold(pixels: DataFrame, value: str, size: int = 11, less: float = 2.0, name: str = "on") -> DataFrame:
-    """W14. 1 where the pixel is at most its Gaussian local mean less ``less``, else 0; the border is replicated."""
-    r, w = size // 2, gaussian(size)
-
-    def blurred(d: DataFrame, c: str, part: str, order: str, out: str) -> DataFrame:
-        line = Window.partitionBy("img_id", part).orderBy(order)
-        whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        d = d.withColumn("_a", F.first(c).over(whole)).withColumn("_z", F.last(c).over(whole))
-        tap = lambda k: F.coalesce(F.lag(c, -k).over(line) if k <= 0 else F.lead(c, k).over(line), F.col("_a") if k < 0 else F.col("_z"))
-        return d.withColumn(out, sum((tap(k) * w[k + r] for k in range(-r, r + 1)), F.lit(0.0))).drop("_a", "_z")
-
-    d = blurred(blurred(pixels, value, "y", "x", "_b"), "_b", "x", "y", "_m")
-    return d.withColumn(name, (F.col(value) <= F.col("_m") - less).cast("int")).drop("_b", "_m")
+    """W14. (img_id, y, x, value, name) of ``pixels``: name is 1 where the pixel is at most its Gaussian local mean less ``less``, else 0; the border is replicated.
+
+    A pixel is sent to the blocks whose rim it lies on, once for most; each block with its rim is blurred by
+    rows, then by columns, in memory. Pixels of an image fill a rectangle.
+    """
+    r, w = size // 2, np.array(gaussian(size))
+    kinds = dict(pixels.dtypes)
+    # A block reaches r pixels beyond its own.
+    near = lambda c: F.sequence(F.floor((F.col(c) - r) / BLUR_BLOCK), F.floor((F.col(c) + r) / BLUR_BLOCK))
+    sent = pixels.select("img_id", "y", "x", F.col(value).cast("double").alias("_v"), F.explode(near("y")).alias("_by"), near("x").alias("_k")).withColumn("_bx", F.explode("_k")).drop("_k")
+    blocks = sent.groupBy("img_id", "_by", "_bx").agg(*(F.collect_list(c).alias(a) for c, a in (("y", "_y"), ("x", "_x"), ("_v", "_v"))))
+
+    def blur(m: np.ndarray) -> np.ndarray:
+        wide = np.pad(m, ((0, 0), (r, r)), mode="edge")
+        return sum(wide[:, k : k + m.shape[1]] * w[k] for k in range(size))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                y, x, v = (np.asarray(batch.column(c)[k].values) for c in ("_y", "_x", "_v"))
+                by, bx = (batch.column(c)[k].as_py() * BLUR_BLOCK for c in ("_by", "_bx"))
+                own = (y >= by) & (y < by + BLUR_BLOCK) & (x >= bx) & (x < bx + BLUR_BLOCK)
+                if not own.any():
+                    continue
+                grid = np.zeros((int(np.ptp(y)) + 1, int(np.ptp(x)) + 1))
+                grid[y - y.min(), x - x.min()] = v
+                # Beyond a rim that is not the image's border nothing of its own pixels is read.
+                mean = blur(blur(grid).T).T[y - y.min(), x - x.min()]
+                on = (v <= np.round(mean, 9) - less).astype(np.int32)
+                image = batch.column("img_id").take(pa.array(np.full(int(own.sum()), k)))
+                yield pa.RecordBatch.from_arrays([image, pa.array(y[own]), pa.array(x[own]), pa.array(v[own]), pa.array(on[own])], names=["img_id", "y", "x", "_v", name])
+
+    out = blocks.mapInArrow(run, f"img_id {kinds['img_id']}, y {kinds['y']}, x {kinds['x']}, _v double, `{name}` int")
+    return out.withColumn("_v", F.col("_v").cast(kinds[value])).withColumnRenamed("_v", value)
 
 
 def tissue_grid(pixels: DataFrame, on: str, cell: int = 25, least: int = 225) -> DataFrame:

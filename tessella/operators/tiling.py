@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.pixels import flip_rot_inverse, spline_weight
+from tessella.functions.pixels import flip_rot_inverse, spline_line
 
 
 def _square(tiles: DataFrame, side: int) -> DataFrame:
@@ -14,13 +14,24 @@ def _square(tiles: DataFrame, side: int) -> DataFrame:
     return tiles.withColumn("ty", F.explode(span)).withColumn("tx", F.explode(span)).hint("merge")
 
 
-def inference_grid(images: DataFrame, tile: int) -> DataFrame:
-    """R2. (img_id, tile_idx, ty, tx, y, x): tiles in row order over the image padded to a multiple; (y, x) is the source pixel, edges repeated."""
+def _positions(at: Column, n: Column, low: Column, high: Column) -> Column:
+    """The places from low to high of the mirrored line that show index ``at`` of a line of n; the ends are not repeated."""
+    period = F.greatest(2 * (n - 1), F.lit(1))
+    shown = lambda v: F.when(F.ceil((low - v) / period) <= F.floor((high - v) / period), F.transform(F.sequence(F.ceil((low - v) / period), F.floor((high - v) / period)), lambda k: (v + k * period).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.array_union(shown(at), shown(-at))
+
+
+def inference_grid(pixels: DataFrame, images: DataFrame, tile: int) -> DataFrame:
+    """R2. ``pixels`` (img_id, y, x, ...) with tile_idx, ty, tx: tiles in row order over the image padded to a multiple, edges repeated.
+
+    Every pixel finds its own places in tiles; but for the images' sizes nothing is joined.
+    """
     up = lambda c: F.ceil(F.col(c) / tile).cast("int")
-    t = images.withColumn("rows", up("height")).withColumn("cols", up("width")).withColumn("tile_idx", F.explode(F.expr("sequence(0, rows * cols - 1)")))
-    p = _square(t, tile)
-    y, x = F.floor(F.col("tile_idx") / F.col("cols")) * tile + F.col("ty"), F.col("tile_idx") % F.col("cols") * tile + F.col("tx")
-    return p.select("img_id", "tile_idx", "ty", "tx", F.least(y, F.col("height") - 1).cast("int").alias("y"), F.least(x, F.col("width") - 1).cast("int").alias("x"))
+    spread = lambda c, n: F.explode(F.when(F.col(c) < F.col(n) - 1, F.array(c)).otherwise(F.sequence(F.col(c), up(n) * tile - 1)))
+    d = pixels.join(images.select("img_id", F.col("height").alias("_h"), F.col("width").alias("_w")), "img_id")
+    d = d.withColumn("_py", spread("y", "_h")).withColumn("_px", spread("x", "_w"))
+    at = F.expr(f"_py div {tile}") * up("_w") + F.expr(f"_px div {tile}")
+    return d.withColumns({"tile_idx": at.cast("int"), "ty": F.col("_py") % tile, "tx": F.col("_px") % tile}).drop("_h", "_w", "_py", "_px")
 
 
 def stitch(tiles: DataFrame, images: DataFrame, tile: int, values: list[str]) -> DataFrame:
@@ -30,29 +41,48 @@ def stitch(tiles: DataFrame, images: DataFrame, tile: int, values: list[str]) ->
     return d.withColumns({"y": y.cast("int"), "x": x.cast("int")}).filter("y < height and x < width").select("img_id", "y", "x", *values)
 
 
-def reflected(i: Column, n: Column) -> Column:
-    """Index i of a line of n that goes on mirrored, its ends not repeated."""
-    m = F.pmod(i, F.greatest(2 * (n - 1), F.lit(1)))
-    return F.when(m < n, m).otherwise(2 * (n - 1) - m).cast("int")
+def _pad(window: int, subdivisions: int) -> int:
+    return round(window * (1 - 1 / subdivisions))
+
 
+def overlap_grid(pixels: DataFrame, images: DataFrame, window: int, subdivisions: int, value: str) -> DataFrame:
+    """R3. (img_id, y0, x0, i, j, values): overlapping windows on the reflected image, from (y0, x0) in padded pixels, cut at the step.
 
-def overlap_grid(images: DataFrame, window: int, subdivisions: int) -> DataFrame:
-    """R3. (img_id, y0, x0, ty, tx, y, x): overlapping tiles on the reflected image; y0, x0 in padded pixels, (y, x) the source pixel."""
-    pad, step = round(window * (1 - 1 / subdivisions)), window // subdivisions
-    at = lambda c: F.explode(F.expr(f"sequence(0, {c} + {2 * pad - window}, {step})"))
-    p = _square(images.withColumn("y0", at("height")).withColumn("x0", at("width")), window)
-    y, x = F.col("y0") + F.col("ty") - pad, F.col("x0") + F.col("tx") - pad
-    return p.select("img_id", "y0", "x0", "ty", "tx", reflected(y, F.col("height")).alias("y"), reflected(x, F.col("width")).alias("x"))
+    The reflected image is cut once in blocks of a step's side, each one row with its values by rows; a window is
+    subdivisions x subdivisions of them (i, j), so windows are named in place and no pixel is shuffled again.
+    """
+    pad, step = _pad(window, subdivisions), window // subdivisions
+    d = pixels.select("img_id", "y", "x", F.col(value).alias("_v")).join(images.select("img_id", "height", "width"), "img_id")
+    place = lambda c, n: F.explode(_positions(F.col(c), F.col(n), F.lit(-pad), F.col(n) + pad - 1))
+    d = d.withColumn("_y", place("y", "height")).withColumn("_x", place("x", "width")).withColumns({"_y": F.col("_y") + pad, "_x": F.col("_x") + pad})
+    at = F.col("_y") % step * step + F.col("_x") % step
+    blocks = d.groupBy("img_id", "height", "width", F.expr(f"_y div {step}").alias("by"), F.expr(f"_x div {step}").alias("bx")).agg(F.array_sort(F.collect_list(F.struct(at.alias("at"), "_v"))).alias("v"))
+    blocks = blocks.select("img_id", "height", "width", "by", "bx", F.transform("v", lambda p: p["_v"]).alias("values")).filter(F.size("values") == step * step)
+    line = F.sequence(F.lit(0), F.lit(subdivisions - 1))
+    out = blocks.withColumn("i", F.explode(line)).withColumn("j", F.explode(line))
+    out = out.withColumns({"y0": ((F.col("by") - F.col("i")) * step).cast("int"), "x0": ((F.col("bx") - F.col("j")) * step).cast("int")})
+    fits = lambda c, n: (F.col(c) >= 0) & (F.col(c) + window <= F.col(n) + 2 * pad)
+    return out.filter(fits("y0", "height") & fits("x0", "width")).select("img_id", "y0", "x0", "i", "j", "values")
 
 
 def blend_overlaps(preds: DataFrame, images: DataFrame, window: int, subdivisions: int, value: str, norm: str = "weights") -> DataFrame:
-    """R13. (img_id, y, x, value): overlapping predictions (img_id, y0, x0, ty, tx, value) weighted by the spline window, summed, divided by subdivisions squared or by the weights, and cropped."""
-    pad = round(window * (1 - 1 / subdivisions))
-    weight = spline_weight(F.col("ty"), window) * spline_weight(F.col("tx"), window)
-    g = preds.groupBy("img_id", (F.col("y0") + F.col("ty") - pad).alias("y"), (F.col("x0") + F.col("tx") - pad).alias("x")).agg(F.sum(F.col(value) * weight).alias("_v"), F.sum(weight).alias("_w"))
-    g = g.join(images, "img_id").filter("y >= 0 and x >= 0 and y < height and x < width")
-    below = F.lit(float(subdivisions**2)) if norm == "subdivisions" else F.col("_w")
-    return g.select("img_id", "y", "x", (F.col("_v") / below).alias(value))
+    """R13. (img_id, y, x, value): overlapping predictions (img_id, y0, x0, i, j, values) weighted by the spline window, summed, divided by subdivisions squared or by the weights, and cropped.
+
+    What is shuffled is one row for each block of a window, subdivisions squared of them; up to as many meet in a block of the image and are added elementwise.
+    """
+    pad, step = _pad(window, subdivisions), window // subdivisions
+    w = F.array(*(F.lit(v) for v in spline_line(window)))
+    weight = lambda at, i, j: F.element_at(w, (i * step + F.floor(at / step) + 1).cast("int")) * F.element_at(w, (j * step + at % step + 1).cast("int"))
+    weighted = F.transform("values", lambda v, at: F.struct((v * weight(at, F.col("i"), F.col("j"))).alias("v"), weight(at, F.col("i"), F.col("j")).alias("w")))
+    by, bx = (F.col("y0") / step + F.col("i")).cast("int"), (F.col("x0") / step + F.col("j")).cast("int")
+    met = preds.groupBy("img_id", by.alias("by"), bx.alias("bx")).agg(F.collect_list(weighted).alias("parts"))
+    add = lambda p, q: F.zip_with(p, q, lambda a, b: F.struct((a["v"] + b["v"]).alias("v"), (a["w"] + b["w"]).alias("w")))
+    total = F.aggregate(F.slice("parts", 2, subdivisions**2), F.col("parts")[0], add)
+    d = met.select("img_id", "by", "bx", F.posexplode(total).alias("at", "s"))
+    d = d.select("img_id", (F.col("by") * step + F.floor(F.col("at") / step) - pad).cast("int").alias("y"), (F.col("bx") * step + F.col("at") % step - pad).cast("int").alias("x"), "s")
+    d = d.join(images, "img_id").filter("y >= 0 and x >= 0 and y < height and x < width")
+    below = F.lit(float(subdivisions**2)) if norm == "subdivisions" else F.col("s.w")
+    return d.select("img_id", "y", "x", (F.col("s.v") / below).alias(value))
 
 
 def chunk_grid(images: DataFrame, pixels: DataFrame, chunk: tuple[int, int], value: str, white: int = 255) -> DataFrame:

@@ -112,13 +112,16 @@ class Tables:
         return self._sql(DISCS)
 
     def mask(self) -> DataFrame:
-        """img_id, y, x, cls of every pixel, never broadcast: their size is underrated, as in `raster.to_pixels`."""
-        d = self.discs()
-        grid = d.select("img_id").distinct().select("img_id", F.explode(F.sequence(F.lit(0), F.lit(SIDE - 1))).alias("y")).select("img_id", "y", F.explode(F.sequence(F.lit(0), F.lit(SIDE - 1))).alias("x"))
-        dx = F.floor(F.sqrt(F.col("r") * F.col("r") - (F.col("y") - F.col("cy")) * (F.col("y") - F.col("cy")))).cast("int")
-        rows = d.withColumn("y", F.explode(F.sequence(F.greatest(F.col("cy") - F.col("r"), F.lit(0)), F.least(F.col("cy") + F.col("r"), F.lit(SIDE - 1))))).withColumn("dx", dx)
-        painted = rows.select("img_id", "y", F.explode(F.sequence(F.greatest(F.col("cx") - F.col("dx"), F.lit(0)), F.least(F.col("cx") + F.col("dx"), F.lit(SIDE - 1)))).alias("x"), "cls").groupBy("img_id", "y", "x").agg(F.max("cls").alias("cls"))
-        return grid.hint("merge").join(painted, ["img_id", "y", "x"], "left").withColumn("cls", F.coalesce("cls", F.lit(0))).hint("merge")
+        """img_id, y, x, cls of every pixel, painted in place from the discs of its image; never broadcast, for Spark takes exploded rows to be as small as those they come from."""
+        discs = self.discs().groupBy("img_id").agg(F.collect_list(F.struct("cx", "cy", (F.col("r") * F.col("r")).alias("rr"), "cls")).alias("discs"))
+        span = F.sequence(F.lit(0), F.lit(SIDE - 1))
+        rows = discs.withColumn("y", F.explode(span))
+        # Of each disc that a row meets, what is left of the square of its radius; then the columns it reaches.
+        left = F.transform("discs", lambda d: F.struct(d["cx"].alias("cx"), (d["rr"] - (F.col("y") - d["cy"]) * (F.col("y") - d["cy"])).alias("rr"), d["cls"].alias("cls")))
+        rows = rows.select("img_id", "y", F.filter(left, lambda d: d["rr"] >= 0).alias("discs"))
+        hit = lambda x, k: F.exists("discs", lambda d: (d["cls"] == k) & ((x - d["cx"]) * (x - d["cx"]) <= d["rr"]))
+        line = F.transform(span, lambda x: F.when(hit(x, 2), 2).when(hit(x, 1), 1).otherwise(0))
+        return rows.select("img_id", "y", F.posexplode(line).alias("x", "cls")).hint("merge")
 
     def probs(self) -> DataFrame:
         """img_id, y, x, cls, p0, p1, p2."""

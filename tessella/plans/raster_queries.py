@@ -272,27 +272,27 @@ def _(t: Tables) -> DataFrame:
 
 @query("r2_inference_grid", MASK, "SELECT img_id, (a.r * 3 + b.c)::INT AS tile_idx, COUNT(*) AS n, CAST(sum(cls) AS BIGINT) AS s FROM (SELECT i // 20 AS r, least(i, 47) AS y FROM range(0, 60) q(i)) a, (SELECT i // 20 AS c, least(i, 47) AS x FROM range(0, 60) q(i)) b JOIN fx_mask m ON m.y = a.y AND m.x = b.x GROUP BY 1, 2")
 def _(t: Tables) -> DataFrame:
-    g = T.inference_grid(_images(t), 20).join(t.mask(), ["img_id", "y", "x"])
+    g = T.inference_grid(t.mask(), _images(t), 20)
     return g.groupBy("img_id", "tile_idx").agg(F.count(F.lit(1)).alias("n"), F.sum("cls").alias("s"))
 
 
 @query("r14_stitch", MASK, "SELECT img_id, y, x, cls FROM fx_mask")
 def _(t: Tables) -> DataFrame:
-    tiles = T.inference_grid(_images(t), 20).join(t.mask(), ["img_id", "y", "x"]).select("img_id", "tile_idx", "ty", "tx", "cls")
+    tiles = T.inference_grid(t.mask(), _images(t), 20).select("img_id", "tile_idx", "ty", "tx", "cls")
     return T.stitch(tiles, _images(t), 20, ["cls"])
 
 
 @query("r3_overlap_grid", MASK, """, f AS (SELECT i, CASE WHEN m < 48 THEN m ELSE 94 - m END AS at FROM (SELECT i, ((i - 12) % 94 + 94) % 94 AS m FROM range(0, 72) q(i))), s AS (SELECT i AS o FROM range(0, 49, 12) q(i))
 SELECT img_id, a.o::INT AS y0, b.o::INT AS x0, COUNT(*) AS n, CAST(sum(cls) AS BIGINT) AS s FROM s a, s b JOIN f fy ON fy.i >= a.o AND fy.i < a.o + 24 JOIN f fx ON fx.i >= b.o AND fx.i < b.o + 24 JOIN fx_mask m ON m.y = fy.at AND m.x = fx.at GROUP BY 1, 2, 3""")
 def _(t: Tables) -> DataFrame:
-    g = T.overlap_grid(_images(t), 24, 2).join(t.mask(), ["img_id", "y", "x"])
-    return g.groupBy("img_id", "y0", "x0").agg(F.count(F.lit(1)).alias("n"), F.sum("cls").alias("s"))
+    g = T.overlap_grid(t.mask(), _images(t), 24, 2, "cls").select("img_id", "y0", "x0", F.size("values").cast("long").alias("n"), F.aggregate("values", F.lit(0).cast("long"), lambda a, v: a + v).alias("s"))
+    return g.groupBy("img_id", "y0", "x0").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
 
 
 @query("r13_blend_overlaps", PROB, "SELECT img_id, y, x, round(p2, 6) AS p2 FROM fx_prob")
 def _(t: Tables) -> DataFrame:
-    tiles = T.overlap_grid(_images(t), 24, 2).join(t.probs().select("img_id", "y", "x", "p2"), ["img_id", "y", "x"]).select("img_id", "y0", "x0", "ty", "tx", "p2")
-    return _rounded(T.blend_overlaps(tiles, _images(t), 24, 2, "p2"))
+    windows = T.overlap_grid(t.probs(), _images(t), 24, 2, "p2")
+    return _rounded(T.blend_overlaps(windows, _images(t), 24, 2, "p2"))
 
 
 @query("r4_chunk_grid", MASK, _GRAY + ", p AS (SELECT img_id, i AS y, j AS x FROM (SELECT DISTINCT img_id FROM fx_mask), range(0, 60) a(i), range(0, 60) b(j)) SELECT p.img_id, ((p.y // 20) * 2 + p.x // 30)::INT AS chunk_idx, COUNT(*) AS n, CAST(sum(coalesce(gray, 255)) AS BIGINT) AS s FROM p LEFT JOIN gray g USING (img_id, y, x) GROUP BY 1, 2")
@@ -372,8 +372,8 @@ def _region_preds(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(the map, the boxes of its regions, a second prediction of these in every third image but one: classes 0 and 1 change places, and class 2 is weaker at odd places)."""
     p = _probs(t).drop("cls")
     boxes = stored(D.regions(p), "regions")
-    px = boxes.filter("img_id % 3 != 0").withColumn("dy", F.explode(F.expr("sequence(0, h - 1)"))).withColumn("dx", F.explode(F.expr("sequence(0, w - 1)")))
-    px = px.select("img_id", "component", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x")).join(p, ["img_id", "y", "x"])
+    rows = boxes.filter("img_id % 3 != 0").select("img_id", "component", F.explode(F.expr("sequence(y, y + h - 1)")).alias("y"), F.col("x").alias("x0"), (F.col("x") + F.col("w") - 1).alias("x1"))
+    px = R.pixels_in_runs(p, rows, ["img_id"])
     weaker = F.when((F.col("y") + F.col("x") + F.col("component")) % 2 == 1, 0.5).otherwise(1.0)
     return p, boxes, px.select("img_id", "component", "y", "x", F.col("p1").alias("q0"), F.col("p0").alias("q1"), (F.col("p2") * weaker).alias("q2"))
 

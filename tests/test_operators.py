@@ -129,6 +129,46 @@ def test_props(spark):
     assert [(r.obj_id, r.cy, r.cx, r.y1, r.x1, r.y2, r.x2, r.area) for r in p] == [(1, 0, 0, 0, 0, 1, 1, 4), (2, 1, 3, 1, 3, 1, 4, 2)]
 
 
+@pytest.mark.parametrize("connectivity", [4, 8])
+def test_components_across_strips(spark, monkeypatch, connectivity):
+    """Strips of three rows against a plain flood fill; only runs on their borders become edges."""
+    monkeypatch.setattr(R, "STRIP_ROWS", 3)
+    rng = random.Random(connectivity)
+    data = [(i, y, x) for i in (1, 2) for y in range(40) for x in range(30) if rng.random() < 0.55]
+    runs = R.run_length_encode(spark.createDataFrame(data, "img_id long, y int, x int").withColumn("cls", F.lit(1))).drop("cls")
+    got = {(r.img_id, r.y, x): r.component for r in R.connected_components(runs, connectivity).collect() for x in range(r.x0, r.x1 + 1)}
+    on, part = set(data), {}
+    for p in sorted(on):
+        todo = [] if p in part else [p]
+        while todo:
+            i, y, x = q = todo.pop()
+            if q in on and q not in part:
+                part[q] = p[1] * R.STRIDE + p[2]
+                todo += [(i, y + a, x + b) for a in (-1, 0, 1) for b in (-1, 0, 1) if connectivity == 8 or not (a and b)]
+    assert got == part
+
+
+def test_area_inside_contours_from_runs(spark):
+    """Against the squares of every pixel."""
+    rng = random.Random(4)
+    data = [(1, y, x) for y in range(60) for x in range(140) if rng.random() < 0.8]
+    runs = R.run_length_encode(spark.createDataFrame(data, "img_id long, y int, x int").withColumn("cls", F.lit(1))).drop("cls")
+    lab = R.connected_components(runs, 8).cache()
+    squares = collections.Counter((r.component, r.y - i, x - j) for r in lab.collect() for x in range(r.x0, r.x1 + 1) for i in (0, 1) for j in (0, 1))
+    want = collections.Counter({r.component: 0.0 for r in lab.collect()})
+    for (c, _, _), n in squares.items():
+        want[c] += {4: 1.0, 3: 0.5}.get(n, 0.0)
+    assert {r.component: r.area for r in R.contour_area(lab).collect()} == dict(want)
+
+
+def test_threshold_by_blocks(spark, monkeypatch):
+    """The same whatever the side of the blocks."""
+    px = spark.createDataFrame([(i, y, x, (x * 7 + y * 13 + i * x * y) % 256) for i in (1, 2) for y in range(40) for x in range(23)], "img_id int, y int, x int, v int")
+    want = sorted(map(tuple, R.adaptive_threshold(px, "v").collect()))
+    monkeypatch.setattr(R, "BLUR_BLOCK", 7)
+    assert sorted(map(tuple, R.adaptive_threshold(px, "v").collect())) == want and len(want) == 2 * 40 * 23
+
+
 def test_rasterized_square(spark):
     d = spark.createDataFrame([(1, [(2, 1), (5, 1), (5, 3), (2, 3)])], "k int, points array<struct<x:int,y:int>>")
     got = sorted((r.y, r.x0, r.x1) for r in R.rasterize(d, ["k"]).collect())
@@ -141,16 +181,18 @@ def test_stitch_and_blend_give_back_the_image(spark, size):
     images = spark.createDataFrame([(1, h, w)], "img_id int, height int, width int")
     px = spark.createDataFrame([(1, y, x, float((y * 7 + x * 3) % 11)) for y in range(h) for x in range(w)], "img_id int, y int, x int, v double")
     want = {(r.y, r.x): r.v for r in px.collect()}
-    tiles = T.inference_grid(images, 12).join(px, ["img_id", "y", "x"]).select("img_id", "tile_idx", "ty", "tx", "v")
+    tiles = T.inference_grid(px, images, 12).select("img_id", "tile_idx", "ty", "tx", "v")
     assert {(r.y, r.x): r.v for r in T.stitch(tiles, images, 12, ["v"]).collect()} == want
-    over = T.overlap_grid(images, 8, 2).join(px, ["img_id", "y", "x"]).select("img_id", "y0", "x0", "ty", "tx", "v")
+    over = T.overlap_grid(px, images, 8, 2, "v")
+    assert over.groupBy("y0", "x0").count().filter("count != 4").count() == 0  # rows a window: subdivisions squared
     got = {(r.y, r.x): r.v for r in T.blend_overlaps(over, images, 8, 2, "v").collect()}
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-9) for k in want)
 
 
 def test_blending_constants_by_subdivisions(spark):
     images = spark.createDataFrame([(1, 24, 24)], "img_id int, height int, width int")
-    over = T.overlap_grid(images, 16, 2).withColumn("v", F.lit(1.0))
+    ones = images.select("img_id", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("y")).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(23)))).withColumn("v", F.lit(1.0))
+    over = T.overlap_grid(ones, images, 16, 2, "v")
     got = [r.v for r in T.blend_overlaps(over, images, 16, 2, "v", "subdivisions").filter("y between 8 and 15 and x between 8 and 15").collect()]
     assert all(abs(v - 1) < 0.05 for v in got)
 
