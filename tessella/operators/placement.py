@@ -7,13 +7,14 @@ half-open squares (y1, x1, size).
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.operators.graph import first_independent
 from tessella.operators.ranking import hash_key
-from tessella.operators.raster import rect_sum
 from tessella.operators.spatial import neighbours
+from tessella.operators.sums import rect_sum, search_places
 from tessella.operators.tiling import extract_padded
 from tessella.storage import stored
 
@@ -75,49 +76,8 @@ def fit_tile(groups: DataFrame, images: DataFrame, runs: DataFrame, padding: int
     return clean.withColumn("_r", first).filter("_r = 1").select("img_id", "obj_id", "y1", "x1", "size")
 
 
-#: Columns of a strip of the integral image.
-STRIP = 64
-
-
-def strips(integral: DataFrame) -> DataFrame:
-    """(img_id, y, strip, sums): the integral image's rows in arrays of STRIP columns, the last one filled up with zeros."""
-    cells = integral.groupBy("img_id", "y", F.floor(F.col("x") / STRIP).alias("strip")).agg(F.array_sort(F.collect_list(F.struct("x", "s"))).alias("v"))
-    return cells.select("img_id", "y", "strip", F.concat(F.transform("v", lambda p: p["s"]), F.array_repeat(F.lit(0).cast("long"), F.lit(STRIP) - F.size("v"))).alias("sums"))
-
-
-def with_sums(places: DataFrame, integral: DataFrame, key: list[str]) -> DataFrame:
-    """``places`` with sums, the integral image over their window (wy1, wx1, wy2, wx2, exclusive ends, in the image) as one array, and wx0, wide: the column where its rows begin and their length.
-
-    Each place gets its window by one join with strips and one aggregation, whatever the number of tiles
-    tried inside it. The window begins a row and a column earlier, as sums are looked up there.
-    """
-    w = places.select(*key, F.explode(F.expr("sequence(greatest(wy1 - 1, 0), wy2 - 1)")).alias("y"), F.sequence(F.floor(F.greatest(F.col("wx1") - 1, F.lit(0)) / STRIP), F.floor((F.col("wx2") - 1) / STRIP)).alias("k"))
-    parts = w.select(*key, "y", F.explode("k").alias("strip")).join(strips(integral), ["img_id", "y", "strip"])
-    rows = parts.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("y", "strip", "sums"))).alias("v"))
-    rows = rows.select(*key, F.flatten(F.transform("v", lambda p: p["sums"])).alias("sums"), (F.array_min(F.transform("v", lambda p: p["strip"])) * STRIP).cast("int").alias("wx0"), (F.size(F.array_distinct(F.transform("v", lambda p: p["strip"]))) * STRIP).alias("wide"))
-    return places.join(rows, key)
-
-
-def _sum_at(y: Column, x: Column) -> Column:
-    """The integral image before row y and column x, from the arrays of `with_sums`."""
-    at = (y - 1 - F.greatest(F.col("wy1") - 1, F.lit(0))) * F.col("wide") + (x - 1 - F.col("wx0"))
-    return F.when((y <= 0) | (x <= 0), F.lit(0).cast("long")).otherwise(F.col("sums")[at.cast("int")])
-
-
-def _sum_in(y1: Column, x1: Column, y2: Column, x2: Column) -> Column:
-    return _sum_at(y2, x2) - _sum_at(y1, x2) - _sum_at(y2, x1) + _sum_at(y1, x1)
-
-
-def _ring_in(y1: Column, x1: Column, size: Column, margin: int) -> Column:
-    """Pixels in the band of ``margin`` inside the edges of a square; all of a square without an inside."""
-    if margin <= 0:
-        return F.lit(0).cast("long")
-    whole = _sum_in(y1, x1, y1 + size, x1 + size)
-    return F.when(size <= 2 * margin, whole).otherwise(whole - _sum_in(y1 + margin, x1 + margin, y1 + size - margin, x1 + size - margin))
-
-
 def ranges(objects: DataFrame, images: DataFrame, padding: int, min_padding: int, step: int, margin: int, min_tile: int) -> DataFrame:
-    """(img_id, obj_id, pads, wy1, wx1, wy2, wx2): for each padding the size of its square, the first and last place (ya to yz, xa to xz) at which it holds the object, ``margin`` from its edges, and the centred place; and the window that holds them all."""
+    """(img_id, obj_id, pads): for each padding the size of its square, the first and last place (ya to yz, xa to xz) at which it holds the object, ``margin`` from its edges, and the centred place (yc, xc)."""
     o = objects.select("img_id", "obj_id", "cy", "cx", *(F.col(k).alias(f"b{k}") for k in ("y1", "x1", "y2", "x2"))).join(images, "img_id")
 
     def one(pad: Column) -> Column:
@@ -129,57 +89,57 @@ def ranges(objects: DataFrame, images: DataFrame, padding: int, min_padding: int
         return F.struct(*out)
 
     fits = F.filter(F.transform(_pads(padding, min_padding, step), one), lambda p: (p["size"] <= F.col("height")) & (p["size"] <= F.col("width")) & (p["ya"] <= p["yz"]) & (p["xa"] <= p["xz"]))
-    o = o.select("img_id", "obj_id", fits.alias("pads")).filter("size(pads) > 0")
-    edge = lambda f, g: f(F.transform("pads", g))
-    return o.withColumns({
-        "wy1": edge(F.array_min, lambda p: p["ya"]), "wx1": edge(F.array_min, lambda p: p["xa"]),
-        "wy2": edge(F.array_max, lambda p: p["yz"] + p["size"]), "wx2": edge(F.array_max, lambda p: p["xz"] + p["size"]),
-    })
+    return o.select("img_id", "obj_id", fits.alias("pads")).filter("size(pads) > 0")
 
 
-def _places(p: Column, make) -> Column:
-    """``make(y, x)`` for every place of one padding."""
-    return F.flatten(F.transform(F.sequence(p["ya"], p["yz"]), lambda y: F.transform(F.sequence(p["xa"], p["xz"]), lambda x: make(y, x))))
+def _first(p: dict, ys: np.ndarray, xs: np.ndarray, keep: np.ndarray, *rank: np.ndarray) -> tuple | None:
+    """Of the places to ``keep`` the least by ``rank``, then distance from the centred place, then row and column: (ranks..., distance, place)."""
+    y, x = np.nonzero(keep)
+    if not len(y):
+        return None
+    far = (ys[y] - p["yc"]) ** 2 + (xs[x] - p["xc"]) ** 2
+    ranks = [r[y, x] for r in rank]
+    k = np.lexsort((xs[x], ys[y], far, *ranks[::-1]))[0]
+    return (*(r[k] for r in ranks), far[k], ys[y[k]], xs[x[k]])
 
 
-def _distance(p: Column, y: Column, x: Column) -> Column:
-    return (y - p["yc"]) * (y - p["yc"]) + (x - p["xc"]) * (x - p["xc"])
+def ring_placement(objects: DataFrame, images: DataFrame, table: DataFrame, padding: int = PADDING, min_padding: int = MIN_PADDING, step: int = PADDING_STEP, margin: int = MARGIN, min_tile: int = MIN_TILE) -> DataFrame:
+    """R23. The place whose edge band holds no abnormal pixel: largest padding, then nearest to the centre, then by row and column. table: `sums.summed_area` of the abnormal pixels."""
 
+    def best(p: dict, ys: np.ndarray, xs: np.ndarray, sums: np.ndarray) -> tuple | None:
+        one = _first(p, ys, xs, sums == 0 if margin > 0 else np.ones(sums.shape, bool))
+        return one and (-p["pad"], *one, p["size"])
 
-def _tile(d: DataFrame, best: Column, *more: Column) -> DataFrame:
-    d = d.select("img_id", "obj_id", best.alias("b")).filter("b is not null")
-    return d.select("img_id", "obj_id", F.col("b.y1").cast("int").alias("y1"), F.col("b.x1").cast("int").alias("x1"), F.col("b.size").cast("int").alias("size"), *more)
+    d = search_places(ranges(objects, images, padding, min_padding, step, margin, min_tile), table, margin, 1, best, "struct<less:int,dist:long,y1:int,x1:int,size:int>")
+    return d.select("img_id", "obj_id", "found.y1", "found.x1", "found.size")
 
 
-def ring_placement(objects: DataFrame, images: DataFrame, integral: DataFrame, padding: int = PADDING, min_padding: int = MIN_PADDING, step: int = PADDING_STEP, margin: int = MARGIN, min_tile: int = MIN_TILE) -> DataFrame:
-    """R23. The place whose edge band holds no abnormal pixel: largest padding, then nearest to the centre, then by row and column."""
-    d = with_sums(ranges(objects, images, padding, min_padding, step, margin, min_tile), integral, ["img_id", "obj_id"])
-    found = lambda p: F.array_min(F.filter(_places(p, lambda y, x: F.when(_ring_in(y, x, p["size"], margin) == 0, F.struct((-p["pad"]).alias("less"), _distance(p, y, x).alias("dist"), y.alias("y1"), x.alias("x1"), p["size"].alias("size")))), lambda v: v.isNotNull()))
-    return _tile(d, F.array_min(F.transform("pads", found)))
+def force_placement(objects: DataFrame, images: DataFrame, table: DataFrame, padding: int = PADDING, min_padding: int = MIN_PADDING, step: int = PADDING_STEP, min_tile: int = MIN_TILE) -> DataFrame:
+    """R24. The place that holds fewest pixels of other objects, then nearest to the centre, over all paddings. Tiles hold the whole object, so its own pixels don't matter for the order."""
 
+    def best(p: dict, ys: np.ndarray, xs: np.ndarray, sums: np.ndarray) -> tuple | None:
+        one = _first(p, ys, xs, np.ones(sums.shape, bool), sums)
+        return one and (one[0], one[1], -p["pad"], one[2], one[3], p["size"])
 
-def force_placement(objects: DataFrame, images: DataFrame, integral: DataFrame, padding: int = PADDING, min_padding: int = MIN_PADDING, step: int = PADDING_STEP, min_tile: int = MIN_TILE) -> DataFrame:
-    """R24. The place that holds fewest pixels of other objects, then nearest to the centre, over all paddings. Tiles hold the whole object, so its own pixels don't matter for the order."""
-    d = with_sums(ranges(objects, images, padding, min_padding, step, 0, min_tile), integral, ["img_id", "obj_id"])
-    found = lambda p: F.array_min(_places(p, lambda y, x: F.struct(_sum_in(y, x, y + p["size"], x + p["size"]).alias("n"), _distance(p, y, x).alias("dist"), (-p["pad"]).alias("less"), y.alias("y1"), x.alias("x1"), p["size"].alias("size"))))
-    return _tile(d, F.array_min(F.transform("pads", found)))
+    d = search_places(ranges(objects, images, padding, min_padding, step, 0, min_tile), table, 0, 1, best, "struct<n:long,dist:long,less:int,y1:int,x1:int,size:int>")
+    return d.select("img_id", "obj_id", "found.y1", "found.x1", "found.size")
 
 
-def avoid_pathology(tiles: DataFrame, images: DataFrame, integral: DataFrame, step: int = 10) -> DataFrame:
+def avoid_pathology(tiles: DataFrame, images: DataFrame, table: DataFrame, step: int = 10) -> DataFrame:
     """R30. Tiles (img_id, obj_id, y1, x1, size) moved to the nearest place without abnormal pixels on a lattice of ``step`` within one tile's size; those without one are left out. shifted tells."""
-    span = F.expr(f"sequence(-(size div {step}) * {step}, (size div {step}) * {step}, {step})")
-    d = tiles.join(images, "img_id").withColumns({"n": F.expr(f"size div {step}") * step, "span": span})
-    d = d.withColumns({"wy1": F.greatest(F.lit(0), F.col("y1") - F.col("n")).cast("int"), "wx1": F.greatest(F.lit(0), F.col("x1") - F.col("n")).cast("int"), "wy2": F.least("height", F.col("y1") + F.col("n") + F.col("size")).cast("int"), "wx2": F.least("width", F.col("x1") + F.col("n") + F.col("size")).cast("int")})
-    d = with_sums(d.filter("wy1 < wy2 and wx1 < wx2"), integral, ["img_id", "obj_id"])
+    d = tiles.join(images, "img_id").filter("size <= height and size <= width")
+    steps = lambda room: F.least(F.expr(f"size div {step}"), F.floor(room / step))
+    place = lambda a, most: ((F.col(a) - steps(F.col(a)) * step).cast("int"), (F.col(a) + steps(F.col(most) - F.col("size") - F.col(a)) * step).cast("int"))
+    (ya, yz), (xa, xz) = place("y1", "height"), place("x1", "width")
+    pads = F.array(F.struct(F.col("size").cast("int").alias("size"), ya.alias("ya"), yz.alias("yz"), xa.alias("xa"), xz.alias("xz"), F.col("y1").cast("int").alias("yc"), F.col("x1").cast("int").alias("xc")))
+    d = d.filter((F.col("y1") >= 0) & (F.col("x1") >= 0) & (F.col("y1") + F.col("size") <= F.col("height")) & (F.col("x1") + F.col("size") <= F.col("width")))
 
-    def one(dy: Column, dx: Column) -> Column:
-        y, x, s = F.col("y1") + dy, F.col("x1") + dx, F.col("size")
-        inside = (y >= 0) & (x >= 0) & (y + s <= F.col("height")) & (x + s <= F.col("width"))
-        clean = F.when(inside, _sum_in(y, x, y + s, x + s) == 0).otherwise(False)
-        return F.when(clean, F.struct((dy * dy + dx * dx).alias("dist"), dy.alias("dy"), dx.alias("dx"), y.alias("y1"), x.alias("x1"), s.alias("size")))
+    def best(p: dict, ys: np.ndarray, xs: np.ndarray, sums: np.ndarray) -> tuple | None:
+        one = _first(p, ys, xs, sums == 0)
+        return one and (*one, p["size"])
 
-    moves = F.flatten(F.transform("span", lambda dy: F.transform("span", lambda dx: one(dy, dx))))
-    return _tile(d, F.array_min(F.filter(moves, lambda v: v.isNotNull())), (F.col("b.dist") != 0).alias("shifted"))
+    d = search_places(d.select("img_id", "obj_id", pads.alias("pads")), table, 0, step, best, "struct<dist:long,y1:int,x1:int,size:int>")
+    return d.select("img_id", "obj_id", "found.y1", "found.x1", "found.size", (F.col("found.dist") != 0).alias("shifted"))
 
 
 def normal_quota(normals: DataFrame, base: DataFrame, mode: str = "match", multiplier: float = 1.0) -> DataFrame:
@@ -195,7 +155,7 @@ def normal_quota(normals: DataFrame, base: DataFrame, mode: str = "match", multi
     return normals.join(base, "img_id", "left").withColumn("target", target.cast("long")).withColumn("skipped", done >= F.col("target")).withColumn("kept", F.col("placed") & ~F.col("skipped")).drop("n")
 
 
-def backfill_normals(pixels: DataFrame, deficit: DataFrame, images: DataFrame, integral: DataFrame, taken: DataFrame, size: int = 100, seed: int = 42, tries: int | None = 200, tries_each: int = 80) -> DataFrame:
+def backfill_normals(pixels: DataFrame, deficit: DataFrame, images: DataFrame, table: DataFrame, taken: DataFrame, size: int = 100, seed: int = 42, tries: int | None = 200, tries_each: int = 80) -> DataFrame:
     """R31. (img_id, seq, y1, x1, size): clean tiles centred on normal pixels, drawn by a hash, until each image's deficit (img_id, n) is met.
 
     At most max(``tries``, ``tries_each`` * n) pixels of an image are tried, or all of them if ``tries`` is None, so that the
@@ -209,7 +169,7 @@ def backfill_normals(pixels: DataFrame, deficit: DataFrame, images: DataFrame, i
         d = d.filter(F.col("_t") <= F.greatest(F.lit(tries), tries_each * F.col("n")))
     place = lambda c, most: _clamped(F.col(c) - side // 2, F.lit(side), F.col(most))
     d = d.select("img_id", "n", "_t", place("y", "height").alias("y1"), place("x", "width").alias("x1"), F.lit(side).alias("size")).withColumns({"y2": F.col("y1") + side, "x2": F.col("x1") + side})
-    d = rect_sum(d.groupBy("img_id", "n", "y1", "x1", "y2", "x2", "size").agg(F.min("_t").alias("_t")), integral).filter("total = 0").join(taken.select("img_id", "y1", "x1", "size").distinct(), ["img_id", "y1", "x1", "size"], "left_anti")
+    d = rect_sum(d.groupBy("img_id", "n", "y1", "x1", "y2", "x2", "size").agg(F.min("_t").alias("_t")), table).filter("total = 0").join(taken.select("img_id", "y1", "x1", "size").distinct(), ["img_id", "y1", "x1", "size"], "left_anti")
     seq = F.row_number().over(Window.partitionBy("img_id").orderBy("_t"))
     return d.withColumn("seq", seq).filter("seq <= n").select("img_id", F.col("seq").alias("seq"), "y1", "x1", "size")
 
@@ -219,7 +179,7 @@ def greedy_groups(objects: DataFrame, images: DataFrame, runs: DataFrame, distan
 
     The group of every object and the tile that fits it are worked out in parallel. A tile uses all
     objects of its group, a failed fit leaves them free, so an object is a seed if no smaller neighbour with a tile is one: seeds are
-    chosen by `graph.first_independent`, in squares of four distances. Of equal tiles of an image the first is saved.
+    chosen by `graph.first_independent`, in squares of sixteen distances. Of equal tiles of an image the first is saved.
     """
     pairs = neighbours(objects, ["img_id"], distance).select("img_id", "a", "b")
     whole = pairs.union(pairs.select("img_id", "a", F.col("a").alias("b")).distinct())
@@ -227,7 +187,7 @@ def greedy_groups(objects: DataFrame, images: DataFrame, runs: DataFrame, distan
     groups = stored(boxes.groupBy("img_id", F.col("a").alias("obj_id")).agg(F.min("y1").alias("y1"), F.min("x1").alias("x1"), F.max("y2").alias("y2"), F.max("x2").alias("x2")), "groups")
     tiles = stored(groups.select("img_id", "obj_id").join(fit_tile(groups, images, runs, **fit), ["img_id", "obj_id"], "left"), "tiles")
     nodes = tiles.join(objects.select("img_id", "obj_id", "cx", "cy"), ["img_id", "obj_id"]).select("img_id", F.col("obj_id").alias("node"), F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("size").isNotNull().alias("able"))
-    seeds = first_independent(nodes, pairs.filter("b < a"), "img_id", 4 * distance).filter("free").select("img_id", F.col("node").alias("obj_id"))
+    seeds = first_independent(nodes, pairs.filter("b < a"), "img_id", 16 * distance).filter("free").select("img_id", F.col("node").alias("obj_id"))
     again = F.row_number().over(Window.partitionBy("img_id", "y1", "x1", "size").orderBy("obj_id")) > 1
     status = F.when(F.col("size").isNull(), "failed_truncation").when(again, "failed_duplicate").otherwise("saved")
     return tiles.join(seeds, ["img_id", "obj_id"]).select("img_id", "obj_id", status.alias("status"), "y1", "x1", "size")

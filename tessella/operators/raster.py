@@ -316,28 +316,6 @@ def integral_image(pixels: DataFrame, value: Column) -> DataFrame:
     return rows.select("img_id", "y", "x", F.sum("_r").over(Window.partitionBy("img_id", "x").orderBy("y").rowsBetween(run, 0)).alias("s"))
 
 
-def rect_sum(boxes: DataFrame, integral: DataFrame, box: tuple[str, str, str, str] = ("y1", "x1", "y2", "x2"), name: str = "total") -> DataFrame:
-    """W11. ``boxes`` with the sum inside each half-open box: four lookups in the integral image; a corner before the first row or column counts 0."""
-    y1, x1, y2, x2 = box
-    out = boxes.withColumn(name, F.lit(0).cast("long"))
-    for k, (y, x, sign) in enumerate(((y2, x2, 1), (y1, x2, -1), (y2, x1, -1), (y1, x1, 1))):
-        s = integral.select(F.col("img_id"), (F.col("y") + 1).alias(f"_y{k}"), (F.col("x") + 1).alias(f"_x{k}"), F.col("s").alias(f"_s{k}"))
-        out = out.withColumn(f"_y{k}", F.col(y)).withColumn(f"_x{k}", F.col(x)).join(s, ["img_id", f"_y{k}", f"_x{k}"], "left")
-        out = out.withColumn(name, F.col(name) + sign * F.coalesce(f"_s{k}", F.lit(0))).drop(f"_y{k}", f"_x{k}", f"_s{k}")
-    return out
-
-
-def ring_sum(tiles: DataFrame, integral: DataFrame, margin: int) -> DataFrame:
-    """W11. Square ``tiles`` (y1, x1, size) with ring: the sum in the band of ``margin`` inside each edge; 0 for no margin, all for a tile without an inside."""
-    if margin <= 0:
-        return tiles.withColumn("ring", F.lit(0).cast("long"))
-    t = tiles.withColumns({"_y2": F.col("y1") + F.col("size"), "_x2": F.col("x1") + F.col("size"), "_iy": F.col("y1") + margin, "_ix": F.col("x1") + margin})
-    t = t.withColumns({"_jy": F.col("_y2") - margin, "_jx": F.col("_x2") - margin})
-    t = rect_sum(rect_sum(t, integral, ("y1", "x1", "_y2", "_x2"), "_outer"), integral, ("_iy", "_ix", "_jy", "_jx"), "_inner")
-    ring = F.when(F.col("size") <= 2 * margin, F.col("_outer")).otherwise(F.col("_outer") - F.col("_inner"))
-    return t.withColumn("ring", ring).drop("_y2", "_x2", "_iy", "_ix", "_jy", "_jx", "_outer", "_inner")
-
-
 def morph_gradient(pixels: DataFrame, value: str, k: int = 3, name: str = "edge") -> DataFrame:
     """W13. Dilation minus erosion over k x k, by rows, then by columns. Every pixel of the image must be there."""
     r = k // 2

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators import placement as P
 from tessella.operators import raster as R
+from tessella.operators.sums import summed_area
 from tessella.storage import stored
 
 
@@ -23,19 +24,18 @@ def build_dataset(mask: DataFrame, images: DataFrame, min_pixels: int = 10, dist
     sick = runs.filter("cls = 2").select("img_id", "y", "x0", "x1")
     objects = stored(R.component_props(R.connected_components(sick, 4)), "objects")
     calm = R.component_props(R.connected_components(runs.filter("cls = 1").select("img_id", "y", "x0", "x1"), 4))
-    grid = mask.select("img_id", "y", "x").join(R.to_pixels(sick).withColumn("on", F.lit(1)), ["img_id", "y", "x"], "left")
-    integral = stored(R.integral_image(grid, F.coalesce("on", F.lit(0))), "integral")
+    sums = stored(summed_area(sick, images), "sums")
 
     greedy = stored(P.greedy_groups(objects, images, sick, distance, expand=expand, margin=margin, **fit), "greedy").withColumn("phase", F.lit("greedy"))
-    ring = P.ring_placement(objects, images, integral, margin=margin, **fit).withColumn("status", F.lit("isolated"))
+    ring = P.ring_placement(objects, images, sums, margin=margin, **fit).withColumn("status", F.lit("isolated"))
     left = objects.join(ring, ["img_id", "obj_id"], "left_anti")
     fitted = P.fit_tile(left, images, sick, expand=expand, margin=margin, **fit).withColumn("status", F.lit("fallback"))
     left = left.join(fitted, ["img_id", "obj_id"], "left_anti")
-    forced = P.force_placement(left, images, integral, **fit)
+    forced = P.force_placement(left, images, sums, **fit)
     centred = P.center_tile(left.join(forced, ["img_id", "obj_id"], "left_anti"), padding, min_tile)
     ind = stored(ring.unionByName(fitted).unionByName(forced.unionByName(centred).withColumn("status", F.lit("forced"))), "individual").withColumn("phase", F.lit("ind"))
 
-    placed = P.avoid_pathology(P.tile_for_objects(calm, images, padding, normal_tile), images, integral, shift)
+    placed = P.avoid_pathology(P.tile_for_objects(calm, images, padding, normal_tile), images, sums, shift)
     normals = calm.select("img_id", "obj_id").join(placed, ["img_id", "obj_id"], "left")
     base = greedy.filter("status = 'saved'").select("img_id").unionByName(ind.select("img_id")).groupBy("img_id").agg(F.count(F.lit(1)).alias("n"))
     quota = stored(P.normal_quota(normals.withColumn("placed", F.col("size").isNotNull()), base), "normals")
@@ -51,7 +51,7 @@ def build_dataset(mask: DataFrame, images: DataFrame, min_pixels: int = 10, dist
     good = tiles.filter("status in ('saved', 'isolated', 'fallback', 'forced', 'shifted')")
     marked = P.dedup_tiles(good.withColumn("kind", kind).withColumn("forced", F.col("status") == "forced"))
     final = marked.withColumn("status", F.when(F.col("duplicate"), "failed_duplicate").otherwise(F.col("status"))).select(*cols)
-    more = P.backfill_normals(R.to_pixels(runs.filter("cls = 1")).select("img_id", "y", "x"), deficit, images, integral, good, normal_tile)
+    more = P.backfill_normals(R.to_pixels(runs.filter("cls = 1")).select("img_id", "y", "x"), deficit, images, sums, good, normal_tile)
     more = more.select("img_id", F.lit("norm").alias("phase"), F.col("seq").alias("obj_id"), F.lit("backfill").alias("status"), "y1", "x1", "size")
     rest = tiles.filter("status not in ('saved', 'isolated', 'fallback', 'forced', 'shifted')")
     return final.unionByName(rest.select(*cols)).unionByName(more.select(*cols))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessella.operators import placement as P
 from tessella.operators import raster as R
 from tessella.operators.spatial import tiles_covering_records
+from tessella.operators.sums import summed_area
 from tessella.plans.dataset import build_dataset
 from tessella.plans.fixtures import SIDE, Tables
 from tessella.plans.registry import query
@@ -35,8 +36,8 @@ def _sick(t: Tables) -> DataFrame:
     return R.run_length_encode(t.mask().filter("cls = 2")).select("img_id", "y", "x0", "x1")
 
 
-def _integral(t: Tables) -> DataFrame:
-    return stored(R.integral_image(t.mask(), (F.col("cls") == 2).cast("int")), "integral")
+def _sums(t: Tables) -> DataFrame:
+    return stored(summed_area(_sick(t), _images(t)), "sums")
 
 
 @query("r25_center_tile", "fx_discs", _OBJ + "SELECT img_id, obj_id, cy - s // 2 AS y1, cx - s // 2 AS x1, s AS size FROM (SELECT *, greatest(greatest(y2 - y1, x2 - x1) + 12, 12)::INT AS s FROM o)")
@@ -82,18 +83,18 @@ def _rect(y1: str, x1: str, y2: str, x2: str) -> str:
 @query("r23_ring_placement", MASK, _OFF.format(m=1) + f"""SELECT img_id, obj_id, ty::INT AS y1, tx::INT AS x1, s::INT AS size FROM (SELECT *, row_number() OVER (PARTITION BY img_id, obj_id ORDER BY pad DESC, d, ty, tx) AS r FROM c
  WHERE {_rect('ty', 'tx', 'ty + s', 'tx + s')} = {_rect('ty + 1', 'tx + 1', 'ty + s - 1', 'tx + s - 1')}) WHERE r = 1""")
 def _(t: Tables) -> DataFrame:
-    return P.ring_placement(_objects(t), _images(t), _integral(t), **SMALL)
+    return P.ring_placement(_objects(t), _images(t), _sums(t), **SMALL)
 
 
 @query("r24_force_placement", MASK, _OFF.format(m=0) + f"SELECT img_id, obj_id, ty::INT AS y1, tx::INT AS x1, s::INT AS size FROM (SELECT *, row_number() OVER (PARTITION BY img_id, obj_id ORDER BY n, d, pad DESC, ty, tx) AS r FROM (SELECT *, {_rect('ty', 'tx', 'ty + s', 'tx + s')} AS n FROM c)) WHERE r = 1")
 def _(t: Tables) -> DataFrame:
-    return P.force_placement(_objects(t), _images(t), _integral(t), **{k: v for k, v in SMALL.items() if k != "margin"})
+    return P.force_placement(_objects(t), _images(t), _sums(t), **{k: v for k, v in SMALL.items() if k != "margin"})
 
 
 @query("r30_avoid_pathology", MASK, _TFO + """, c AS (SELECT t.img_id, obj_id, size, t.y1 + dy AS y1, t.x1 + dx AS x1, dy, dx FROM t, LATERAL (SELECT unnest(range(-(size // 4) * 4, (size // 4) * 4 + 1, 4)) AS dy), LATERAL (SELECT unnest(range(-(size // 4) * 4, (size // 4) * 4 + 1, 4)) AS dx) WHERE t.y1 + dy >= 0 AND t.x1 + dx >= 0 AND t.y1 + dy + size <= 48 AND t.x1 + dx + size <= 48)
 SELECT img_id, obj_id, y1::INT AS y1, x1::INT AS x1, size, dy <> 0 OR dx <> 0 AS shifted FROM (SELECT *, row_number() OVER (PARTITION BY img_id, obj_id ORDER BY dy * dy + dx * dx, dy, dx) AS r FROM c WHERE NOT EXISTS (SELECT 1 FROM fx_mask m WHERE m.img_id = c.img_id AND cls = 2 AND m.y >= c.y1 AND m.y < c.y1 + size AND m.x >= c.x1 AND m.x < c.x1 + size)) WHERE r = 1""")
 def _(t: Tables) -> DataFrame:
-    return P.avoid_pathology(P.tile_for_objects(_objects(t), _images(t), 6, 12), _images(t), _integral(t), 4)
+    return P.avoid_pathology(P.tile_for_objects(_objects(t), _images(t), 6, 12), _images(t), _sums(t), 4)
 
 
 @query("w15_normal_quota", "fx_discs", """, n AS (SELECT img_id, disc AS obj_id, r % 3 <> 0 AS placed FROM fx_discs), b AS (SELECT img_id, COUNT(*) AS n FROM fx_discs WHERE cls = 2 GROUP BY 1),
@@ -163,7 +164,7 @@ def _(t: Tables) -> DataFrame:
     normal = t.mask().filter("cls = 1").select("img_id", "y", "x")
     deficit = _images(t).select("img_id", F.lit(4).alias("n"))
     taken = P.tile_for_objects(_objects(t), _images(t), 6, 12)
-    return P.backfill_normals(normal, deficit, _images(t), _integral(t), taken, 12)
+    return P.backfill_normals(normal, deficit, _images(t), _sums(t), taken, 12)
 
 
 @query("r32_build_dataset", MASK, None)

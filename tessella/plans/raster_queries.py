@@ -13,6 +13,7 @@ from tessella.operators import ranking as RK
 from tessella.operators import raster as R
 from tessella.operators import tiling as T
 from tessella.operators.scoring import mirror_model, score_tiles
+from tessella.operators.sums import rect_sum, ring_sum, summed_area
 from tessella.plans.fixtures import SIDE, Tables
 from tessella.plans.registry import query
 from tessella.sources import files
@@ -188,8 +189,8 @@ SELECT t.img_id, disc, COUNT(*) FILTER (cls = 2) AS total, COUNT(*) FILTER (cls
 def _(t: Tables) -> DataFrame:
     place = lambda c: F.greatest(F.lit(0), F.least(F.lit(SIDE - 14), F.col(c) - 7))
     tiles = t.discs().select("img_id", "disc", place("cy").alias("y1"), place("cx").alias("x1"), F.lit(14).alias("size"))
-    i = R.integral_image(t.mask(), (F.col("cls") == 2).cast("int"))
-    both = R.ring_sum(R.rect_sum(tiles.withColumns({"y2": F.col("y1") + 14, "x2": F.col("x1") + 14}), i), i, 3)
+    i = stored(summed_area(_runs(t, 2).select("img_id", "y", "x0", "x1"), _images(t)), "sums")
+    both = ring_sum(rect_sum(tiles.withColumns({"y2": F.col("y1") + 14, "x2": F.col("x1") + 14}), i), i, 3)
     return both.select("img_id", "disc", "total", "ring")
 
 
