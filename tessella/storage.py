@@ -2,23 +2,41 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: What this process has had written, for `drop_stored`.
+_written: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; only where that is unset (tests) one of our own."""
+    """The folder named in ``spark.checkpoint.dir``. Where that is unset, a session of one machine gets a folder of its own; a cluster has none that all could read."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that every machine of the cluster can read")
         named = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tessella-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tessella-{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def drop_stored(spark: SparkSession) -> int:
+    """Delete the tables and folders that this process has written to the shared folder; their number. Results that still read them can't be run again."""
+    paths, _written[:] = list(_written), []
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    return len(paths)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
