@@ -9,7 +9,7 @@ from tessella.functions import labels as L
 from tessella.operators import annotations as A
 from tessella.operators import ranking as R
 from tessella.plans.fixtures import Tables
-from tessella.plans.registry import query
+from tessella.plans.registry import met, query
 
 KEY = ["slide_id", "ann_idx"]
 ABNORMAL = {"LSIL": 2, "HSIL": 2, "Group HSIL": 2, "ASCH": 2}
@@ -326,7 +326,8 @@ def _(t: Tables) -> DataFrame:
     return A.atlas(t.annotations())
 
 
-_NEAR = f""", p AS (SELECT * FROM fx_annotations WHERE {_POLY}), q AS (SELECT slide_id, a.ann_idx AS a, b.ann_idx AS b FROM p a JOIN p b USING (slide_id) WHERE a.ann_idx < b.ann_idx
+_CELLS, _MET = met("p", ("xmin", "ymin", "xmax", "ymax"), "p", ("xmin", "ymin", "xmax", "ymax"))
+_NEAR = f""", p AS (SELECT * FROM fx_annotations WHERE {_POLY}){_CELLS}, q AS (SELECT a.slide_id, a.ann_idx AS a, b.ann_idx AS b FROM {_MET} WHERE a.ann_idx < b.ann_idx
  AND (sqrt((a.xmin-b.xmin)**2+(a.ymin-b.ymin)**2) <= 60 OR sqrt((a.xmax-b.xmax)**2+(a.ymin-b.ymin)**2) <= 60 OR sqrt((a.xmin-b.xmin)**2+(a.ymax-b.ymax)**2) <= 60 OR sqrt((a.xmax-b.xmax)**2+(a.ymax-b.ymax)**2) <= 60)
  AND CASE WHEN least(a.xmax,b.xmax) >= greatest(a.xmin,b.xmin) AND least(a.ymax,b.ymax) >= greatest(a.ymin,b.ymin) THEN (least(a.xmax,b.xmax)-greatest(a.xmin,b.xmin))*(least(a.ymax,b.ymax)-greatest(a.ymin,b.ymin)) ELSE 0 END
   >= 0.2 * greatest((a.xmax-a.xmin)*(a.ymax-a.ymin), (b.xmax-b.xmin)*(b.ymax-b.ymin))) """

@@ -38,3 +38,15 @@ def query(name: str, needs: str = "", sql: str | None = None) -> Callable:
         return f
 
     return add
+
+
+def met(a: str, abox: tuple[str, ...], b: str, bbox: tuple[str, ...]) -> tuple[str, str]:
+    """SQL of rows of two tables that may meet: (common table expressions, join of a and b). Each row stands in the cells of its box (x0, y0, x1, y1), a pair in the cell of its intersection's lower corner."""
+    cells = lambda t, box: f"(SELECT *, unnest(range(({box[0]}) // 512, ({box[2]}) // 512 + 1)) AS gx FROM (SELECT *, unnest(range(({box[1]}) // 512, ({box[3]}) // 512 + 1)) AS gy FROM {t}))"
+    on = " AND ".join(f"a.g{c} = greatest({named('a', abox[k])}, {named('b', bbox[k])}) // 512" for k, c in enumerate("xy"))
+    return f", ga AS {cells(a, abox)}, gb AS {cells(b, bbox)} ", f"ga a JOIN gb b ON a.slide_id = b.slide_id AND a.gx = b.gx AND a.gy = b.gy AND {on}"
+
+
+def named(side: str, expression: str) -> str:
+    """The expression with its column, which comes first, taken from one side of a join."""
+    return f"({side}.{expression})"
