@@ -16,14 +16,16 @@ GAP = re.compile(r"[\s/]*")
 KEY = re.compile(r"=?[^\s/>=]*")
 EQUALS = re.compile(r"\s*=\s*")
 BARE = re.compile(r"[^\s>]*")
-RAW = {"script", "style", "textarea", "noscript", "template", "title", "iframe", "svg", "math", "object", "canvas", "select"}
+RAW = {"script", "style", "textarea", "noscript", "template", "title", "iframe", "svg", "object", "canvas", "select", "annotation", "annotation-xml"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "li", "main", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 CONTAINER = {"article", "body", "center", "div", "html", "main", "section", "table", "td"}
 CLOSES_P = BLOCK - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
 #: An open tag on the left ends at a new tag of the right, unless one of the stops stands between.
 IMPLIED = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th", "tr"}, {"table"}), "th": ({"td", "th", "tr"}, {"table"}), "option": ({"option"}, {"select"})}
-NOT_CONTENT = {"nav", "header", "footer", "aside", "form", "button", "menu", "dialog", "label", "fieldset", "head"}
+NOT_CONTENT = {"nav", "header", "footer", "aside", "button", "menu", "dialog", "head"}
+#: Elements that frame controls, and controls. Whether a frame is content is left to the ratios: whole pages can stand in one.
+FORMS, CONTROLS = {"form", "fieldset", "label"}, {"input", "select", "textarea", "button"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "alertdialog", "dialog", "menu", "menubar", "toolbar"}
 #: Elements whose names can tell that they are no content.
 NAMED = (CONTAINER - {"article", "body", "html", "main"}) | {"ul", "ol", "dl"}
@@ -39,7 +41,7 @@ MASS = 0.9
 #: Characters of a text node that is running text.
 LONG = 80
 #: What the fused ratio of nodes inside elements with a name of no content is multiplied by.
-PENALTY = {"noise": 0.05, "talk": 0.05, "doubtful": 0.25}
+PENALTY = {"noise": 0.05, "talk": 0.05, "form": 0.05, "doubtful": 0.25}
 
 
 def _noise(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
@@ -70,6 +72,7 @@ class Page:
         self.tags, self.parent, self.path = ["#"], [0], [0]
         self.nodes: list[tuple[int, int, str]] = []  # element, block number, raw text
         self.named: dict[int, tuple[str, str]] = {}
+        self.controls: list[int] = []  # the element around each control
         self._paths: dict[tuple[int, str], int] = {}
         self._stack, self._places, self._muted = [0], {}, 0
         self._unclosed: set[str] = set()  # quotes that do not occur in the rest of the source
@@ -89,6 +92,8 @@ class Page:
             if not tag:
                 continue
             self._flush(held, block)
+            if tag in CONTROLS and not closing and attributes.get("type", "").strip().lower() != "hidden":
+                self.controls.append(self._stack[-1])
             if closing:
                 if self._places.get(tag):
                     self._close(self._places[tag][-1])
@@ -157,8 +162,10 @@ class Page:
         self.parent.append(up)
         self.path.append(self._paths.setdefault((self.path[up], tag), len(self._paths) + 1))
         if not self._muted:
-            if _noise(tag, attributes, bool(self._places.get("article"))):
+            if _noise(tag, attributes, bool(self._places.get("article") or self._places.get("main"))):
                 self._muted = element
+            elif tag in FORMS:
+                self.named[element] = ("form", tag)
             elif attributes and (name := _named(tag, attributes)):
                 self.named[element] = name
         self._places.setdefault(tag, []).append(len(self._stack))
@@ -201,7 +208,7 @@ def _penalties(page: Page, nodes: list[tuple[int, int, str]]) -> dict[int, float
     A name says nothing about an element that holds an article or main, or if the elements of its name
     hold more than half of the page's long text; for talk, only if there is no other long text, and
     outside of an article or main only if none has other text. A doubtful name also says nothing about
-    an element that holds a first heading.
+    an element that holds a first heading. Forms and fieldsets go by their tag in the same way, if they hold a control.
     """
     if not page.named:
         return {}
@@ -221,10 +228,16 @@ def _penalties(page: Page, nodes: list[tuple[int, int, str]]) -> dict[int, float
             for name in names[e]:
                 by_name[name] = by_name.get(name, 0) + n
     holds = {kind: page.above([tag in tags for tag in page.tags]) for kind, tags in (("article", ("article", "main")), ("h1", ("h1",)))}
+    controls = [0.0] * len(page.tags)
+    for e in page.controls:
+        controls[e] += 1
+    controls = page.above(controls)
     out = {}
     for e, name in page.named.items():
+        if name[0] == "form" and name[1] != "label" and not controls[e]:
+            continue
         most = 2 * by_name.get(name, 0) > total and not (name[0] == "talk" and prose) and (marked[e] or not article)
-        if not (holds["article"][e] or most or name[0] == "doubtful" and holds["h1"][e]):
+        if not (holds["article"][e] or most or name[0] in ("doubtful", "form") and holds["h1"][e]):
             out[e] = PENALTY[name[0]]
     return out
 
