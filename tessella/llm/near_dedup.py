@@ -19,6 +19,8 @@ SLACK = 0.15
 WIDTH = 64.0 * SKETCH_LONGS
 #: Bands whose buckets are first linked to their smallest node; nodes of a bucket that one task compares.
 STAR_BANDS, BLOCK = 8, 1024
+#: Columns of a product of sets and items at a time; seconds of one entry of such a product, and of one item of a pair's search.
+COLUMNS, PRODUCT, SEARCH = 4096, 3e-11, 2e-8
 U = np.uint64
 _rng = np.random.default_rng(2024)
 _A = (_rng.integers(0, 2**31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
@@ -197,12 +199,49 @@ def _sifter(percent: int):
     return run
 
 
+def _shared(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many items the sets x[k] and y[k] share, for each k.
+
+    Either pair by pair, or, where many pairs ask for it, all at once: an item that several sets of the block hold adds
+    to all their intersections together, as a product of the matrix of sets and such items with itself.
+    """
+    used = np.unique(np.concatenate([x, y]))
+    sizes = np.array([len(sets[k]) for k in used])
+    of = np.repeat(np.arange(len(used)), sizes)
+    items = np.unique(np.concatenate([sets[k] for k in used]), return_inverse=True)[1]
+    common = np.bincount(items) > 1
+    keep = common[items]
+    column, of = (np.cumsum(common) - 1)[items[keep]], of[keep]
+    place = np.searchsorted(used, np.stack([x, y]))
+    if len(used) ** 2 * int(common.sum()) * PRODUCT < sizes[place].sum() * SEARCH:
+        both = np.zeros((len(used), len(used)), np.float32)
+        order = np.argsort(column, kind="stable")
+        column, of = column[order], of[order]
+        for first in range(0, int(common.sum()), COLUMNS):
+            i, j = np.searchsorted(column, [first, first + COLUMNS])
+            m = np.zeros((len(used), COLUMNS), np.float32)
+            m[of[i:j], column[i:j] - first] = 1
+            both += m @ m.T
+        return np.rint(both[place[0], place[1]]).astype(np.int64)
+    out = np.zeros(len(x), np.int64)
+    for k, (p, q) in enumerate(zip(x, y, strict=True)):
+        u, v = sets[p], sets[q]
+        out[k] = (u[np.minimum(np.searchsorted(u, v), len(u) - 1)] == v).sum()
+    return out
+
+
 def _confirmer(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches):
             x, y, e = _likely(t, percent)
-            names, comps = t.column("node").to_pylist(), t.column("component").to_pylist()
+            if not len(x):
+                continue
             items = [np.asarray(v.values).view(np.uint64) for v in t.column("items").combine_chunks()]
+            size = np.array([len(v) for v in items])
+            both = _shared(items, x, y)
+            ok = both * 100 >= (size[x] + size[y] - both) * percent
+            x, y, e = x[ok], y[ok], e[ok]
+            names, comps = t.column("node").to_pylist(), t.column("component").to_pylist()
             root: dict[str, str] = {}
 
             def top(c: str, root: dict[str, str] = root) -> str:
@@ -213,12 +252,7 @@ def _confirmer(percent: int):
             a, b = [], []
             for k in np.argsort(-e, kind="stable"):
                 p, q = int(x[k]), int(y[k])
-                if (cp := top(comps[p])) == (cq := top(comps[q])):
-                    continue
-                u, v = items[p], items[q]
-                at = np.minimum(np.searchsorted(u, v), len(u) - 1)
-                both = int((u[at] == v).sum())
-                if both * 100 >= (len(u) + len(v) - both) * percent:
+                if (cp := top(comps[p])) != (cq := top(comps[q])):
                     root[cq] = cp
                     a.append(names[p])
                     b.append(names[q])
