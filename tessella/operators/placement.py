@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tessella.operators.graph import first_independent
 from tessella.operators.ranking import hash_key
 from tessella.operators.spatial import neighbours
-from tessella.operators.sums import rect_sum, search_places
+from tessella.operators.sums import rect_sum, ring_sum, search_places
 from tessella.operators.tiling import extract_padded
 from tessella.storage import stored
 
@@ -62,16 +62,15 @@ def truncation_check(tiles: DataFrame, runs: DataFrame, key: list[str], margin:
     return d.filter((level & meets(F.col("x1"), last)) | sides).select("img_id", *key).distinct()
 
 
-def fit_tile(groups: DataFrame, images: DataFrame, runs: DataFrame, padding: int = PADDING, min_padding: int = MIN_PADDING, step: int = PADDING_STEP, expand: int = MAX_EXPAND, expand_step: int = EXPAND_STEP, margin: int = MARGIN, min_tile: int = MIN_TILE) -> DataFrame:
-    """R22. (img_id, obj_id, y1, x1, size): for each box (img_id, obj_id, y1, x1, y2, x2) the first square around it without an abnormal pixel in its edge band, by padding from large to small, then by growth."""
+def fit_tile(groups: DataFrame, images: DataFrame, table: DataFrame, padding: int = PADDING, min_padding: int = MIN_PADDING, step: int = PADDING_STEP, expand: int = MAX_EXPAND, expand_step: int = EXPAND_STEP, margin: int = MARGIN, min_tile: int = MIN_TILE) -> DataFrame:
+    """R22. (img_id, obj_id, y1, x1, size): for each box (img_id, obj_id, y1, x1, y2, x2) the first square around it without an abnormal pixel in its edge band, by padding from large to small, then by growth. Boxes are distinct; a square takes eight look-ups in the table."""
     size = _side(("by1", "bx1", "by2", "bx2"), F.col("pad"), min_tile) + F.col("extra")
     c = groups.select("img_id", "obj_id", *(F.col(k).alias(f"b{k}") for k in ("y1", "x1", "y2", "x2"))).join(images, "img_id")
     c = c.withColumn("pad", F.explode(_pads(padding, min_padding, step))).withColumn("extra", F.explode(F.sequence(F.lit(0), F.lit(expand), F.lit(expand_step))))
     c = c.withColumn("size", size.cast("int")).filter("size <= height and size <= width")
     mid = lambda a, b: F.floor((F.col(a) + F.col(b)) / 2) - F.floor(F.col("size") / 2)
     c = c.withColumn("y1", _clamped(mid("by1", "by2"), F.col("size"), F.col("height"))).withColumn("x1", _clamped(mid("bx1", "bx2"), F.col("size"), F.col("width")))
-    key = ["obj_id", "pad", "extra"]
-    clean = c.join(truncation_check(c, runs, key, margin), ["img_id", *key], "left_anti")
+    clean = ring_sum(c.select("img_id", "obj_id", "pad", "extra", "y1", "x1", "size"), table, margin).filter("ring = 0")
     first = F.row_number().over(Window.partitionBy("img_id", "obj_id").orderBy(F.desc("pad"), "extra"))
     return clean.withColumn("_r", first).filter("_r = 1").select("img_id", "obj_id", "y1", "x1", "size")
 
@@ -174,7 +173,7 @@ def backfill_normals(pixels: DataFrame, deficit: DataFrame, images: DataFrame, t
     return d.withColumn("seq", seq).filter("seq <= n").select("img_id", F.col("seq").alias("seq"), "y1", "x1", "size")
 
 
-def greedy_groups(objects: DataFrame, images: DataFrame, runs: DataFrame, distance: int = 150, **fit: int) -> DataFrame:
+def greedy_groups(objects: DataFrame, images: DataFrame, table: DataFrame, distance: int = 150, **fit: int) -> DataFrame:
     """R21. (img_id, obj_id, status, y1, x1, size): in id order, an unused object with neighbours seeds a group.
 
     The group of every object and the tile that fits it are worked out in parallel. A tile uses all
@@ -185,7 +184,7 @@ def greedy_groups(objects: DataFrame, images: DataFrame, runs: DataFrame, distan
     whole = pairs.union(pairs.select("img_id", "a", F.col("a").alias("b")).distinct())
     boxes = whole.join(objects.select("img_id", F.col("obj_id").alias("b"), "y1", "x1", "y2", "x2"), ["img_id", "b"])
     groups = stored(boxes.groupBy("img_id", F.col("a").alias("obj_id")).agg(F.min("y1").alias("y1"), F.min("x1").alias("x1"), F.max("y2").alias("y2"), F.max("x2").alias("x2")), "groups")
-    tiles = stored(groups.select("img_id", "obj_id").join(fit_tile(groups, images, runs, **fit), ["img_id", "obj_id"], "left"), "tiles")
+    tiles = stored(groups.select("img_id", "obj_id").join(fit_tile(groups, images, table, **fit), ["img_id", "obj_id"], "left"), "tiles")
     nodes = tiles.join(objects.select("img_id", "obj_id", "cx", "cy"), ["img_id", "obj_id"]).select("img_id", F.col("obj_id").alias("node"), F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("size").isNotNull().alias("able"))
     seeds = first_independent(nodes, pairs.filter("b < a"), "img_id", 16 * distance).filter("free").select("img_id", F.col("node").alias("obj_id"))
     again = F.row_number().over(Window.partitionBy("img_id", "y1", "x1", "size").orderBy("obj_id")) > 1

@@ -64,7 +64,7 @@ def match_object_record(objects: DataFrame, records: DataFrame, group: list[str]
     """J7. The record that shares most area with each object (the first on ties), else the one with the nearest centre.
 
     objects: (group..., obj_id, x1, y1, x2, y2); records: (group..., rec_id, xmin, ymin, xmax, ymax).
-    Objects that meet no record look for the nearest in cells around them, which double until it is certain.
+    Objects that meet no record look for the nearest in cells around them, which grow until it is certain.
     """
     o: Box = ("x1", "y1", "x2", "y2")
     area = intersection_area(o, ANN)
@@ -80,7 +80,7 @@ def _nearest(objects: DataFrame, records: DataFrame, group: list[str], cell: int
     """(group..., obj_id, rec_id): the record with the nearest centre, the first on ties, for each object of a group that has records.
 
     Each round joins the objects that are left with the records of the nine cells around them; a record
-    no farther than a cell's side is the nearest. Then the cells double. Centres are in half units.
+    no farther than a cell's side is the nearest. Then the cells' sides grow fourfold. Centres are in half units.
     """
     at = lambda c, side: F.floor(F.col(c) / side)
     places = stored(records.select(*group, "rec_id", (F.col("xmin") + F.col("xmax")).alias("rx"), (F.col("ymin") + F.col("ymax")).alias("ry")).filter("rx is not null and ry is not null"), "records")
@@ -93,7 +93,7 @@ def _nearest(objects: DataFrame, records: DataFrame, group: list[str], cell: int
         gap = (F.col("ox") - F.col("rx")).cast("long") * (F.col("ox") - F.col("rx")) + (F.col("oy") - F.col("ry")).cast("long") * (F.col("oy") - F.col("ry"))
         best = met.groupBy(*group, "obj_id").agg(F.min(F.struct(gap.alias("d"), "rec_id")).alias("b"))
         sure = stored(best.filter(F.col("b.d") <= side * side).select(*group, "obj_id", "b.rec_id"), "nearest")
-        out, left, side = out.unionByName(sure), stored(left.join(sure, [*group, "obj_id"], "left_anti"), "unmatched"), side * 2
+        out, left, side = out.unionByName(sure), stored(left.join(sure, [*group, "obj_id"], "left_anti"), "unmatched"), side * 4
     return out
 
 

@@ -26,10 +26,10 @@ def build_dataset(mask: DataFrame, images: DataFrame, min_pixels: int = 10, dist
     calm = R.component_props(R.connected_components(runs.filter("cls = 1").select("img_id", "y", "x0", "x1"), 4))
     sums = stored(summed_area(sick, images), "sums")
 
-    greedy = stored(P.greedy_groups(objects, images, sick, distance, expand=expand, margin=margin, **fit), "greedy").withColumn("phase", F.lit("greedy"))
+    greedy = stored(P.greedy_groups(objects, images, sums, distance, expand=expand, margin=margin, **fit), "greedy").withColumn("phase", F.lit("greedy"))
     ring = P.ring_placement(objects, images, sums, margin=margin, **fit).withColumn("status", F.lit("isolated"))
     left = objects.join(ring, ["img_id", "obj_id"], "left_anti")
-    fitted = P.fit_tile(left, images, sick, expand=expand, margin=margin, **fit).withColumn("status", F.lit("fallback"))
+    fitted = P.fit_tile(left, images, sums, expand=expand, margin=margin, **fit).withColumn("status", F.lit("fallback"))
     left = left.join(fitted, ["img_id", "obj_id"], "left_anti")
     forced = P.force_placement(left, images, sums, **fit)
     centred = P.center_tile(left.join(forced, ["img_id", "obj_id"], "left_anti"), padding, min_tile)

@@ -65,7 +65,7 @@ _BAND = "EXISTS (SELECT 1 FROM fx_mask m WHERE m.img_id = c.img_id AND cls = 2 A
  c AS (SELECT img_id, obj_id, pad, extra, s, greatest(0, least((y1 + y2) // 2 - s // 2, 48 - s)) AS ty, greatest(0, least((x1 + x2) // 2 - s // 2, 48 - s)) AS tx FROM k WHERE s <= 48)
 SELECT img_id, obj_id, ty::INT AS y1, tx::INT AS x1, s::INT AS size FROM (SELECT *, row_number() OVER (PARTITION BY img_id, obj_id ORDER BY pad DESC, extra) AS r FROM c WHERE NOT {_BAND}) WHERE r = 1""")
 def _(t: Tables) -> DataFrame:
-    return P.fit_tile(_objects(t), _images(t), _sick(t), expand=10, **SMALL)
+    return P.fit_tile(_objects(t), _images(t), _sums(t), expand=10, **SMALL)
 
 
 _OFF = _OBJ + """, k AS (SELECT *, greatest(greatest(y2 - y1, x2 - x1) + 2 * pad, 12) AS s FROM o, (VALUES (6), (4), (2)) p(pad)),
@@ -152,7 +152,7 @@ def _(t: Tables) -> DataFrame:
   FROM r JOIN t ON t.img_id = r.img_id AND t.n = r.n + 1)
 SELECT r.img_id, r.obj_id, status, ty::INT AS y1, tx::INT AS x1, s::INT AS size FROM r JOIN t ON t.img_id = r.img_id AND t.n = r.n WHERE status NOT IN ('', 'used')""")
 def _(t: Tables) -> DataFrame:
-    return P.greedy_groups(_objects(t), _images(t), _sick(t), 16, expand=10, **SMALL)
+    return P.greedy_groups(_objects(t), _images(t), _sums(t), 16, expand=10, **SMALL)
 
 
 @query("r31_backfill_normals", MASK, _TFO + """, m AS (SELECT img_id, y, x, row_number() OVER (PARTITION BY img_id ORDER BY md5(concat('42|', img_id, ':', y, ':', x)), y, x) AS n FROM fx_mask WHERE cls = 1),

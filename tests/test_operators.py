@@ -21,6 +21,7 @@ from tessella.operators import raster as R
 from tessella.operators import spatial as SP
 from tessella.operators import tiling as T
 from tessella.operators.graph import components
+from tessella.operators.sums import summed_area
 from tessella.sources import files as S
 
 
@@ -292,12 +293,13 @@ def test_greedy_seeds_in_order(spark, small_batches):
     o = spark.createDataFrame(objects, "img_id long, obj_id int, cy int, cx int, y1 int, x1 int, y2 int, x2 int")
     images = spark.createDataFrame([(1, 200, 200), (2, 200, 200)], "img_id long, height int, width int")
     runs = spark.createDataFrame([(r[0], y, r[5], r[7]) for r in objects for y in range(r[4], r[6] + 1)], "img_id long, y int, x0 int, x1 int")
+    table = summed_area(runs, images).cache()
     fit = {"padding": 4, "min_padding": 2, "step": 2, "expand": 2, "margin": 2, "min_tile": 12}
-    got = {(r.img_id, r.obj_id): (r.status, r.y1, r.x1, r.size) for r in PL.greedy_groups(o, images, runs, 25, **fit).collect()}
+    got = {(r.img_id, r.obj_id): (r.status, r.y1, r.x1, r.size) for r in PL.greedy_groups(o, images, table, 25, **fit).collect()}
     members = {r[:2]: [s for s in objects if s[0] == r[0] and math.dist(r[2:4], s[2:4]) <= 25] for r in objects}
     members = {k: m for k, m in members.items() if len(m) > 1}
     boxes = [(*k, *(f(s[i] for s in m) for f, i in ((min, 4), (min, 5), (max, 6), (max, 7)))) for k, m in members.items()]
-    tiles = {(r.img_id, r.obj_id): (r.y1, r.x1, r.size) for r in PL.fit_tile(spark.createDataFrame(boxes, "img_id long, obj_id int, y1 int, x1 int, y2 int, x2 int"), images, runs, **fit).collect()}
+    tiles = {(r.img_id, r.obj_id): (r.y1, r.x1, r.size) for r in PL.fit_tile(spark.createDataFrame(boxes, "img_id long, obj_id int, y1 int, x1 int, y2 int, x2 int"), images, table, **fit).collect()}
     want, used, saved = {}, set(), set()
     for key in sorted(members):
         if key in used:
