@@ -36,39 +36,47 @@ def _remainder(n: int) -> Column:
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its set's size and the smallest id that links of 80 percent of two-word shingles reach."""
     return near_duplicates(_read(spark, sf_dir, "documents"), shingle_words=2, similarity_percent=80).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with its main text."""
     return extract(_read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its quality score, learnt from the labelled rows outside the held-out third."""
     labels = _read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     out = quality(_read(spark, sf_dir, "documents"), labels, _remainder(3) != 1).withColumn("held_out", F.coalesce(_remainder(3) == 1, F.lit(False)))
     return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth."""
     vectors = _read(spark, sf_dir, "embeddings")
     return nearest(vectors, vectors.filter("vec_id % 100 = 0"), 10)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with what the mix of sources takes of it."""
     sizes = _read(spark, sf_dir, "documents").select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("mix_size"))
     return truncated(mix(stored(sizes, "sizes"), size="mix_size")).select("doc_id", F.col("mix_size").alias("size"), "source_size", "target", "taken", "upto_words")
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its place in 24 shards of nearly equal bytes."""
     placed = shard(_read(spark, sf_dir, "documents").select("doc_id", "text"), 24)
     return placed.select("doc_id", F.col("shard_size").alias("size"), "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its words inside benchmark windows and the items they belong to."""
     return contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), 10).drop("text_key")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its toxicity score, learnt from the labelled rows outside the held-out fifth."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     labels = _read(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
     model = fit_toxicity(docs, labels.filter(_remainder(5) != 0))
@@ -86,6 +94,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its predicted language, learnt from the rows outside the held-out third."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = fit_language(docs, _remainder(3) != 1)
     out = predict_language(docs, model).withColumn("held_out", F.coalesce(_remainder(3) == 1, F.lit(False)))
