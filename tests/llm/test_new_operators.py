@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import sys
+from dataclasses import replace
 from pathlib import Path
 
 import numpy as np
@@ -18,6 +19,7 @@ from tessella.llm import centroids, near_dedup, periodic, vector_dedup
 from tessella.llm import queries as Q
 from tessella.llm.centroids import centroid_clusters
 from tessella.llm.html_text import content
+from tessella.llm.language import fit_language
 from tessella.llm.periodic import PRIMES, Transform, differences_are_zero, find_runs, periodic_runs
 from tessella.llm.vector_dedup import vector_duplicates
 
@@ -233,3 +235,31 @@ def test_shared_items_by_pairs_and_by_products(monkeypatch, price):
     sets = [np.unique(rng.integers(0, 300, n)).astype(np.uint64) for n in rng.integers(1, 200, 40)]
     x, y = np.triu_indices(40, 1)
     assert near_dedup._shared(sets, x, y).tolist() == [len(np.intersect1d(sets[a], sets[b])) for a, b in zip(x, y, strict=True)]
+
+
+def test_transitions_label_spliced_texts(spark):
+    """Held-out texts of two languages in turns of a dozen words, every third word an invented name: the chain gives names their neighbours' language, words alone can't."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
+    model = fit_language(docs, ~held, train_docs=60)
+    rng = random.Random(10)
+    texts: dict[str, list[str]] = {}
+    for r in docs.filter(held & F.col("text").isNotNull() & F.col("lang").isNotNull()).orderBy("doc_id").collect():
+        texts.setdefault(r.lang, []).extend("".join(c if c.isalpha() else " " for c in r.text).split())
+    spliced, truth = [], []
+    for _ in range(60):
+        langs, words = rng.sample(sorted(texts), 2), []
+        for turn in range(6):
+            at = rng.randrange(max(len(texts[langs[turn % 2]]) - 12, 1))
+            own = texts[langs[turn % 2]][at : at + 12]
+            words += ["".join(rng.choice("qxzjkvw") for _ in range(6)) if k % 3 == 1 else w for k, w in enumerate(own)]
+            truth += [langs[turn % 2]] * len(own)
+        spliced.append(" ".join(words))
+
+    def accuracy(m):
+        marginals, _ = m.label_words(spliced)
+        assert len(marginals) == len(truth)
+        return np.mean([m.languages[k] == t for k, t in zip(marginals.argmax(axis=1), truth, strict=True)])
+
+    chain, alone = accuracy(model), accuracy(replace(model, transition=np.zeros_like(model.transition)))
+    assert chain > 0.85 and chain > alone + 0.1
