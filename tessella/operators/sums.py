@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.storage import stored
+from tessella.storage import spread, stored
 
 BLOCK = 32
 #: Places of a square, a side, that one search tries.
@@ -195,5 +195,5 @@ def search_places(places: DataFrame, table: DataFrame, margin: int, stride: int,
         return pd.DataFrame({"img_id": piece["img_id"].iloc[: len(found)], "obj_id": piece["obj_id"].iloc[: len(found)], "found": pd.Series(found, dtype=object)})
 
     fields = [f.split(":")[0] for f in order[len("struct<") : -1].split(",")]
-    out = pieces.select(*key, "pads").groupBy(*key).cogroup(blocks.groupBy(*key)).applyInPandas(search, f"img_id {kinds['img_id']}, obj_id {kinds['obj_id']}, found {order}")
+    out = spread(pieces.select(*key, "pads"), *key).groupBy(*key).cogroup(spread(blocks, *key).groupBy(*key)).applyInPandas(search, f"img_id {kinds['img_id']}, obj_id {kinds['obj_id']}, found {order}")
     return out.groupBy("img_id", "obj_id").agg(F.min("found").alias("found"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.storage import spread
+
 ANNOTATIONS = """
 SELECT slide_id, CAST(ROW_NUMBER() OVER (PARTITION BY slide_id ORDER BY k1, k2, k3, k4, w0, xmin, ymin) - 1 AS INT) AS ann_idx,
   CASE WHEN lab = 0 THEN concat('rect ', CAST(k2 % 7 AS VARCHAR(10))) WHEN lab = 1 THEN 'LSIL' WHEN lab = 2 THEN 'HSIL ?'
@@ -113,7 +115,7 @@ class Tables:
 
     def mask(self) -> DataFrame:
         """img_id, y, x, cls of every pixel, painted in place from the discs of its image; never broadcast, for Spark takes exploded rows to be as small as those they come from."""
-        discs = self.discs().groupBy("img_id").agg(F.collect_list(F.struct("cx", "cy", (F.col("r") * F.col("r")).alias("rr"), "cls")).alias("discs"))
+        discs = spread(self.discs(), "img_id").groupBy("img_id").agg(F.collect_list(F.struct("cx", "cy", (F.col("r") * F.col("r")).alias("rr"), "cls")).alias("discs"))
         span = F.sequence(F.lit(0), F.lit(SIDE - 1))
         rows = discs.withColumn("y", F.explode(span))
         # Of each disc that a row meets, what is left of the square of its radius; then the columns it reaches.
