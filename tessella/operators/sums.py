@@ -21,6 +21,8 @@ from tessella.storage import spread, stored
 BLOCK = 32
 #: Places of a square, a side, that one search tries.
 PLACES = 128
+#: Side of the regions whose searches share their blocks.
+REGION = 512
 
 
 def _lists(m: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -124,16 +126,20 @@ def ring_sum(tiles: DataFrame, table: DataFrame, margin: int) -> DataFrame:
     return _signed(tiles, table, _corners(y1, x1, y1 + size, x1 + size) + _corners(y1 + in_, x1 + in_, y2, x2, -1), "ring")
 
 
-def _matrix(blocks: pd.DataFrame, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
-    """The table before each of the rows and columns."""
+Blocks = dict[tuple[int, int], tuple[int, np.ndarray, np.ndarray, np.ndarray]]
+
+
+def _matrix(blocks: Blocks, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """The table before each of the rows and columns, which ascend."""
     out = np.zeros((len(rows), len(cols)), np.int64)
-    by, bx = (rows - 1) // BLOCK, (cols - 1) // BLOCK
-    for b in blocks.itertuples(index=False):
-        r, c = np.flatnonzero((by == b.by) & (rows > 0)), np.flatnonzero((bx == b.bx) & (cols > 0))
-        if len(r) and len(c):
-            y, x = (rows[r] - 1) % BLOCK, (cols[c] - 1) % BLOCK
-            inner = np.asarray(b.inner, np.int64).reshape(BLOCK, BLOCK)
-            out[np.ix_(r, c)] = b.corner + np.asarray(b.top)[x][None, :] + np.asarray(b.left)[y][:, None] + inner[np.ix_(y, x)]
+    cut = lambda at: [(int(k), np.flatnonzero((at > 0) & ((at - 1) // BLOCK == k))) for k in np.unique((at[at > 0] - 1) // BLOCK)]
+    across = cut(cols)
+    for by, r in cut(rows):
+        y = (rows[r] - 1) % BLOCK
+        for bx, c in across:
+            corner, top, left, inner = blocks[by, bx]
+            x = (cols[c] - 1) % BLOCK
+            out[r[0] : r[-1] + 1, c[0] : c[-1] + 1] = corner + top[x][None, :] + left[y][:, None] + inner[y[:, None], x[None, :]]
     return out
 
 
@@ -170,20 +176,19 @@ def search_places(places: DataFrame, table: DataFrame, margin: int, stride: int,
         far = F.sequence(at(ends(F.array_min, lambda p: p[a] + p["size"] - margin)), at(ends(F.array_max, lambda p: p[z] + p["size"])))
         return F.explode(F.array_union(near, far))
 
-    key = ["img_id", "obj_id", "py", "px"]
-    asked = pieces.select(*key, "pads").withColumn("by", needed("ya", "yz")).withColumn("bx", needed("xa", "xz")).drop("pads")
+    # Pieces of one region of an image are searched together and share their blocks.
+    key = ["img_id", "gy", "gx"]
+    pieces = pieces.withColumns({"gy": F.floor(F.col("py") / REGION), "gx": F.floor(F.col("px") / REGION)})
+    asked = pieces.select(*key, "pads").withColumn("by", needed("ya", "yz")).withColumn("bx", needed("xa", "xz")).drop("pads").distinct()
     blocks = asked.join(table, ["img_id", "by", "bx"]).select(*(F.col(c).alias(c) for c in [*key, "by", "bx", "corner", "top", "left", "inner"]))
 
-    def search(piece: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        if piece.empty:
-            return pd.DataFrame({"img_id": [], "obj_id": [], "found": pd.Series([], dtype=object)})
-        pads = [p if isinstance(p, dict) else p.asDict() for p in piece["pads"].iloc[0]]
+    def searched(pads: list[dict], held: Blocks) -> dict | None:
         lines = lambda a, z: np.unique(np.concatenate([np.arange(p[a] + d, p[z] + e + 1) for p in pads for d, e in ((0, margin), (p["size"] - margin, p["size"]))]))
         rows, cols = lines("ya", "yz"), lines("xa", "xz")
         m, top = _matrix(held, rows, cols), None
         for p in pads:
             ys, xs, size = np.arange(p["ya"], p["yz"] + 1, stride), np.arange(p["xa"], p["xz"] + 1, stride), p["size"]
-            look = lambda dy, dx: m[np.ix_(np.searchsorted(rows, ys + dy), np.searchsorted(cols, xs + dx))]  # noqa: B023, E731
+            look = lambda dy, dx: m[np.searchsorted(rows, ys + dy)[:, None], np.searchsorted(cols, xs + dx)[None, :]]  # noqa: B023, E731
             rect = lambda a, b: look(b, b) - look(a, b) - look(b, a) + look(a, a)
             sums = rect(0, size)
             if margin > 0 and size > 2 * margin:
@@ -191,9 +196,14 @@ def search_places(places: DataFrame, table: DataFrame, margin: int, stride: int,
             one = best(p, ys, xs, sums)
             if one is not None and (top is None or one < top):
                 top = one
-        found = [] if top is None else [dict(zip(fields, map(int, top), strict=True))]
-        return pd.DataFrame({"img_id": piece["img_id"].iloc[: len(found)], "obj_id": piece["obj_id"].iloc[: len(found)], "found": pd.Series(found, dtype=object)})
+        return None if top is None else dict(zip(fields, map(int, top), strict=True))
+
+    def search(own: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        held = {(b.by, b.bx): (b.corner, np.asarray(b.top), np.asarray(b.left), np.asarray(b.inner, np.int64).reshape(BLOCK, BLOCK)) for b in near.itertuples(index=False)}
+        found = [searched([p if isinstance(p, dict) else p.asDict() for p in pads], held) for pads in own["pads"]]
+        keep = [f is not None for f in found]
+        return pd.DataFrame({"img_id": own["img_id"][keep], "obj_id": own["obj_id"][keep], "found": pd.Series([f for f in found if f is not None], dtype=object, index=own.index[keep])})
 
     fields = [f.split(":")[0] for f in order[len("struct<") : -1].split(",")]
-    out = spread(pieces.select(*key, "pads"), *key).groupBy(*key).cogroup(spread(blocks, *key).groupBy(*key)).applyInPandas(search, f"img_id {kinds['img_id']}, obj_id {kinds['obj_id']}, found {order}")
+    out = spread(pieces.select(*key, "obj_id", "pads"), *key).groupBy(*key).cogroup(spread(blocks, *key).groupBy(*key)).applyInPandas(search, f"img_id {kinds['img_id']}, obj_id {kinds['obj_id']}, found {order}")
     return out.groupBy("img_id", "obj_id").agg(F.min("found").alias("found"))

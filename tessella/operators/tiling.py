@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +26,16 @@ def _positions(at: Column, n: Column, low: Column, high: Column) -> Column:
     return F.array_union(shown(at), shown(-at))
 
 
+def _starts(t: pa.Table, keys: list[str]) -> np.ndarray:
+    """Rows of a sorted table at which one of the keys changes."""
+    new = np.zeros(t.num_rows, bool)
+    new[0] = True
+    for k in keys:
+        c = t.column(k).combine_chunks()
+        new[1:] |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new)
+
+
 def inference_grid(pixels: DataFrame, images: DataFrame, tile: int) -> DataFrame:
     """R2. ``pixels`` (img_id, y, x, ...) with tile_idx, ty, tx: tiles in row order over the image padded to a multiple, edges repeated.
 
@@ -53,11 +68,23 @@ def overlap_grid(pixels: DataFrame, images: DataFrame, window: int, subdivisions
     """
     pad, step = _pad(window, subdivisions), window // subdivisions
     d = pixels.select("img_id", "y", "x", F.col(value).alias("_v")).join(images.select("img_id", "height", "width"), "img_id")
-    place = lambda c, n: F.explode(_positions(F.col(c), F.col(n), F.lit(-pad), F.col(n) + pad - 1))
-    d = d.withColumn("_y", place("y", "height")).withColumn("_x", place("x", "width")).withColumns({"_y": F.col("_y") + pad, "_x": F.col("_x") + pad})
-    at = F.col("_y") % step * step + F.col("_x") % step
-    blocks = d.groupBy("img_id", "height", "width", F.expr(f"_y div {step}").alias("by"), F.expr(f"_x div {step}").alias("bx")).agg(F.array_sort(F.collect_list(F.struct(at.alias("at"), "_v"))).alias("v"))
-    blocks = blocks.select("img_id", "height", "width", "by", "bx", F.transform("v", lambda p: p["_v"]).alias("values")).filter(F.size("values") == step * step)
+    # Where the rim is narrower than the image, an index shows itself and at most one mirrored place on each side.
+    mirrored = lambda c, n: F.array(F.col(c), F.when((F.col(c) > 0) & (F.col(c) <= pad), -F.col(c)), F.when((F.col(c) < F.col(n) - 1) & (F.col(c) >= F.col(n) - 1 - pad), 2 * (F.col(n) - 1) - F.col(c)))
+    place = lambda c, n: F.explode(F.when(F.col(n) > pad, mirrored(c, n)).otherwise(_positions(F.col(c), F.col(n), F.lit(-pad), F.col(n) + pad - 1)))
+    d = d.withColumn("_y", place("y", "height")).filter("_y is not null").withColumn("_x", place("x", "width")).filter("_x is not null")
+    d = d.withColumns({"_y": F.col("_y") + pad, "_x": F.col("_x") + pad})
+    at = (F.col("_y") % step * step + F.col("_x") % step).cast("int")
+    blocks = d.groupBy("img_id", "height", "width", F.expr(f"_y div {step}").alias("by"), F.expr(f"_x div {step}").alias("bx")).agg(F.collect_list(at).alias("at"), F.collect_list("_v").alias("values"))
+    kinds = dict(blocks.dtypes)
+
+    def in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, flat = batch.num_rows, batch.column("values").flatten()
+            order = np.argsort(np.asarray(batch.column("at").flatten()).reshape(n, step * step), axis=1) + np.arange(n)[:, None] * step * step
+            values = pa.ListArray.from_arrays(pa.array(np.arange(0, n * step * step + 1, step * step, dtype=np.int32)), flat.take(pa.array(order.ravel())))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("img_id", "height", "width", "by", "bx")] + [values], names=["img_id", "height", "width", "by", "bx", "values"])
+
+    blocks = blocks.filter(F.size("at") == step * step).mapInArrow(in_order, ", ".join(f"{c} {kinds[c]}" for c in ("img_id", "height", "width", "by", "bx", "values")))
     line = F.sequence(F.lit(0), F.lit(subdivisions - 1))
     out = blocks.withColumn("i", F.explode(line)).withColumn("j", F.explode(line))
     out = out.withColumns({"y0": ((F.col("by") - F.col("i")) * step).cast("int"), "x0": ((F.col("bx") - F.col("j")) * step).cast("int")})
@@ -71,18 +98,39 @@ def blend_overlaps(preds: DataFrame, images: DataFrame, window: int, subdivision
     What is shuffled is one row for each block of a window, subdivisions squared of them; up to as many meet in a block of the image and are added elementwise.
     """
     pad, step = _pad(window, subdivisions), window // subdivisions
-    w = F.array(*(F.lit(v) for v in spline_line(window)))
-    weight = lambda at, i, j: F.element_at(w, (i * step + F.floor(at / step) + 1).cast("int")) * F.element_at(w, (j * step + at % step + 1).cast("int"))
-    weighted = F.transform("values", lambda v, at: F.struct((v * weight(at, F.col("i"), F.col("j"))).alias("v"), weight(at, F.col("i"), F.col("j")).alias("w")))
+    line = np.array(spline_line(window)).reshape(subdivisions, step)
+    weights = np.einsum("ia,jb->ijab", line, line).reshape(subdivisions**2, step * step)
+    kind, own = dict(preds.dtypes)["img_id"], np.arange(step * step)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            if not t.num_rows:
+                continue
+            new = _starts(t, ["img_id", "by", "bx"])
+            held = t.slice(int(new[-1]))  # the last block may go on in the next batch
+            if len(new) > 1:
+                yield summed(t.slice(0, int(new[-1])), new[:-1])
+        if held is not None:
+            yield summed(held, np.zeros(1, np.int64))
+
+    def summed(t: pa.Table, first: np.ndarray) -> pa.RecordBatch:
+        t = t.combine_chunks()
+        w = weights[t.column("i").to_numpy() * subdivisions + t.column("j").to_numpy()]
+        v = np.asarray(t.column("values").combine_chunks().flatten()).astype(float).reshape(-1, step * step)
+        value, weight = np.add.reduceat(v * w, first, axis=0), np.add.reduceat(w, first, axis=0)
+        y = (t.column("by").to_numpy()[first] * step - pad)[:, None] + own // step
+        x = (t.column("bx").to_numpy()[first] * step - pad)[:, None] + own % step
+        image = t.column("img_id").combine_chunks().take(pa.array(np.repeat(first, step * step)))
+        return pa.RecordBatch.from_arrays([image, *(pa.array(c.ravel().astype(np.int32)) for c in (y, x)), pa.array(value.ravel()), pa.array(weight.ravel())], names=["img_id", "y", "x", "_v", "_w"])
+
     by, bx = (F.col("y0") / step + F.col("i")).cast("int"), (F.col("x0") / step + F.col("j")).cast("int")
-    met = preds.groupBy("img_id", by.alias("by"), bx.alias("bx")).agg(F.collect_list(weighted).alias("parts"))
-    add = lambda p, q: F.zip_with(p, q, lambda a, b: F.struct((a["v"] + b["v"]).alias("v"), (a["w"] + b["w"]).alias("w")))
-    total = F.aggregate(F.slice("parts", 2, subdivisions**2), F.col("parts")[0], add)
-    d = met.select("img_id", "by", "bx", F.posexplode(total).alias("at", "s"))
-    d = d.select("img_id", (F.col("by") * step + F.floor(F.col("at") / step) - pad).cast("int").alias("y"), (F.col("bx") * step + F.col("at") % step - pad).cast("int").alias("x"), "s")
+    parts = preds.select("img_id", by.alias("by"), bx.alias("bx"), "i", "j", "values")
+    d = parts.repartition("img_id", "by", "bx").sortWithinPartitions("img_id", "by", "bx").mapInArrow(add, f"img_id {kind}, y int, x int, _v double, _w double")
     d = d.join(images, "img_id").filter("y >= 0 and x >= 0 and y < height and x < width")
-    below = F.lit(float(subdivisions**2)) if norm == "subdivisions" else F.col("s.w")
-    return d.select("img_id", "y", "x", (F.col("s.v") / below).alias(value))
+    below = F.lit(float(subdivisions**2)) if norm == "subdivisions" else F.col("_w")
+    return d.select("img_id", "y", "x", (F.col("_v") / below).alias(value))
 
 
 def chunk_grid(images: DataFrame, pixels: DataFrame, chunk: tuple[int, int], value: str, white: int = 255) -> DataFrame:
