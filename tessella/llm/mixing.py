@@ -12,6 +12,8 @@ from tessella.operators.ranking import global_rank
 WEIGHTS, PASSES = (5, 2, 1), 3
 #: Rows of a bucket, over which one window runs, and buckets of a block, over which the next one does.
 BUCKET_ROWS, BLOCK_BUCKETS = 2_000, 2_000
+#: The least virtual time after the budget.
+AFTER = 1.0 + 2.0**-52
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -86,27 +88,46 @@ def _taken(k: int) -> Column:
 
 
 def truncated(mixed: DataFrame, passes: int = PASSES) -> DataFrame:
-    """``mixed`` with upto_words: words of the whole stream when the row's first copy is complete or the budget is spent.
-
-    The stream holds every copy that the mix takes of any row, range-sorted by virtual finish time over
-    all sources; its running sum, in ranges of that order, reaches the budget with the last copy. Rows
-    of which nothing is taken have a null. Repeated rows are rows of their own; ties in time stand in
-    the order of source, doc_id and size. A column named upto_words is replaced.
+    """``mixed`` with taken as what the stream holds of each row at its budget, and upto_words.
+
+    The stream has a part for every copy whose service begins before virtual time 1, and another for
+    what a copy in service at that time has left, range-sorted by virtual finish time over all sources.
+    Its running sum, in ranges of that order, is cut at the budget, the whole words of all targets. A
+    source's parts stand in the order of its queue, so the words that the cut stream holds of a source
+    tell what it holds of each row. upto_words are the words of the whole stream when the row's first
+    copy is complete or the budget is spent, null if nothing is taken of the row. Repeated rows are
+    rows of their own; ties in time stand in the order of source, doc_id and size; an empty table gives
+    an empty one. Null sources are one source. A column named upto_words is replaced.
     """
     rows, back = covered(mixed.drop("upto_words"), "doc_id", "source", "mix_size", "source_size", "target", "taken", "finish")
-    k = F.explode(F.expr(f"sequence(0, greatest(0, least({passes - 1}, cast(ceil(taken / greatest(mix_size, 1)) as int) - 1)))"))
-    first = [c.alias(n) if n in ("doc_id", "source", "mix_size", "source_size", "target", "taken", "finish") else F.when(F.col("k") == 0, F.col(n)).alias(n) for c, n in zip(map(F.col, rows.columns), rows.columns, strict=True)]
-    copies = rows.withColumn("k", k).select(*first, "k")
-    words = F.greatest(F.lit(0), F.least(F.col("mix_size"), F.col("taken") - F.col("k") * F.col("mix_size")))
-    time = F.least(F.lit(1.0), F.col("finish") + F.col("k") * F.col("source_size") / F.col("target"))
-    copies = copies.withColumns({"words": words, "time": F.when(F.col("taken") > 0, time)})
+    # finish is a quotient of whole words below 2^50, so it gives them back exactly.
+    at = lambda k: F.round(F.col("finish") * F.col("target")).cast("long") - F.col("mix_size") + k * F.col("source_size")
+    begins = F.coalesce(at(F.col("k")), F.lit(0))  # words of the source's queue before the copy
+    held = F.greatest(F.lit(0), F.least(F.col("mix_size"), F.floor("target") - begins))
+    copies = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(passes - 1)))).filter((F.col("k") == 0) | (begins < F.floor("target")))
+    part = lambda words, late: F.struct(words.cast("long").alias("words"), F.lit(late).alias("late"))
+    left = F.col("mix_size") - F.col("held")
+    parts = F.array_compact(F.array(F.when((F.col("k") == 0) | (F.col("held") > 0), part(F.col("held"), False)), F.when((F.col("held") > 0) & (left > 0), part(left, True))))
+    done = F.col("finish") + F.col("k") * F.col("source_size") / F.col("target")
+    time = F.when(F.col("late"), F.greatest(done, F.lit(AFTER))).when(F.col("words") > 0, F.least(F.lit(1.0), done))
+    lead = (F.col("k") == 0) & ~F.col("late")
+    copies = copies.withColumn("held", held).withColumn("p", F.explode(parts)).withColumns({"words": F.col("p.words"), "late": F.col("p.late")}).withColumn("time", time).withColumn("lead", lead)
+    keys = ("doc_id", "source", "mix_size", "source_size", "target", "finish")
+    slim = [F.col(c) if c in keys else F.when(F.col("lead"), F.col(c)).alias(c) for c in rows.columns]
+    copies = copies.select(*slim, "k", "words", "time", "lead")
     order = [F.col("time").asc_nulls_last(), F.col("source").asc_nulls_last(), F.col("doc_id").asc_nulls_last(), F.col("mix_size"), F.col("k")]
     ranked = stored(copies.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "stream")
     sums = ranked.groupBy("part").agg(F.sum("words").alias("p_sum"))  # one row for each partition
     sums = sums.select("part", (F.sum("p_sum").over(Window.orderBy("part")) - F.col("p_sum")).alias("p_before"))
     own = F.sum("words").over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    done = ranked.withColumn("own", own).join(F.broadcast(sums), "part").filter("k = 0")
-    return done.select(*back, F.when(F.col("taken") > 0, F.col("own") + F.col("p_before")).alias("upto_words"))
+    budget = F.lit(ranked.select("source", "target").distinct().agg(F.sum(F.floor("target"))).first()[0] or 0)
+    stream = ranked.withColumn("own", own).join(F.broadcast(sums), "part").withColumn("upto", F.col("own") + F.col("p_before"))
+    inside = F.greatest(F.lit(0), F.least(F.col("words"), budget - F.col("upto") + F.col("words")))
+    of = stream.groupBy(F.col("source").alias("s_source")).agg(F.sum(inside).alias("s_words"))
+    first = stream.filter("lead").join(of, F.col("source").eqNullSafe(F.col("s_source")))
+    taken = sum((F.greatest(F.lit(0), F.least(F.col("mix_size"), F.col("s_words") - F.coalesce(at(k), F.lit(0)))) for k in range(passes)), F.lit(0)).cast("long")
+    first = first.withColumn("taken", taken).withColumn("upto_words", F.when(F.col("taken") > 0, F.least(F.col("upto"), budget)))
+    return first.select(*back, "upto_words")
 
 
 def served(mixed: DataFrame) -> DataFrame:

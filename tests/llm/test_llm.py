@@ -332,6 +332,24 @@ def test_neighbours_of_ids_with_several_vectors(spark):
     assert shared >= 0.95 * total
 
 
+def brute_stream(mixed, passes=3):
+    """Words of each document before the budget, from a plain list of all copies in the order of virtual finish time."""
+    parts, budget = [], 0
+    for src, rows in mixed.assign(s=mixed.source.fillna("~")).groupby("s"):
+        end, target = 0, rows.target.iloc[0]
+        budget += int(target)
+        for r in list(rows.sort_values(["finish", "mix_size"]).itertuples()) * passes:
+            begin, end = end, end + r.mix_size
+            for a, b in [(begin, min(end, int(target))), (max(begin, int(target)), end)]:
+                if b > a:
+                    parts.append((b / target, src, r.doc_id, b - a))
+    taken = dict.fromkeys(mixed.doc_id, 0)
+    for _, _, doc, words in sorted(parts):
+        taken[doc] += min(words, budget)
+        budget -= min(words, budget)
+    return taken
+
+
 def test_mixing(spark):
     assert rows(Q.op5_mixing(spark, SF).toPandas()) == rows(connect().execute(Q.ORACLE["op5_mixing"]).fetchdf())
     d = docs_frame(spark, [*sentences(3, 400), None, "", "x " * 20_000])
@@ -341,6 +359,8 @@ def test_mixing(spark):
     assert (got.taken <= 3 * got.mix_size).all() and len(got) == 403
     stream = served(mix(d)).groupBy("doc_id").count().toPandas()
     upto = truncated(mix(d)).toPandas()
+    by_id = lambda t: dict(zip(t.doc_id, t.taken))
+    assert by_id(upto) == by_id(got) == brute_stream(got)
     assert upto.upto_words.max() <= got.taken.sum() and (upto.upto_words.isna() == (upto.taken == 0)).all() and (upto.upto_words.fillna(1e18) >= upto[["taken", "mix_size"]].min(axis=1)).all()
     odd = mix(docs_frame(spark, ["a b", "a b", "c", None], [None, None, None, 4]).withColumnsRenamed({"score": "src", "label": "at", "bucket": "upto"}).withColumn("in1", F.lit(5)))
     assert truncated(odd).columns == odd.columns + ["upto_words"] and served(odd).count() >= 3 and odd.filter("in1 = 5 and at = 'x' and upto = 7").count() == 4
