@@ -37,9 +37,9 @@ def to_pixels(runs: DataFrame) -> DataFrame:
 
 
 def in_cells(runs: DataFrame, first: str | Column, last: str | Column) -> DataFrame:
-    """``runs`` once for each cell of CELL columns between first and last, with _c."""
+    """``runs`` once for each cell of CELL columns between first and last, with _c; never broadcast, as in `to_pixels`."""
     at = lambda c: F.floor((F.col(c) if isinstance(c, str) else c) / CELL)
-    return runs.withColumn("_c", F.explode(F.sequence(at(first), at(last))))
+    return runs.withColumn("_c", F.explode(F.sequence(at(first), at(last)))).hint("merge")
 
 
 def pixels_in_runs(pixels: DataFrame, runs: DataFrame, group: list[str]) -> DataFrame:
