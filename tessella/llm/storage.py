@@ -3,7 +3,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.storage import shared_dir, stored
+from tessella.storage import shared_dir
+from tessella.storage import written as stored
 
 __all__ = ["covered", "shared_dir", "stored"]
 

@@ -13,8 +13,9 @@ Box = tuple[str, str, str, str]
 
 
 def _cells(df: DataFrame, box: Box, cell: int, reach: float = 0) -> DataFrame:
+    """``df`` once for each cell its box touches; never broadcast, for Spark takes exploded rows to be as small as those they come from."""
     span = lambda a, b: F.explode(F.sequence(F.floor((F.col(a) - reach) / cell), F.floor((F.col(b) + reach) / cell)))
-    return df.withColumn("_cx", span(box[0], box[2])).withColumn("_cy", span(box[1], box[3]))
+    return df.withColumn("_cx", span(box[0], box[2])).withColumn("_cy", span(box[1], box[3])).hint("merge")
 
 
 def bucket_join(left: DataFrame, right: DataFrame, keys: list[str], a: Box, b: Box, cell: int, closed: bool = True, reach: float = 0) -> DataFrame:
@@ -55,7 +56,7 @@ def neighbours(objects: DataFrame, group: list[str], distance: int = 150) -> Dat
     cell = lambda d: d.withColumn("_x", F.floor(F.col("cx") / distance)).withColumn("_y", F.floor(F.col("cy") / distance))
     left = cell(objects.select(*group, F.col("obj_id").alias("a"), "cx", "cy"))
     around = F.expr("explode(flatten(transform(array(-1, 0, 1), i -> transform(array(-1, 0, 1), j -> struct(_x + i as nx, _y + j as ny)))))")
-    right = cell(objects.select(*group, F.col("obj_id").alias("b"), "cx", "cy")).withColumn("n", around).select(*group, "b", F.col("cx").alias("bx"), F.col("cy").alias("by"), F.col("n.nx").alias("_x"), F.col("n.ny").alias("_y"))
+    right = cell(objects.select(*group, F.col("obj_id").alias("b"), "cx", "cy")).withColumn("n", around).select(*group, "b", F.col("cx").alias("bx"), F.col("cy").alias("by"), F.col("n.nx").alias("_x"), F.col("n.ny").alias("_y")).hint("merge")
     d2 = (F.col("cx") - F.col("bx")) * (F.col("cx") - F.col("bx")) + (F.col("cy") - F.col("by")) * (F.col("cy") - F.col("by"))
     return left.join(right, [*group, "_x", "_y"]).filter((F.col("a") != F.col("b")) & (d2 <= distance * distance)).select(*group, "a", "b", d2.alias("d2"))
 
@@ -88,7 +89,7 @@ def _nearest(objects: DataFrame, records: DataFrame, group: list[str], cell: int
     left, out, side = stored(left, "unmatched"), left.select(*group, "obj_id", F.lit(None).cast(dict(records.dtypes)["rec_id"]).alias("rec_id")).limit(0), 2 * cell
     while left.limit(1).count():
         around = F.explode(F.array(*(F.struct((at("ox", side) + i).alias("cx"), (at("oy", side) + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-        spots = left.withColumn("c", around).select(*group, "obj_id", "ox", "oy", "c.*")
+        spots = left.withColumn("c", around).select(*group, "obj_id", "ox", "oy", "c.*").hint("merge")
         met = spots.join(places.withColumns({"cx": at("rx", side), "cy": at("ry", side)}), [*group, "cx", "cy"])
         gap = (F.col("ox") - F.col("rx")).cast("long") * (F.col("ox") - F.col("rx")) + (F.col("oy") - F.col("ry")).cast("long") * (F.col("oy") - F.col("ry"))
         best = met.groupBy(*group, "obj_id").agg(F.min(F.struct(gap.alias("d"), "rec_id")).alias("b"))
