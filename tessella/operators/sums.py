@@ -101,7 +101,7 @@ def _signed(boxes: DataFrame, table: DataFrame, corners: list[tuple[Column, Colu
     own = F.struct(*(F.col(c) for c in boxes.columns))
     each = F.explode(F.array(*(F.struct(y.cast("int").alias("y"), x.cast("int").alias("x"), F.lit(s).alias("s")) for y, x, s in corners)))
     c = boxes.select("img_id", own.alias("_box"), each.alias("c")).withColumns({"_y": F.col("c.y") - 1, "_x": F.col("c.x") - 1})
-    c = c.withColumns({"by": F.floor(F.col("_y") / BLOCK).cast("int"), "bx": F.floor(F.col("_x") / BLOCK).cast("int")}).withColumns({"_y": F.col("_y") - F.col("by") * BLOCK, "_x": F.col("_x") - F.col("bx") * BLOCK})
+    c = c.withColumns({"by": F.floor(F.col("_y") / BLOCK).cast("int"), "bx": F.floor(F.col("_x") / BLOCK).cast("int")}).withColumns({"_y": F.col("_y") - F.col("by") * BLOCK, "_x": F.col("_x") - F.col("bx") * BLOCK}).hint("merge")
     value = F.col("corner") + F.element_at("top", F.col("_x") + 1) + F.element_at("left", F.col("_y") + 1) + F.element_at("inner", F.col("_y") * BLOCK + F.col("_x") + 1)
     found = c.join(table, ["img_id", "by", "bx"], "left").select("_box", (F.col("c.s") * F.coalesce(value, F.lit(0).cast("long"))).alias("v"))
     return found.groupBy("_box").agg(F.sum("v").alias(name)).select("_box.*", name)
@@ -179,7 +179,7 @@ def search_places(places: DataFrame, table: DataFrame, margin: int, stride: int,
     # Pieces of one region of an image are searched together and share their blocks.
     key = ["img_id", "gy", "gx"]
     pieces = pieces.withColumns({"gy": F.floor(F.col("py") / REGION), "gx": F.floor(F.col("px") / REGION)})
-    asked = pieces.select(*key, "pads").withColumn("by", needed("ya", "yz")).withColumn("bx", needed("xa", "xz")).drop("pads").distinct()
+    asked = pieces.select(*key, "pads").withColumn("by", needed("ya", "yz")).withColumn("bx", needed("xa", "xz")).drop("pads").distinct().hint("merge")
     blocks = asked.join(table, ["img_id", "by", "bx"]).select(*(F.col(c).alias(c) for c in [*key, "by", "bx", "corner", "top", "left", "inner"]))
 
     def searched(pads: list[dict], held: Blocks) -> dict | None:
