@@ -27,11 +27,12 @@ def build_dataset(mask: DataFrame, images: DataFrame, min_pixels: int = 10, dist
     sums = stored(summed_area(sick, images), "sums")
 
     greedy = stored(P.greedy_groups(objects, images, sums, distance, expand=expand, margin=margin, **fit), "greedy").withColumn("phase", F.lit("greedy"))
-    ring = P.ring_placement(objects, images, sums, margin=margin, **fit).withColumn("status", F.lit("isolated"))
+    # Each search is read several times below.
+    ring = stored(P.ring_placement(objects, images, sums, margin=margin, **fit), "ring").withColumn("status", F.lit("isolated"))
     left = objects.join(ring, ["img_id", "obj_id"], "left_anti")
-    fitted = P.fit_tile(left, images, sums, expand=expand, margin=margin, **fit).withColumn("status", F.lit("fallback"))
+    fitted = stored(P.fit_tile(left, images, sums, expand=expand, margin=margin, **fit), "fitted").withColumn("status", F.lit("fallback"))
     left = left.join(fitted, ["img_id", "obj_id"], "left_anti")
-    forced = P.force_placement(left, images, sums, **fit)
+    forced = stored(P.force_placement(left, images, sums, **fit), "forced")
     centred = P.center_tile(left.join(forced, ["img_id", "obj_id"], "left_anti"), padding, min_tile)
     ind = stored(ring.unionByName(fitted).unionByName(forced.unionByName(centred).withColumn("status", F.lit("forced"))), "individual").withColumn("phase", F.lit("ind"))
 
