@@ -62,33 +62,83 @@ EDGE_ROWS = 1 << 20
 
 
 def _scan(x: np.ndarray, y: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(polygon, y, x0, x1) of the filled polygons whose vertices lie between the cuts."""
+    """(polygon, y, x0, x1) of the filled polygons whose vertices lie between the cuts, in no order.
+
+    Lines of all polygons are numbered, and crossings dealt to them by their numbers; only lines of more than two crossings are sorted, and only
+    those that hold several runs, or a vertex, are merged.
+    """
     size = np.diff(cut)
     of = np.repeat(np.arange(len(size)), size)
+    if not len(x):
+        return of, y, x, x
     follow = np.arange(len(x)) + 1
     follow[cut[1:][size > 0] - 1] = cut[:-1][size > 0]
     qx, qy = x[follow], y[follow]
     low, high = np.minimum(y, qy), np.maximum(y, qy)
-    edge = np.repeat(np.arange(len(x)), high - low)
-    row = low[edge] + np.arange(len(edge)) - np.repeat(np.cumsum(high - low) - (high - low), high - low)
-    cross = x[edge] + (row - y[edge]) * (qx[edge] - x[edge]) / (qy[edge] - y[edge])
-    order = np.lexsort((cross, row, of[edge]))
-    poly, row, cross = of[edge][order], row[order], cross[order]  # every row of a polygon has an even number of crossings
-    x0, x1 = np.ceil(cross[::2]).astype(np.int64), np.floor(cross[1::2]).astype(np.int64)
+    some, at = np.flatnonzero(size), cut[:-1][size > 0]
+    top, tall = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
+    top[some] = np.minimum.reduceat(y, at)
+    tall[some] = np.maximum.reduceat(y, at) - top[some] + 1
+    base = np.cumsum(tall) - tall - top  # a polygon's row y is line base + y
+    rows = high - low
+    edge = np.repeat(np.arange(len(x)), rows)
+    down = np.arange(len(edge)) - np.repeat(np.cumsum(rows) - rows, rows) + (low - y)[edge]
+    cross = x[edge] + down * (qx - x)[edge] / (qy - y)[edge]
+    line = down + (y + base[of])[edge]
+    n = np.bincount(line, minlength=int(tall.sum()))
+    one, two = np.empty(len(n)), np.empty(len(n))
+    two[line], one[line[::-1]] = cross, cross[::-1]
+    if len(n) and n.max() > 2:  # every line has an even number of crossings
+        more = np.flatnonzero(n[line] > 2)
+        more = more[np.lexsort((cross[more], line[more]))]
+        where, c = line[more], cross[more]
+    else:
+        where, c = np.zeros(0, np.int64), np.zeros(0)
+    pair = np.flatnonzero(n == 2)
+    x0 = np.concatenate([np.ceil(np.minimum(one[pair], two[pair])), np.ceil(c[::2])]).astype(np.int64)
+    x1 = np.concatenate([np.floor(np.maximum(one[pair], two[pair])), np.floor(c[1::2])]).astype(np.int64)
+    line = np.concatenate([pair, where[::2]])
     full, level = x0 <= x1, y == qy
-    parts = [(poly[::2][full], row[::2][full], x0[full], x1[full]), (of[level], y[level], np.minimum(x, qx)[level], np.maximum(x, qx)[level]), (of, y, x, x)]
-    poly, row, x0, x1 = (np.concatenate(c) for c in zip(*parts, strict=True))
-    if not len(poly):
-        return poly, row, x0, x1
-    order = np.lexsort((x1, x0, row, poly))
-    poly, row, x0, x1 = poly[order], row[order], x0[order], x1[order]
-    line = np.cumsum(np.concatenate([[False], (poly[1:] != poly[:-1]) | (row[1:] != row[:-1])]))
+    own = base[of] + y
+    busy = n > 2
+    busy[own] = True
+    alone = full & ~busy[line]
+    full &= busy[line]
+    parts = [(line[full], x0[full], x1[full]), (own[level], np.minimum(x, qx)[level], np.maximum(x, qx)[level]), (own, x, x)]
+    merged = _merged(*(np.concatenate(c) for c in zip(*parts, strict=True)))
+    line, x0, x1 = (np.concatenate(c) for c in zip((line[alone], x0[alone], x1[alone]), merged, strict=True))
+    poly = np.repeat(np.arange(len(size)), tall)[line]
+    return poly, line - base[poly], x0, x1
+
+
+def _merged(line: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> tuple[np.ndarray, ...]:
+    """One run for those of a line that overlap or touch."""
+    order = np.lexsort((x1, x0, line))
+    line, x0, x1 = line[order], x0[order], x1[order]
     base = x0.min()
     wide = int(x1.max() - base) + 3
-    reached = np.maximum.accumulate(x1 - base + line * wide) - line * wide + base
-    new = np.concatenate([[True], (line[1:] != line[:-1]) | (x0[1:] > reached[:-1] + 1)])
-    first = np.flatnonzero(new)
-    return poly[first], row[first], x0[first], np.maximum.reduceat(x1, first)
+    nth = np.cumsum(np.concatenate([[False], line[1:] != line[:-1]]))
+    reached = np.maximum.accumulate(x1 - base + nth * wide) - nth * wide + base
+    first = np.flatnonzero(np.concatenate([[True], (nth[1:] != nth[:-1]) | (x0[1:] > reached[:-1] + 1)]))
+    return line[first], x0[first], np.maximum.reduceat(x1, first)
+
+
+def _scanned(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+    """`_scan` of a batch with points _x, _y, in pieces of about EDGE_ROWS; polygons are numbered by their row."""
+    x, y = (batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("_x", "_y"))
+    cut = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(batch.column("_x")), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    tall, some = np.zeros(len(cut) - 1, np.int64), np.flatnonzero(np.diff(cut))
+    if len(some):
+        tall[some] = (np.maximum.reduceat(y, cut[some]) - np.minimum.reduceat(y, cut[some])) * 2 + 2
+    at = np.cumsum(tall) // EDGE_ROWS
+    for piece in np.split(np.arange(len(tall)), np.flatnonzero(np.diff(at)) + 1):
+        a, b = (piece[0], piece[-1] + 1) if len(piece) else (0, 0)
+        poly, row, x0, x1 = _scan(x[cut[a] : cut[b]], y[cut[a] : cut[b]], cut[a : b + 1] - cut[a])
+        yield poly + a, row, x0, x1
+
+
+def _with_points(polys: DataFrame, key: list[str]) -> DataFrame:
+    return polys.select(*key, F.transform("points", lambda p: p["x"]).alias("_x"), F.transform("points", lambda p: p["y"]).alias("_y"))
 
 
 def rasterize(polys: DataFrame, key: list[str]) -> DataFrame:
@@ -99,20 +149,28 @@ def rasterize(polys: DataFrame, key: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [batch.column(c) for c in key]
-            x, y = (batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("_x", "_y"))
-            cut = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(batch.column("_x")), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
-            tall = np.array([np.ptp(y[a:b]) * 2 + 2 if b > a else 0 for a, b in zip(cut[:-1], cut[1:], strict=True)])
-            at = np.cumsum(tall) // EDGE_ROWS
-            for piece in np.split(np.arange(len(tall)), np.flatnonzero(np.diff(at)) + 1):
-                a, b = (piece[0], piece[-1] + 1) if len(piece) else (0, 0)
-                poly, row, x0, x1 = _scan(x[cut[a] : cut[b]], y[cut[a] : cut[b]], cut[a : b + 1] - cut[a])
-                own = pa.array(poly + a)
-                yield pa.RecordBatch.from_arrays([*(k.take(own) for k in keys), *(pa.array(v.astype(np.int32)) for v in (row, x0, x1))], names=[*key, "y", "x0", "x1"])
+            for poly, row, x0, x1 in _scanned(batch):
+                own = pa.array(poly)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(own) for k in key), *(pa.array(v.astype(np.int32)) for v in (row, x0, x1))], names=[*key, "y", "x0", "x1"])
 
     kinds = dict(polys.dtypes)
     fields = ", ".join(f"`{k}` {kinds[k]}" for k in key) + ", y int, x0 int, x1 int"
-    return polys.select(*key, F.transform("points", lambda p: p["x"]).alias("_x"), F.transform("points", lambda p: p["y"]).alias("_y")).mapInArrow(run, fields)
+    return _with_points(polys, key).mapInArrow(run, fields)
+
+
+def filled_area(polys: DataFrame, key: list[str]) -> DataFrame:
+    """R5. (key..., area): the points that `rasterize` fills of each polygon that has any, added up where the runs arise, so that only one row for each polygon leaves Python."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            area = np.zeros(batch.num_rows, np.int64)
+            for poly, _, x0, x1 in _scanned(batch):
+                np.add.at(area, poly, x1 - x0 + 1)
+            own = pa.array(np.flatnonzero(area))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(own) for k in key), pa.array(area).take(own)], names=[*key, "area"])
+
+    kinds = dict(polys.dtypes)
+    return _with_points(polys, key).mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in key) + ", area long")
 
 
 def paint_priority(runs: DataFrame, group: list[str] | None = None) -> DataFrame:
