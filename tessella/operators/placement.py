@@ -16,7 +16,7 @@ from tessella.operators.ranking import hash_key
 from tessella.operators.spatial import neighbours
 from tessella.operators.sums import rect_sum, ring_sum, search_places
 from tessella.operators.tiling import extract_padded
-from tessella.storage import stored
+from tessella.storage import spread, stored
 
 #: Defaults of all placements.
 PADDING, MIN_PADDING, PADDING_STEP, MAX_EXPAND, EXPAND_STEP, MARGIN, MIN_TILE = 30, 10, 5, 200, 10, 3, 60
@@ -76,8 +76,8 @@ def fit_tile(groups: DataFrame, images: DataFrame, table: DataFrame, padding: in
 
 
 def ranges(objects: DataFrame, images: DataFrame, padding: int, min_padding: int, step: int, margin: int, min_tile: int) -> DataFrame:
-    """(img_id, obj_id, pads): for each padding the size of its square, the first and last place (ya to yz, xa to xz) at which it holds the object, ``margin`` from its edges, and the centred place (yc, xc)."""
-    o = objects.select("img_id", "obj_id", "cy", "cx", *(F.col(k).alias(f"b{k}") for k in ("y1", "x1", "y2", "x2"))).join(images, "img_id")
+    """(img_id, obj_id, pads): for each padding the size of its square, the first and last place (ya to yz, xa to xz) at which it holds the object, ``margin`` from its edges, and the centred place (yc, xc). Paddings without a place are left out."""
+    o = spread(objects.select("img_id", "obj_id", "cy", "cx", *(F.col(k).alias(f"b{k}") for k in ("y1", "x1", "y2", "x2"))).join(images, "img_id"), "img_id", "obj_id")
 
     def one(pad: Column) -> Column:
         size = _side(("by1", "bx1", "by2", "bx2"), pad, min_tile).cast("int")
@@ -88,7 +88,7 @@ def ranges(objects: DataFrame, images: DataFrame, padding: int, min_padding: int
         return F.struct(*out)
 
     fits = F.filter(F.transform(_pads(padding, min_padding, step), one), lambda p: (p["size"] <= F.col("height")) & (p["size"] <= F.col("width")) & (p["ya"] <= p["yz"]) & (p["xa"] <= p["xz"]))
-    return o.select("img_id", "obj_id", fits.alias("pads")).filter("size(pads) > 0")
+    return o.select("img_id", "obj_id", fits.alias("pads"))
 
 
 def _first(p: dict, ys: np.ndarray, xs: np.ndarray, keep: np.ndarray, *rank: np.ndarray) -> tuple | None:
@@ -126,7 +126,7 @@ def force_placement(objects: DataFrame, images: DataFrame, table: DataFrame, pad
 
 def avoid_pathology(tiles: DataFrame, images: DataFrame, table: DataFrame, step: int = 10) -> DataFrame:
     """R30. Tiles (img_id, obj_id, y1, x1, size) moved to the nearest place without abnormal pixels on a lattice of ``step`` within one tile's size; those without one are left out. shifted tells."""
-    d = tiles.join(images, "img_id").filter("size <= height and size <= width")
+    d = spread(tiles.join(images, "img_id").filter("size <= height and size <= width"), "img_id", "obj_id")
     steps = lambda room: F.least(F.expr(f"size div {step}"), F.floor(room / step))
     place = lambda a, most: ((F.col(a) - steps(F.col(a)) * step).cast("int"), (F.col(a) + steps(F.col(most) - F.col("size") - F.col(a)) * step).cast("int"))
     (ya, yz), (xa, xz) = place("y1", "height"), place("x1", "width")

@@ -7,10 +7,11 @@ rows; inner, those inside it. Four look-ups give any rectangle, and no row is la
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -129,20 +130,40 @@ def ring_sum(tiles: DataFrame, table: DataFrame, margin: int) -> DataFrame:
 Blocks = dict[tuple[int, int], tuple[int, np.ndarray, np.ndarray, np.ndarray]]
 
 
-def _matrix(blocks: Blocks, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
-    """The table before each of the rows and columns, which ascend."""
-    out = np.zeros((len(rows), len(cols)), np.int64)
-    cut = lambda at: [(int(k), np.flatnonzero((at > 0) & ((at - 1) // BLOCK == k))) for k in np.unique((at[at > 0] - 1) // BLOCK)]
-    across = cut(cols)
-    for by, r in cut(rows):
-        y = (rows[r] - 1) % BLOCK
-        for bx, c in across:
-            corner, top, left, inner = blocks[by, bx]
-            x = (cols[c] - 1) % BLOCK
-            out[r[0] : r[-1] + 1, c[0] : c[-1] + 1] = corner + top[x][None, :] + left[y][:, None] + inner[y[:, None], x[None, :]]
+def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Closed spans of whole numbers as few that ascend and do not touch."""
+    out: list[tuple[int, int]] = []
+    for a, z in sorted(spans):
+        if out and a <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(z, out[-1][1]))
+        else:
+            out.append((a, z))
     return out
 
 
+def _cut(spans: list[tuple[int, int]]) -> tuple[list[tuple[int, int, int, int]], list[int]]:
+    """(block, its first and last line, where that is) for the lines before which the spans ask, and where each span begins; line 0 has nothing before it."""
+    out, starts, n = [], [], 0
+    for a, z in spans:
+        starts.append(n)
+        for k in range((max(a, 1) - 1) // BLOCK, (z - 1) // BLOCK + 1 if z > 0 else 0):
+            first, last = max(a, 1, k * BLOCK + 1), min(z, (k + 1) * BLOCK)
+            out.append((k, first - 1 - k * BLOCK, last - 1 - k * BLOCK, n + first - a))
+        n += z - a + 1
+    return out, [*starts, n]
+
+
+def _matrix(blocks: Blocks, rows: list[tuple[int, int]], cols: list[tuple[int, int]]) -> tuple[np.ndarray, list[int], list[int]]:
+    """The table before each row and column of the spans, and where each span begins in it."""
+    (down, tops), (across, lefts) = _cut(rows), _cut(cols)
+    out = np.zeros((tops[-1], lefts[-1]), np.int64)
+    for by, y0, y1, r in down:
+        for bx, x0, x1, c in across:
+            corner, top, left, inner = blocks[by, bx]
+            out[r : r + y1 - y0 + 1, c : c + x1 - x0 + 1] = corner + top[None, x0 : x1 + 1] + left[y0 : y1 + 1, None] + inner[y0 : y1 + 1, x0 : x1 + 1]
+    return out, tops, lefts
+
+
 Best = Callable[[dict, np.ndarray, np.ndarray, np.ndarray], "tuple | None"]
 
 
@@ -183,13 +204,21 @@ def search_places(places: DataFrame, table: DataFrame, margin: int, stride: int,
     blocks = asked.join(table, ["img_id", "by", "bx"]).select(*(F.col(c).alias(c) for c in [*key, "by", "bx", "corner", "top", "left", "inner"]))
 
     def searched(pads: list[dict], held: Blocks) -> dict | None:
-        lines = lambda a, z: np.unique(np.concatenate([np.arange(p[a] + d, p[z] + e + 1) for p in pads for d, e in ((0, margin), (p["size"] - margin, p["size"]))]))
-        rows, cols = lines("ya", "yz"), lines("xa", "xz")
-        m, top = _matrix(held, rows, cols), None
+        spans = lambda a, z: _joined([(p[a] + d, p[z] + e) for p in pads for d, e in ((0, margin), (p["size"] - margin, p["size"]))])
+        rows, cols = spans("ya", "yz"), spans("xa", "xz")
+        (m, tops, lefts), top = _matrix(held, rows, cols), None
+
+        def begins(lines: list[tuple[int, int]], starts: list[int], v: int) -> int:
+            k = bisect_right(lines, (v, math.inf)) - 1
+            return starts[k] + v - lines[k][0]
+
         for p in pads:
             ys, xs, size = np.arange(p["ya"], p["yz"] + 1, stride), np.arange(p["xa"], p["xz"] + 1, stride), p["size"]
-            look = lambda dy, dx: m[np.searchsorted(rows, ys + dy)[:, None], np.searchsorted(cols, xs + dx)[None, :]]  # noqa: B023, E731
-            rect = lambda a, b: look(b, b) - look(a, b) - look(b, a) + look(a, a)
+            tall, wide = p["yz"] - p["ya"] + 1, p["xz"] - p["xa"] + 1
+            # The lines of a square's places lie in one span, so each corner's sums are a slice.
+            y, x = ({d: begins(lines, starts, p[k] + d) for d in (0, margin, size - margin, size)} for lines, starts, k in ((rows, tops, "ya"), (cols, lefts, "xa")))
+            look = lambda dy, dx: m[y[dy] : y[dy] + tall : stride, x[dx] : x[dx] + wide : stride]  # noqa: B023, E731
+            rect = lambda a, b: look(b, b) - look(a, b) - look(b, a) + look(a, a)  # noqa: B023, E731
             sums = rect(0, size)
             if margin > 0 and size > 2 * margin:
                 sums = sums - rect(margin, size - margin)
@@ -198,12 +227,29 @@ def search_places(places: DataFrame, table: DataFrame, margin: int, stride: int,
                 top = one
         return None if top is None else dict(zip(fields, map(int, top), strict=True))
 
-    def search(own: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
-        held = {(b.by, b.bx): (b.corner, np.asarray(b.top), np.asarray(b.left), np.asarray(b.inner, np.int64).reshape(BLOCK, BLOCK)) for b in near.itertuples(index=False)}
-        found = [searched([p if isinstance(p, dict) else p.asDict() for p in pads], held) for pads in own["pads"]]
-        keep = [f is not None for f in found]
-        return pd.DataFrame({"img_id": own["img_id"][keep], "obj_id": own["obj_id"][keep], "found": pd.Series([f for f in found if f is not None], dtype=object, index=own.index[keep])})
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of a region come together, its blocks before its pieces; only its blocks are held."""
+        held, last = {}, None
+        for batch in batches:
+            piece = batch.column("piece").to_pylist()
+            pads, regions = batch.column("pads").to_pylist(), zip(*(batch.column(k).to_pylist() for k in key), strict=True)
+            by, bx, corner = (batch.column(k).drop_null().to_pylist() for k in ("by", "bx", "corner"))
+            top, left, inner = (np.asarray(batch.column(k).flatten()).reshape(-1, n) for k, n in (("top", BLOCK), ("left", BLOCK), ("inner", BLOCK**2)))
+            kept, found, k = [], [], 0
+            for row, region in enumerate(regions):
+                if region != last:
+                    held, last = {}, region
+                if not piece[row]:
+                    held[by[k], bx[k]] = (corner[k], top[k], left[k], inner[k].reshape(BLOCK, BLOCK))
+                    k += 1
+                elif (one := searched(pads[row], held)) is not None:
+                    kept.append(row)
+                    found.append(one)
+            own = pa.array(kept, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("img_id").take(own), batch.column("obj_id").take(own), pa.array(found, struct)], names=["img_id", "obj_id", "found"])
 
     fields = [f.split(":")[0] for f in order[len("struct<") : -1].split(",")]
-    out = spread(pieces.select(*key, "obj_id", "pads"), *key).groupBy(*key).cogroup(spread(blocks, *key).groupBy(*key)).applyInPandas(search, f"img_id {kinds['img_id']}, obj_id {kinds['obj_id']}, found {order}")
+    struct = pa.struct([(f.split(":")[0], pa.int64() if f.endswith(":long") else pa.int32()) for f in order[len("struct<") : -1].split(",")])
+    rows = blocks.withColumn("piece", F.lit(False)).unionByName(pieces.select(*key, "obj_id", "pads", F.lit(True).alias("piece")), allowMissingColumns=True)
+    out = spread(rows, *key).sortWithinPartitions(*key, "piece").mapInArrow(search, f"img_id {kinds['img_id']}, obj_id {kinds['obj_id']}, found {order}")
     return out.groupBy("img_id", "obj_id").agg(F.min("found").alias("found"))
