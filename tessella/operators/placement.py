@@ -233,6 +233,4 @@ def extraction_coverage(records: DataFrame, covered: DataFrame) -> DataFrame:
 
 def padded_tile(tiles: DataFrame, pixels: DataFrame, side: int) -> DataFrame:
     """R28 for image and mask together: white image, background mask beyond the frame."""
-    image = extract_padded(tiles, pixels, side, "value", 255)
-    mask = extract_padded(tiles, pixels, side, "cls", 0)
-    return image.join(mask, ["img_id", "tile_id", "ty", "tx"])
+    return extract_padded(tiles, pixels, side, {"value": 255, "cls": 0})

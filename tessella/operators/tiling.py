@@ -148,7 +148,7 @@ def tta_average(preds: DataFrame, side: int, values: list[str]) -> DataFrame:
     return preds.groupBy("tile_id", y.cast("int").alias("_y"), x.cast("int").alias("_x")).agg(*(F.avg(v).alias(v) for v in values)).withColumnsRenamed({"_y": "y", "_x": "x"})
 
 
-def extract_padded(tiles: DataFrame, pixels: DataFrame, side: int, value: str, fill: int) -> DataFrame:
-    """R28. (img_id, tile_id, ty, tx, value): pixels of square tiles (y1, x1) that may leave the image, where ``fill`` stands."""
+def extract_padded(tiles: DataFrame, pixels: DataFrame, side: int, fill: dict[str, int]) -> DataFrame:
+    """R28. (img_id, tile_id, ty, tx, values...): pixels of square tiles (y1, x1) that may leave the image, where what ``fill`` has for each value stands. All values come by one join."""
     p = _square(tiles, side).withColumn("y", F.col("y1") + F.col("ty")).withColumn("x", F.col("x1") + F.col("tx"))
-    return p.join(pixels.select("img_id", "y", "x", value), ["img_id", "y", "x"], "left").select("img_id", "tile_id", "ty", "tx", F.coalesce(value, F.lit(fill)).alias(value))
+    return p.join(pixels.select("img_id", "y", "x", *fill), ["img_id", "y", "x"], "left").select("img_id", "tile_id", "ty", "tx", *(F.coalesce(v, F.lit(n)).alias(v) for v, n in fill.items()))
