@@ -22,6 +22,8 @@ from tessella.storage import spread, stored
 BLOCK = 32
 #: Places of a square, a side, that one search tries.
 PLACES = 128
+#: Blocks that are painted at once.
+PAINTED = 512
 #: Side of the regions whose searches share their blocks.
 REGION = 512
 
@@ -36,7 +38,7 @@ def _rows(column: pa.Array) -> np.ndarray:
 
 def _paint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums inside each block, of the pieces of runs in it; bottom and right: its last row and column."""
-    for batch in batches:
+    for batch in (whole.slice(a, PAINTED) for whole in batches for a in range(0, whole.num_rows, PAINTED)):
         n, pieces = batch.num_rows, batch.column("pieces")
         on = np.zeros((n, BLOCK, BLOCK + 1), np.int32)
         of = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(pieces), 0).to_numpy(zero_copy_only=False))
