@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,40 +136,69 @@ def overlay_contours(tiles: DataFrame, rois: DataFrame, mode: str = "corner", ce
     return pairs
 
 
-def inside_polygon(points: Column, x: Column, y: Column) -> Column:
-    """Even-odd rule on a polygon's edges; the last joins the first."""
-    crosses = lambda e: ((e["0"]["y"] > y) != (e["1"]["y"] > y)) & (x < (e["1"]["x"] - e["0"]["x"]) * (y - e["0"]["y"]) / (e["1"]["y"] - e["0"]["y"]) + e["0"]["x"])
-    pairs = F.transform(F.sequence(F.lit(1), F.size(points)), lambda k: F.struct(F.element_at(points, k).alias("0"), F.element_at(points, F.when(k == F.size(points), 1).otherwise(k + 1)).alias("1")))
-    return F.aggregate(pairs, F.lit(False), lambda a, e: a != F.coalesce(crosses(e), F.lit(False)))
+#: Vertices that are compared with their points at once.
+VERTICES = 1 << 18
+
 
+def _against(x: np.ndarray, y: np.ndarray, size: np.ndarray, px: np.ndarray, py: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For the k-th polygon, of size[k] vertices, and the k-th point: does it hold the point by the even-odd rule, and the squared distance to its nearest edge. The last vertex joins the first."""
+    inside, near = np.zeros(len(size), bool), np.full(len(size), np.inf)
+    if not len(x):
+        return inside, near
+    some, first = np.flatnonzero(size), (np.cumsum(size) - size)[size > 0]
+    follow = np.arange(len(x)) + 1
+    follow[first + size[some] - 1] = first
+    of = np.repeat(np.arange(len(size)), size)
+    dx, dy, ox, oy = x[follow] - x, y[follow] - y, px[of] - x, py[of] - y
+    with np.errstate(divide="ignore", invalid="ignore"):
+        crosses = ((oy < 0) != (oy < dy)) & (px[of] < dx * oy / dy + x)
+        length = dx * dx + dy * dy
+        t = np.where(length == 0, 0.0, np.clip((ox * dx + oy * dy) / length, 0.0, 1.0))
+    inside[some] = np.add.reduceat(crosses.astype(np.int64), first) % 2 == 1
+    near[some] = np.fmin.reduceat((ox - t * dx) ** 2 + (oy - t * dy) ** 2, first)
+    return inside, near
 
-def edge_distance2(points: Column, x: Column, y: Column) -> Column:
-    """Squared distance of (x, y) to the nearest edge."""
-    edges = F.transform(F.sequence(F.lit(1), F.size(points)), lambda k: F.struct(F.element_at(points, k).alias("a"), F.element_at(points, F.when(k == F.size(points), 1).otherwise(k + 1)).alias("b")))
 
-    def d2(e: Column) -> Column:
-        ax, ay, bx, by = (v.cast("double") for v in (e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"]))
-        dx, dy = bx - ax, by - ay
-        size = dx * dx + dy * dy
-        t = F.when(size == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - ax) * dx + (y - ay) * dy) / F.when(size == 0, 1.0).otherwise(size))))
-        return (x - ax - t * dx) * (x - ax - t * dx) + (y - ay - t * dy) * (y - ay - t * dy)
+def _tested(pairs: DataFrame, columns: list[str], test: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """``columns`` of the pairs (px, py, _x, _y, ...) whose polygon, given by its vertices' _x and _y, passes the test (inside, squared distance).
+
+    Batches of pairs are tested in Arrow, VERTICES at a time.
+    """
 
-    return F.array_min(F.transform(edges, d2))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(float) for c in ("_x", "_y"))
+            px, py = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("px", "py"))
+            size = pc.fill_null(pc.list_value_length(batch.column("_x")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            cut = np.concatenate([[0], np.cumsum(size)])
+            ends = [0, *(np.flatnonzero(np.diff(cut[1:] // VERTICES)) + 1), len(size)]
+            for a, b in zip(ends, ends[1:]):
+                part = slice(cut[a], cut[b])
+                keep = test(*_against(x[part], y[part], size[a:b], px[a:b], py[a:b]))
+                yield batch.select(columns).slice(a, b - a).filter(pa.array(keep))
+
+    return pairs.mapInArrow(run, pairs.select(*columns).schema)
 
 
 def point_in_polygon(points: DataFrame, polys: DataFrame, group: list[str], cell: int = 256) -> DataFrame:
     """J12. Rows of ``points(group..., px, py)`` with each polygon ``(xmin..ymax, points)`` that strictly holds them."""
     pairs = bucket_join(points, polys, group, ("px", "py", "px", "py"), ANN, cell)
-    return pairs.filter(inside_polygon(F.col("points"), F.col("px"), F.col("py")) & (edge_distance2(F.col("points"), F.col("px"), F.col("py")) > 0))
+    known = pairs.filter("points is not null").withColumns({"_x": F.col("points.x"), "_y": F.col("points.y")})
+    return _tested(known, pairs.columns, lambda inside, d2: inside & (d2 > 0))
 
 
 def hit_test(points: DataFrame, ann: DataFrame, rectangle: Column, edge: int = 5, slack: int = 4, cell: int = 512) -> DataFrame:
-    """J13. (slide_id, point_id, ann_idx): the topmost record at each point: in a polygon or within ``edge`` of its outline, or in a rectangle widened by ``slack``."""
-    pairs = bucket_join(points, ann, ["slide_id"], ("px", "py", "px", "py"), ANN, cell, reach=max(edge, slack))
-    x, y = F.col("px"), F.col("py")
-    in_rect = (x >= F.col("xmin") - slack) & (x <= F.col("xmax") + slack) & (y >= F.col("ymin") - slack) & (y <= F.col("ymax") + slack)
-    in_poly = inside_polygon(F.col("points"), x, y) | (edge_distance2(F.col("points"), x, y) <= edge * edge)
-    return pairs.filter(F.when(rectangle, in_rect).otherwise(in_poly)).groupBy("slide_id", "point_id").agg(F.max("ann_idx").alias("ann_idx"))
+    """J13. (slide_id, point_id, ann_idx): the topmost record at each point: in a polygon or within ``edge`` of its outline, or in a rectangle widened by ``slack``.
+
+    Rectangles meet the points apart from polygons, in wider cells and without vertices, as their box decides.
+    """
+    at: Box = ("px", "py", "px", "py")
+    flat, p = F.coalesce(rectangle, F.lit(False)), points.select("slide_id", "point_id", "px", "py")
+    rects = bucket_join(p, ann.filter(flat).select("slide_id", "ann_idx", *ANN), ["slide_id"], at, ANN, 2 * cell, reach=slack)
+    polys = ann.filter(~flat & F.col("points").isNotNull()).select("slide_id", "ann_idx", *ANN, F.col("points.x").alias("_x"), F.col("points.y").alias("_y"))
+    near = bucket_join(p, polys, ["slide_id"], at, ANN, cell, reach=edge).select("slide_id", "point_id", "ann_idx", "px", "py", "_x", "_y")
+    hits = _tested(near, ["slide_id", "point_id", "ann_idx"], lambda inside, d2: inside | (d2 <= edge * edge)).unionByName(rects.select("slide_id", "point_id", "ann_idx"))
+    return hits.groupBy("slide_id", "point_id").agg(F.max("ann_idx").alias("ann_idx"))
 
 
 def intruders(tiles: DataFrame, objects: DataFrame, group: list[str], cell: int = 256) -> DataFrame:

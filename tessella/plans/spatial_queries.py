@@ -10,6 +10,7 @@ from tessella.operators import annotations as A
 from tessella.operators import spatial as S
 from tessella.plans.fixtures import Tables
 from tessella.plans.registry import met, query
+from tessella.storage import stored
 
 _POLY = "NOT contains(lower(label), 'rect')"
 _RECTS = ", rects AS (SELECT slide_id, ann_idx AS rect_idx, xmin AS rx0, ymin AS ry0, xmax AS rx1, ymax AS ry1 FROM fx_annotations WHERE contains(lower(label), 'rect')), polys AS (SELECT * FROM fx_annotations WHERE NOT contains(lower(label), 'rect')) "
@@ -110,20 +111,22 @@ _EVEN = "sum(CASE WHEN (p.y > py) <> (q.y > py) AND px < (q.x - p.x) * (py - p.y
 _SEG = "min((px-p.x-tt*(q.x-p.x))**2 + (py-p.y-tt*(q.y-p.y))**2)"
 _TT = "greatest(0, least(1, ((px-p.x)*(q.x-p.x) + (py-p.y)*(q.y-p.y)) / nullif(((q.x-p.x)**2 + (q.y-p.y)**2), 0)))"
 
-def _centres(t: Tables) -> DataFrame:
-    return t.annotations().select("slide_id", F.col("ann_idx").alias("point_id"), (F.col("xmin") + 11).alias("px"), (F.col("ymin") + 7).alias("py"))
+def _centres(ann: DataFrame) -> DataFrame:
+    return ann.select("slide_id", F.col("ann_idx").alias("point_id"), (F.col("xmin") + 11).alias("px"), (F.col("ymin") + 7).alias("py"))
 
 _POINTS = ", pts AS (SELECT slide_id, ann_idx AS point_id, xmin + 11 AS px, ymin + 7 AS py FROM fx_regions) "
 
 @query("j12_point_in_polygon", "fx_regions", _EDGES + _POINTS + f", c AS (SELECT slide_id, point_id, ann_idx, px, py, p, q, {_TT} AS tt FROM pts JOIN e USING (slide_id) WHERE NOT contains(label, 'rect') AND px BETWEEN xmin AND xmax AND py BETWEEN ymin AND ymax) SELECT slide_id, point_id, ann_idx FROM c GROUP BY 1, 2, 3 HAVING {_EVEN} AND {_SEG} > 0")
 def _(t: Tables) -> DataFrame:
-    return S.point_in_polygon(_centres(t), _sides(t)[1], ["slide_id"]).select("slide_id", "point_id", "ann_idx")
+    a = stored(t.annotations(), "annotations")
+    return S.point_in_polygon(_centres(a), A.polygons(a), ["slide_id"]).select("slide_id", "point_id", "ann_idx")
 
 @query("j13_hit_test", "fx_regions", _EDGES + _POINTS + f""", c AS (SELECT slide_id, point_id, ann_idx, label, xmin, ymin, xmax, ymax, px, py, p, q, {_TT} AS tt FROM pts JOIN e USING (slide_id) WHERE px BETWEEN xmin - 5 AND xmax + 5 AND py BETWEEN ymin - 5 AND ymax + 5),
  h AS (SELECT slide_id, point_id, ann_idx, any_value(contains(label, 'rect')) AS is_rect, any_value(px BETWEEN xmin - 4 AND xmax + 4 AND py BETWEEN ymin - 4 AND ymax + 4) AS in_rect, {_EVEN} OR {_SEG} <= 25 AS in_poly FROM c GROUP BY 1, 2, 3)
 SELECT slide_id, point_id, max(ann_idx) AS ann_idx FROM h WHERE CASE WHEN is_rect THEN in_rect ELSE in_poly END GROUP BY 1, 2""")
 def _(t: Tables) -> DataFrame:
-    return S.hit_test(_centres(t), t.annotations(), is_rect(F.col("label")))
+    a = stored(t.annotations(), "annotations")
+    return S.hit_test(_centres(a), a, is_rect(F.col("label")))
 
 _J14, _J14_ON = met("o", _wide(30), "o", _BOX)
 
