@@ -134,12 +134,21 @@ def blend_overlaps(preds: DataFrame, images: DataFrame, window: int, subdivision
 
 
 def chunk_grid(images: DataFrame, pixels: DataFrame, chunk: tuple[int, int], value: str, white: int = 255) -> DataFrame:
-    """R4. (img_id, chunk_idx, ty, tx, value): chunks of (rows, columns) in row order; where the image doesn't divide, white fills up."""
+    """R4. (img_id, chunk_idx, ty, tx, value): chunks of (rows, columns) in row order; where the image doesn't divide, white fills up.
+
+    A chunk's rows meet the pixels as arrays, one for each; the places that a row lacks become white in it.
+    """
     ch, cw = chunk
     t = images.withColumn("rows", F.ceil(F.col("height") / ch).cast("int")).withColumn("cols", F.ceil(F.col("width") / cw).cast("int")).withColumn("chunk_idx", F.explode(F.expr("sequence(0, rows * cols - 1)")))
-    p = t.withColumn("ty", F.explode(F.sequence(F.lit(0), F.lit(ch - 1)))).withColumn("tx", F.explode(F.sequence(F.lit(0), F.lit(cw - 1)))).hint("merge")
-    p = p.withColumn("y", (F.floor(F.col("chunk_idx") / F.col("cols")) * ch + F.col("ty")).cast("int")).withColumn("x", (F.col("chunk_idx") % F.col("cols") * cw + F.col("tx")).cast("int"))
-    return p.join(pixels.select("img_id", "y", "x", value), ["img_id", "y", "x"], "left").select("img_id", "chunk_idx", "ty", "tx", F.coalesce(value, F.lit(white)).alias(value))
+    t = t.select("img_id", "chunk_idx", "cols", F.explode(F.sequence(F.lit(0), F.lit(ch - 1))).alias("ty")).hint("merge")
+    t = t.select("img_id", "chunk_idx", "ty", (F.floor(F.col("chunk_idx") / F.col("cols")) * ch + F.col("ty")).cast("int").alias("y"), (F.col("chunk_idx") % F.col("cols")).alias("_k"))
+    own = pixels.filter("y is not null and x is not null").select("img_id", "y", F.floor(F.col("x") / cw).cast("int").alias("_k"), F.pmod("x", F.lit(cw)).cast("int").alias("_x"), F.coalesce(value, F.lit(white)).alias("_v"))
+    rows = own.groupBy("img_id", "y", "_k").agg(F.collect_list("_x").alias("_x"), F.collect_list("_v").alias("_v"))
+    d = t.join(rows, ["img_id", "y", "_k"], "left").withColumns({c: F.coalesce(c, F.array().cast(dict(rows.dtypes)[c])) for c in ("_x", "_v")})
+    rest = F.array_except(F.sequence(F.lit(0), F.lit(cw - 1)), "_x")
+    fill = F.array_repeat(F.lit(white).cast(dict(own.dtypes)["_v"]), F.size("_rest"))
+    d = d.withColumn("_rest", rest).withColumn("_p", F.explode(F.arrays_zip(F.concat("_x", "_rest").alias("tx"), F.concat("_v", fill).alias("v"))))
+    return d.select("img_id", "chunk_idx", "ty", F.col("_p.tx").alias("tx"), F.col("_p.v").alias(value))
 
 
 def tta_average(preds: DataFrame, side: int, values: list[str]) -> DataFrame:
