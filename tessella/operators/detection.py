@@ -60,15 +60,19 @@ def _over() -> Column:
 
 
 def refine_regions(initial: DataFrame, region_preds: DataFrame) -> DataFrame:
-    """R38. The map with class 1 := p1 + p2 and class 2 := 0, overwritten where a region's prediction (img_id, component, y, x, q0, q1, q2) has class 2 greatest, by the last such region; an image without region predictions keeps its map."""
-    nothing = F.lit(None).cast("struct<q0:double,q1:double,q2:double>")
-    old = initial.select("img_id", "y", "x", F.struct("p0", "p1", "p2").alias("_p"), F.lit(None).cast(dict(region_preds.dtypes)["component"]).alias("component"), nothing.alias("_q"))
-    new = region_preds.filter(_over()).select("img_id", "y", "x", F.lit(None).cast("struct<p0:double,p1:double,p2:double>").alias("_p"), "component", F.struct(*(F.col(f"q{k}").cast("double").alias(f"q{k}") for k in range(3))).alias("_q"))
-    both = old.unionByName(new).groupBy("img_id", "y", "x").agg(F.first("_p", ignorenulls=True).alias("_p"), F.max_by("_q", "component").alias("_q")).filter("_p is not null")
-    d = both.join(region_preds.select("img_id").distinct().withColumn("_has", F.lit(True)), "img_id", "left")
-    p = [F.col(f"_p.p{k}") for k in range(3)]
+    """R38. The map with class 1 := p1 + p2 and class 2 := 0, overwritten where a region's prediction (img_id, component, y, x, q0, q1, q2) has class 2 greatest, by the last such region; an image without region predictions keeps its map.
+
+    What changes is gathered by cells of a row, of R.CELL columns at most, and the map's pixels meet those once.
+    """
+    places, q = ["img_id", "y", "_c"], [F.col(f"q{k}").cast("double") for k in range(3)]
+    last = region_preds.filter(_over()).groupBy("img_id", "y", "x").agg(*(F.max_by(v, "component").alias(f"_q{k}") for k, v in enumerate(q)))
+    last = last.groupBy("img_id", "y", F.floor(F.col("x") / R.CELL).alias("_c")).agg(*(F.collect_list(c).alias(f"{c}s") for c in ("x", "_q0", "_q1", "_q2")))
+    maps = initial.select("img_id", "y", "x", "p0", "p1", "p2", F.floor(F.col("x") / R.CELL).alias("_c"))
+    again = maps.select(*places).distinct().join(region_preds.select("img_id").distinct(), "img_id").join(last, places, "left")
+    d = maps.join(again.withColumn("_has", F.lit(True)).hint("shuffle_hash"), places, "left").withColumn("_at", F.array_position("xs", F.col("x")).cast("int") - 1)
+    p = [F.col(f"p{k}") for k in range(3)]
     merged = (p[0], p[1] + p[2], F.lit(0.0))
-    return d.select("img_id", "y", "x", *(F.when(F.col("_has").isNull(), p[k]).otherwise(F.coalesce(F.col(f"_q.q{k}"), merged[k])).alias(f"p{k}") for k in range(3)))
+    return d.select("img_id", "y", "x", *(F.when(F.col("_has").isNull(), p[k]).otherwise(F.coalesce(F.get(f"_q{k}s", "_at"), merged[k])).alias(f"p{k}") for k in range(3)))
 
 
 def region_boxes(boxes: DataFrame, region_preds: DataFrame) -> DataFrame:
