@@ -15,14 +15,15 @@ def best(df: DataFrame) -> DataFrame:
 
 
 def _runs_of(df: DataFrame, condition: Column) -> DataFrame:
-    return R.run_length_encode(df.filter(condition).select("img_id", "y", "x").withColumn("cls", F.lit(1))).drop("cls")
+    return R.run_length_encode(df.withColumn("cls", F.lit(1)), where=condition).drop("cls")
 
 
 def suspicious_components(df: DataFrame, threshold: float) -> DataFrame:
-    """R37. Runs of the non-background components (8-connected, class 1 or 2 greatest) that hold a pixel with p2 >= threshold."""
-    lab = R.connected_components(_runs_of(best(df), F.col("pred") > 0), 8)
-    red = R.pixels_in_runs(df.filter(F.col("p2") >= threshold).select("img_id", "y", "x"), lab, ["img_id"]).select("img_id", "component").distinct()
-    return lab.join(red, ["img_id", "component"], "left_semi")
+    """R37. Runs of the non-background components (8-connected, class 1 or 2 greatest) that hold a pixel with p2 >= threshold. The map is read once: its runs say whether they hold one."""
+    runs = R.run_length_encode(best(df).withColumn("cls", F.lit(1)), where=F.col("pred") > 0, mark=F.col("p2") >= threshold).drop("cls")
+    lab = R.connected_components(runs, 8)
+    red = lab.filter("marked").select("img_id", "component").distinct()
+    return lab.drop("marked").join(red, ["img_id", "component"], "left_semi")
 
 
 def confident_regions(df: DataFrame, threshold: float) -> DataFrame:

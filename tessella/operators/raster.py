@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessella.operators.graph import components
 from tessella.operators.ranking import sample_rows, unit_interval
@@ -21,11 +22,68 @@ STRIDE = 1 << 31
 CELL = 64
 
 
-def run_length_encode(pixels: DataFrame, group: list[str] | None = None, value: str = "cls") -> DataFrame:
-    """W10. (group..., value, y, x0, x1): maximal runs of equal values in each row. Pixels may have gaps."""
+def run_length_encode(pixels: DataFrame, group: list[str] | None = None, value: str = "cls", where: Column | None = None, mark: Column | None = None) -> DataFrame:
+    """W10. (group..., value, y, x0, x1): maximal runs of equal values in each row. Pixels may have gaps.
+
+    Of the pixels only those count for which ``where`` holds; with ``mark``, ``marked`` says whether it holds for one of the run's. Pixels
+    become bits of cells of CELL columns where they lie; only these are shuffled, and read as runs in Arrow batches.
+    """
     group = group or ["img_id"]
-    n = F.row_number().over(Window.partitionBy(*group, "y", value).orderBy("x"))
-    return pixels.withColumn("_g", F.col("x") - n).groupBy(*group, value, "y", "_g").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("_g")
+    row, kinds = [*group, value, "y"], dict(pixels.dtypes)
+    bit, none = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("x", F.lit(CELL)).cast("int")), F.lit(0).cast("long")
+    on = bit if where is None else F.when(where, bit).otherwise(none)
+    held = {"_on": on} if mark is None else {"_on": on, "_marked": F.when(mark, on).otherwise(none)}
+    cells = pixels.groupBy(*row, F.floor(F.col("x") / CELL).alias("_c")).agg(*(F.bit_or(v).alias(k) for k, v in held.items())).filter("_on != 0")
+    fields = ", ".join([*(f"`{k}` {kinds[k]}" for k in row), f"x0 {kinds['x']}", f"x1 {kinds['x']}", *(["marked boolean"] if mark is not None else [])])
+    kind = to_arrow_type(pixels.schema["x"].dataType)
+    return cells.repartition(*row).sortWithinPartitions(*row, "_c").mapInArrow(lambda batches: _bit_runs(batches, row, kind), fields)
+
+
+def _bits(column: pa.Array) -> np.ndarray:
+    """The bits of 64-bit numbers, lowest first, as one row of booleans."""
+    return np.unpackbits(column.to_numpy().astype("<i8").view(np.uint8), bitorder="little").view(bool)
+
+
+def _bit_runs(batches: Iterator[pa.RecordBatch], row: list[str], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """Runs (row..., x0, x1), of this kind, of cells (row..., _c, _on), in order; with _marked, whether a run holds one of its bits."""
+    for t, new in _whole(batches, row):
+        on, c = _bits(t.column("_on")), t.column("_c").to_numpy()
+        apart = new.copy()
+        apart[1:] |= c[1:] != c[:-1] + 1
+        before, after = np.zeros(len(on), bool), np.zeros(len(on), bool)
+        before[1:], after[:-1] = on[:-1], on[1:]
+        before[::CELL] &= ~apart
+        after[CELL - 1 : -1 : CELL] &= ~apart[1:]
+        first, last = np.flatnonzero(on & ~before), np.flatnonzero(on & ~after)
+        own = pa.array(first // CELL)
+        ends = [pa.array(c[at // CELL] * CELL + at % CELL).cast(kind) for at in (first, last)]
+        out = {k: t.column(k).take(own) for k in row} | dict(zip(("x0", "x1"), ends, strict=True))
+        if "_marked" in t.schema.names:
+            seen = np.concatenate([[0], np.cumsum(_bits(t.column("_marked")))])
+            out["marked"] = pa.array(seen[last + 1] > seen[first])
+        yield pa.RecordBatch.from_pydict(out)
+
+
+def _whole(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches of rows in the order of the keys, cut so that no group goes on in the next, with the rows at which a group begins."""
+    held = None
+    for batch in batches:
+        t = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        if not t.num_rows:
+            continue
+        new = np.ones(t.num_rows, bool)
+        new[1:] = False
+        for k in keys:
+            col = t.column(k)
+            new[1:] |= pc.not_equal(col[1:], col[:-1]).to_numpy(zero_copy_only=False)
+        cut = int(np.flatnonzero(new)[-1])
+        if cut:
+            yield t.slice(0, cut), new[:cut]
+        held = t.slice(cut)
+    if held is not None:
+        new = np.zeros(held.num_rows, bool)
+        new[0] = True
+        yield held, new
 
 
 def to_pixels(runs: DataFrame) -> DataFrame:
@@ -230,30 +288,11 @@ def connected_components(runs: DataFrame, connectivity: int = 8, group: list[str
     n = runs.withColumn("node", F.col("y").cast("long") * STRIDE + F.col("x0")).withColumn("_s", F.floor(F.col("y") / STRIP_ROWS))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in n.schema)
 
-    def labelled(t: pa.Table, new: np.ndarray) -> pa.RecordBatch:
-        y, x0, x1 = (t.column(k).to_numpy().astype(np.int64) for k in ("y", "x0", "x1"))
-        first = _strip_labels(np.cumsum(new), y, x0, x1, c)
-        return t.append_column("local", pa.array(t.column("node").to_numpy()[first])).combine_chunks().to_batches()[0]
-
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])]).combine_chunks()
-            if not t.num_rows:
-                continue
-            new = np.ones(t.num_rows, bool)
-            new[1:] = False
-            for k in [*group, "_s"]:
-                col = t.column(k).combine_chunks() if isinstance(t.column(k), pa.ChunkedArray) else t.column(k)
-                new[1:] |= pc.not_equal(col[1:], col[:-1]).to_numpy(zero_copy_only=False)
-            cut = int(np.flatnonzero(new)[-1])  # the last strip may go on in the next batch
-            if cut:
-                yield labelled(t.slice(0, cut), new[:cut])
-            held = t.slice(cut)
-        if held is not None:
-            new = np.zeros(held.num_rows, bool)
-            new[0] = True
-            yield labelled(held, new)
+        for t, new in _whole(batches, [*group, "_s"]):
+            y, x0, x1 = (t.column(k).to_numpy().astype(np.int64) for k in ("y", "x0", "x1"))
+            first = _strip_labels(np.cumsum(new), y, x0, x1, c)
+            yield t.append_column("local", t.column("node").take(pa.array(first)))
 
     strips = n.repartition(*group, "_s").sortWithinPartitions(*group, "_s", "y", "x0")
     n = stored(strips.mapInArrow(label, f"{fields}, local long").drop("_s"), "labelled")
