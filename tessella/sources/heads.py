@@ -1,4 +1,4 @@
-"""A data source of the first bytes of files: path, bytes (the file's size) and head. The rest of a file isn't read."""
+"""A data source of the first bytes of files: path, bytes (the file's size) and head, which is unpacked if the name ends as that of a compressed file. The rest of a file isn't read."""
 
 from __future__ import annotations
 
@@ -37,7 +37,7 @@ class _Reader(DataSourceReader):
         fs, base = FileSystem.from_uri(self.root)
         rows = []
         for name, size in partition.files:
-            with fs.open_input_file(base + name) as f:
+            with fs.open_input_stream(base + name) as f:
                 rows.append((self.root + name, size, f.read(self.size)))
         names = ["path", "bytes", "head"]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.binary()))], names=names)
